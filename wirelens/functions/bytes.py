@@ -59,3 +59,14 @@ def utf8_text(b) -> Column:
 def be_hex(v, nbytes: int) -> Column:
     """Hex text of a non-negative integer as ``nbytes`` big-endian bytes."""
     return F.lpad(F.hex(_col(v).cast("bigint")), 2 * nbytes, "0")
+
+
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` bound once to ``value``.
+
+    ``element_at(transform(array(value), body), 1)``: the optimizer never
+    inlines a lambda variable, so however often ``body`` reads ``v`` (and
+    wherever a filter on the result is pushed), ``value`` appears once in
+    the plan and is evaluated once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

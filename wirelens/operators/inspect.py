@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import ascii_text, slice_bytes, u8, u16, utf8_text
+from ..functions.bytes import ascii_text, let, slice_bytes, u8, u16, utf8_text
 
 # --- fixed values ----------------------------------------------------------
 HTTP_METHODS = ["GET ", "POST ", "PUT ", "DELETE ", "HEAD ", "OPTIONS "]
@@ -37,6 +37,7 @@ def sni_expr(data: Column, off: Column, length: Column, port: Column) -> Column:
     end = (off + length).cast("bigint")
     gate = ((port == TLS_PORT) & (length >= 6)
             & (u8(data, off) == TLS_HANDSHAKE) & (u8(data, off + 5) == TLS_CLIENT_HELLO))
+    # (callers bind off/length/port once with ``let``)
     steps = F.sequence(F.lit(1), (length / 4).cast("int") + 5)
     # body starts at off+9: version (2) and random (32) -> session id at off+43
     init = F.struct(F.lit(0).alias("phase"), (off + 43).cast("bigint").alias("pos"),
@@ -83,9 +84,25 @@ def with_sni(df: DataFrame) -> DataFrame:
     handshake lengths are not trusted and there is no reassembly.
     """
     c = F.col
+    loc = F.struct(c("payload_offset").cast("bigint").alias("off"),
+                   c("payload_len").cast("bigint").alias("len"), c("svc_port").alias("port"))
     return df.withColumn(
-        "sni", F.when(c("is_parsed") & (c("payload_len") > 0),
-                      sni_expr(c("data"), c("payload_offset"), c("payload_len"), c("svc_port"))))
+        "sni", F.when(c("is_parsed") & (c("payload_len") >= 6) & (c("svc_port") == TLS_PORT),
+                      let(loc, lambda s: sni_expr(c("data"), s["off"], s["len"], s["port"]))))
+
+
+_METHOD_RE = "^(" + "|".join(m.strip() for m in HTTP_METHODS) + ") "
+
+
+def http_host_of_text(text: Column) -> Column:
+    """Host value in decoded request text, or NULL (X2, after the gate)."""
+    def at(i):
+        rest = F.substring(text, i + 8, F.lit(1 << 30))
+        value = F.substring_index(rest, "\r\n", 1)
+        return F.regexp_replace(value, "^[\\x{00}-\\x{20}]+|[\\x{00}-\\x{20}]+\\z", "")
+    i1, i2 = F.instr(text, HOST_MARKERS[0]), F.instr(text, HOST_MARKERS[1])
+    idx = F.when(i1 > 0, i1).when(i2 > 0, i2)
+    return let(idx, lambda i: F.when(i.isNotNull(), at(i)))
 
 
 def with_http_host(df: DataFrame) -> DataFrame:
@@ -97,22 +114,14 @@ def with_http_host(df: DataFrame) -> DataFrame:
     <= U+0020 on both sides. It may be ''.
     """
     c = F.col
-    data, off, length = c("data"), c("payload_offset"), c("payload_len")
-    is_req = None
-    for m in HTTP_METHODS:
-        t = slice_bytes(data, off, len(m)) == F.lit(m.encode("ascii"))
-        is_req = t if is_req is None else (is_req | t)
-    df = df.withColumn(
-        "__text", F.when(c("is_parsed") & (length >= 16) & is_req,
-                         utf8_text(slice_bytes(data, off, length))))
-    df = df.withColumns({"__i1": F.instr(c("__text"), HOST_MARKERS[0]),
-                         "__i2": F.instr(c("__text"), HOST_MARKERS[1])})
-    idx = F.when(c("__i1") > 0, c("__i1")).when(c("__i2") > 0, c("__i2"))
-    df = df.withColumn("__idx", idx)
-    value = F.substring_index(F.substring(c("__text"), c("__idx") + 8, F.lit(1 << 30)), "\r\n", 1)
-    trimmed = F.regexp_replace(value, "^[\\x{00}-\\x{20}]+|[\\x{00}-\\x{20}]+\\z", "")
-    df = df.withColumn("http_host", F.when(c("__idx").isNotNull(), trimmed))
-    return df.drop("__text", "__i1", "__i2", "__idx")
+
+    def of_payload(p):
+        is_req = F.decode(F.substring(p, 1, 8), "ISO-8859-1").rlike(_METHOD_RE)
+        return F.when(is_req, let(utf8_text(p), http_host_of_text))
+
+    payload = slice_bytes(c("data"), c("payload_offset"), c("payload_len"))
+    return df.withColumn(
+        "http_host", F.when(c("is_parsed") & (c("payload_len") >= 16), let(payload, of_payload)))
 
 
 def inspect_hosts(df: DataFrame) -> DataFrame:

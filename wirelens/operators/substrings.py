@@ -25,6 +25,14 @@ def pattern_lengths(patterns: DataFrame, col: str) -> list[int]:
     return sorted(int(r["L"]) for r in lens if r["L"] is not None)
 
 
+def _substr_at(text, length: int):
+    # a one-argument lambda: ``transform`` passes (element, index) to
+    # two-argument lambdas
+    def f(i):
+        return F.substring(text, i, length)
+    return f
+
+
 def substring_matches(texts: DataFrame, text_col: str,
                       patterns: DataFrame, pat_col: str) -> DataFrame:
     """All (text row, pattern row) pairs where ``pattern`` occurs in ``text``.
@@ -43,9 +51,8 @@ def substring_matches(texts: DataFrame, text_col: str,
             subs.append(F.when(n > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
         else:
             cnt = n - L + 1
-            subs.append(F.when(cnt >= 1, F.transform(
-                F.sequence(F.lit(1), cnt), lambda i, _L=L: F.substring(t, i, _L)))
-                .otherwise(F.array().cast("array<string>")))
+            subs.append(F.when(cnt >= 1, F.transform(F.sequence(F.lit(1), cnt), _substr_at(t, L)))
+                        .otherwise(F.array().cast("array<string>")))
     all_subs = F.array_distinct(F.flatten(F.array(*subs)))
     exploded = texts.select("*", F.explode(all_subs).alias("__sub"))
     pats = patterns.withColumn("__sub", F.col(pat_col))

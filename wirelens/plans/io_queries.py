@@ -90,7 +90,7 @@ def q_pcap_roundtrip(spark, sf):
 def q_stream_ingest(spark, sf):
     stream = read_capture_stream(spark, capture_folder(spark, sf, "daily"), max_files=8)
     h = packet_hosts(stream).select("capture_id", "seq", "is_parsed", "packet_bytes")
-    table = run_to_table(h, mode="append")
+    table = run_to_table(h, mode="append", trigger="drain")
     return spark.read.parquet(table).groupBy("capture_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("packets"),
         F.sum("packet_bytes").cast("bigint").alias("bytes"),

@@ -245,9 +245,12 @@ class PcapStreamReader(DataSourceStreamReader):
         return {"files": 0}
 
     def latestOffset(self):
+        # each call admits at most maxFilesPerTrigger more files than the
+        # previous call reported (the source has no read-limit hook)
         n = len(self._files())
         if self.max_files is not None:
             n = min(n, self._start + self.max_files)
+        self._start = max(self._start, n)
         return {"files": n}
 
     def partitions(self, start, end):
@@ -255,7 +258,7 @@ class PcapStreamReader(DataSourceStreamReader):
         return [CaptureFile(p) for p in files[start["files"]:end["files"]]]
 
     def commit(self, end):
-        self._start = end["files"]
+        self._start = max(self._start, end["files"])
 
     def read(self, partition):
         yield from _batches(partition.path, self.capture_id, self.permissive)

@@ -52,9 +52,14 @@ def stream_flow_table(hosts: DataFrame) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "complete",
-                 checkpoint: str | None = None, timeout_s: int = 600) -> str:
-    """Run a streaming query until the available input is processed
-    (``availableNow``) and keep its result as a Parquet table.
+                 checkpoint: str | None = None, timeout_s: int = 600,
+                 trigger: str = "availableNow") -> str:
+    """Run a streaming query until the available input is processed and
+    keep its result as a Parquet table.
+
+    ``trigger="availableNow"`` suits sources with admission control (file
+    sources); ``"drain"`` runs back-to-back micro-batches until the source
+    reports no new data (Python sources, which cap batches themselves).
 
     ``complete`` mode overwrites the table with each batch's full result;
     ``append`` mode appends each batch's new rows.
@@ -70,11 +75,19 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
         else:
             batch.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    if not q.awaitTermination(timeout_s):
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    w = (df.writeStream.outputMode(mode).foreachBatch(sink)
+         .option("checkpointLocation", checkpoint))
+    if trigger == "availableNow":
+        q = w.trigger(availableNow=True).start()
+        if not q.awaitTermination(timeout_s):
+            q.stop()
+            raise TimeoutError("streaming query did not finish")
+    else:
+        q = w.trigger(processingTime="0 seconds").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
     if q.exception() is not None:
         raise q.exception()
     return out_path
