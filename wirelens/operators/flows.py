@@ -45,13 +45,22 @@ def _app_state(port_class: Column, first_named: Column, first_nonnull_named: Col
             .otherwise(F.coalesce(first_nonnull_named, port_class)))
 
 
-def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                    materialize: bool | None = None) -> DataFrame:
     """Adds ``app_state``, ``host_state``, ``flow_packets``, ``flow_bytes``.
 
     Input: decoded, inspected and classified packets (``is_parsed``, flow
     key, ``seq``, ``named``, ``host``, ``port_app``, ``packet_bytes``). Every
     other column is carried through. Unparsed rows get NULL state and are
     spread over the shuffle by their own ``seq`` (they never share state).
+
+    ``materialize`` (default: when the rows carry no frame bytes) writes
+    the windowed rows once to the shared checkpoint folder; the bucket
+    summary and the join-back then read them in place (the checkpoint keeps
+    the hash partitioning), so the packets are decoded, shuffled and sorted
+    once, and the lineage is cut. Without it, the summary is a partial
+    aggregate straight from the input (a second, narrow pass over the
+    input instead of writing the frames again).
     """
     c = F.col
     b = int(bucket_rows)
@@ -73,16 +82,30 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> Da
         F.sum("packet_bytes").over(w).alias("__l_bytes"),
     )
 
-    # Per-(flow, bucket) summary from the window output: its last row holds
-    # the bucket totals. The window output is already partitioned on
-    # ``__fk``, so this aggregate adds no exchange.
-    summary = (local.filter(c("is_parsed")).groupBy("__fk", "__flow", "__bucket").agg(
-        F.min_by("named", "seq").alias("__b_first"),
-        F.max_by("__l_fnn", "seq").alias("__b_fnn"),
-        F.max_by("__l_lh", "seq").alias("__b_lh"),
-        F.max("__l_cnt").alias("__b_cnt"),
-        F.max_by("__l_bytes", "seq").alias("__b_bytes"),
-    ))
+    if materialize is None:
+        materialize = "data" not in df.columns
+    if materialize:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(df.sparkSession)
+        local = local.checkpoint(eager=True)
+        # the last row of each (flow, bucket) holds the bucket totals; the
+        # checkpoint is partitioned on ``__fk``, so this adds no exchange
+        summary = (local.filter(c("is_parsed")).groupBy("__fk", "__flow", "__bucket").agg(
+            F.min_by("named", "seq").alias("__b_first"),
+            F.max_by("__l_fnn", "seq").alias("__b_fnn"),
+            F.max_by("__l_lh", "seq").alias("__b_lh"),
+            F.max("__l_cnt").alias("__b_cnt"),
+            F.max_by("__l_bytes", "seq").alias("__b_bytes"),
+        ))
+    else:
+        summary = (df.filter(c("is_parsed")).groupBy("__fk", "__flow", "__bucket").agg(
+            F.min_by("named", "seq").alias("__b_first"),
+            F.expr("min_by(named, seq) FILTER (WHERE named IS NOT NULL)").alias("__b_fnn"),
+            F.expr("max_by(host, seq) FILTER (WHERE host IS NOT NULL)").alias("__b_lh"),
+            F.count(F.lit(1)).alias("__b_cnt"),
+            F.sum("packet_bytes").alias("__b_bytes"),
+        ))
     wb = Window.partitionBy("__flow").orderBy("__bucket")
     before = wb.rowsBetween(_UNB, -1)
     whole = wb.rowsBetween(_UNB, Window.unboundedFollowing)

@@ -43,13 +43,15 @@ class Analysis:
 def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet",
             port_mode: str = "normalized", ip_match: str = "low_endpoint",
             keywords: DataFrame | None = None, keep_data: bool = False,
-            materialize: bool = False, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+            materialize: bool = True, bucket_rows: int = DEFAULT_BUCKET_ROWS,
             processing_time_ms: int = 0) -> Analysis:
     """Run the whole pipeline on ``raw_packets`` (any number of captures).
 
     ``mode`` = ``packet`` (the single-threaded engine's breakdown/hosts) or
-    ``flow`` (the multi-threaded engine's). With ``materialize=True`` the
-    segments table is checkpointed to ``spark.checkpoint.dir`` first.
+    ``flow`` (the multi-threaded engine's). With ``materialize=True`` (the
+    default) the segments table is checkpointed to ``spark.checkpoint.dir``
+    once, so the report tables read it instead of re-running the scan, and
+    a lost executor never forces the packet scan to re-run.
     """
     hosts = packet_hosts(raw, port_mode=port_mode, keywords=keywords, keep_data=keep_data)
     v = verdicts(hosts, rules, ip_match=ip_match, bucket_rows=bucket_rows)

@@ -181,6 +181,9 @@ def packets(spark, sf_dir: str, layout: str = "single") -> DataFrame:
     if path is None or not _exists(spark, path):
         path = scratch_path(spark, f"derived-packets-{layout}")
         df = packets_from_events(load_events(spark, sf_dir), CAPTURE_LAYOUTS[layout]())
-        df.write.mode("overwrite").parquet(path)
+        # many files in seq ranges, like a capture rotated into many files,
+        # so scans split across all cores
+        n = max(1, spark.sparkContext.defaultParallelism)
+        df.repartitionByRange(n, "capture_id", "seq").write.mode("overwrite").parquet(path)
         _materialized[key] = path
     return spark.read.parquet(path)
