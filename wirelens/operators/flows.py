@@ -45,6 +45,23 @@ def _app_state(port_class: Column, first_named: Column, first_nonnull_named: Col
             .otherwise(F.coalesce(first_nonnull_named, port_class)))
 
 
+def _checkpoint_keeping_partitioning(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint that records the hash partitioning.
+
+    Under AQE the plan reports its partitioning only after it has run, so the
+    checkpoint would drop it; the stage has a fixed partition count (nothing
+    for AQE to coalesce), so AQE is switched off for this one action.
+    """
+    conf = df.sparkSession.conf
+    key = "spark.sql.adaptive.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
+
+
 def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
                     materialize: bool | None = None) -> DataFrame:
     """Adds ``app_state``, ``host_state``, ``flow_packets``, ``flow_bytes``.
@@ -73,6 +90,14 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     df = df.withColumns({"__fk": F.struct(*FLOW_KEY, "__bucket"),
                          "__flow": F.struct(*FLOW_KEY)})
 
+    if materialize is None:
+        materialize = "data" not in df.columns
+    if materialize:
+        # a fixed partition count (not coalesced by AQE), so the checkpoint
+        # below keeps hash partitioning on ``__fk`` and neither the summary
+        # nor the join-back re-shuffles the windowed rows
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, "__fk")
     w = Window.partitionBy("__fk").orderBy("seq").rowsBetween(_UNB, Window.currentRow)
     local = df.select(
         "*",
@@ -82,16 +107,15 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
         F.sum("packet_bytes").over(w).alias("__l_bytes"),
     )
 
-    if materialize is None:
-        materialize = "data" not in df.columns
     if materialize:
         from ..session import checkpoint_dir
 
         checkpoint_dir(df.sparkSession)
-        local = local.checkpoint(eager=True)
+        local = _checkpoint_keeping_partitioning(local)
         # the last row of each (flow, bucket) holds the bucket totals; the
         # checkpoint is partitioned on ``__fk``, so this adds no exchange
-        summary = (local.filter(c("is_parsed")).groupBy("__fk", "__flow", "__bucket").agg(
+        summary = (local.filter(c("is_parsed")).groupBy("__fk").agg(
+            F.any_value("__flow").alias("__flow"), F.any_value("__bucket").alias("__bucket"),
             F.min_by("named", "seq").alias("__b_first"),
             F.max_by("__l_fnn", "seq").alias("__b_fnn"),
             F.max_by("__l_lh", "seq").alias("__b_lh"),
