@@ -70,3 +70,22 @@ def let(value: Column, body) -> Column:
     the plan and is evaluated once per row.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_columns: dict = {}
+
+
+def cached_column(name: str, build) -> Column:
+    """An expression built once per Spark application and reused.
+
+    Building a large expression costs thousands of Python-to-JVM calls;
+    an unresolved Column is independent of any DataFrame, so it is reused.
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (sc.applicationId if sc is not None else None, name)
+    col = _columns.get(key)
+    if col is None:
+        col = _columns[key] = build()
+    return col

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.apps import app_label, classify, keyword_rows, named_app, port_app
+from ..functions.bytes import cached_column
 from ..schemas import APP_KEYWORDS
 from .substrings import substring_matches
 
@@ -32,9 +33,9 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
     With ``keywords`` (``priority, keyword, app``), the lowest priority
     matching keyword (then the smallest keyword, for determinism) wins.
     """
-    df = df.withColumn("port_app", port_app(F.col("svc_port")))
+    df = df.withColumn("port_app", cached_column("port_app", lambda: port_app(F.col("svc_port"))))
     if keywords is None:
-        return df.withColumn("named", named_app(F.col("host")))
+        return df.withColumn("named", cached_column("named", lambda: named_app(F.col("host"))))
     small = keywords.limit(INLINE_KEYWORDS + 1).collect() if strategy != "join" else None
     if small is not None and len(small) <= INLINE_KEYWORDS:
         # bounded table: one CASE chain in codegen, no join at all

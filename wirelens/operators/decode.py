@@ -11,51 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import u8, u16, u32
+from ..functions.bytes import cached_column, u8, u16, u32
 from ..functions.ip import flow_label as _flow_label
 
 ETHERTYPE_IPV4 = 0x0800
 TCP, UDP = 6, 17
 
 
-def decode_packets(raw: DataFrame, port_mode: str = "normalized") -> DataFrame:
-    """``raw_packets`` -> ``parsed_packets`` (FIXTURES §1).
-
-    Header fields are NULL on unparsed rows. ``src_*``/``dst_*`` are the
-    direction-normalised flow key (lower address first, then lower port);
-    the ``wire_*`` columns keep the on-the-wire direction. ``svc_port`` is the
-    port used for the TLS gate and the port fallback class: the normalised
-    ``dst_port`` (``port_mode="normalized"``, exact to the reference) or the
-    well-known service port of either end (``port_mode="service"``).
-
-    Offsets are computed in successive projections, each reading earlier
-    columns, so the expression tree stays linear in size.
-    """
+def _decode_stages() -> list[dict[str, Column]]:
+    """The decoder's projections, each reading columns of the one before."""
     c = F.col
     data = c("data")
-    df = raw.withColumns({
+    stages = [{
         "__n": F.length(data),
         "__eth": u16(data, 12),
         "ip_header_len": (u8(data, 14).bitwiseAND(0x0F) * 4).cast("int"),
         "__proto": u8(data, 23).cast("int"),
-    })
-    df = df.withColumn("__t", c("ip_header_len") + 14)
-    df = df.withColumn(
-        "__tcp_hlen",
-        F.when(c("__proto") == TCP,
-               (F.shiftright(u8(data, c("__t") + 12), 4).bitwiseAND(0x0F) * 4).cast("int")))
+    }, {"__t": c("ip_header_len") + 14}]
+    stages.append({"__tcp_hlen": F.when(
+        c("__proto") == TCP,
+        (F.shiftright(u8(data, c("__t") + 12), 4).bitwiseAND(0x0F) * 4).cast("int"))})
     n, t, th = c("__n"), c("__t"), c("__tcp_hlen")
     l4_ok = (F.when(c("__proto") == TCP, (n >= t + 20) & (th >= 20) & (n >= t + th))
              .when(c("__proto") == UDP, n >= t + 8)
              .otherwise(F.lit(False)))
-    parsed = F.coalesce(
+    stages.append({"is_parsed": F.coalesce(
         (n >= 14) & (c("__eth") == ETHERTYPE_IPV4) & (n >= 34)
         & (c("ip_header_len") >= 20) & (n >= c("ip_header_len") + 14) & l4_ok,
-        F.lit(False))
-    df = df.withColumn("is_parsed", parsed)
+        F.lit(False))})
     p = c("is_parsed")
     l4_hlen = F.when(c("__proto") == TCP, th).otherwise(F.lit(8))
-    df = df.withColumns({
+    stages.append({
         "ip_header_len": F.when(p, c("ip_header_len")),
         "l4_header_len": F.when(p, l4_hlen).cast("int"),
         "protocol": F.when(p, c("__proto")).cast("smallint"),
@@ -65,8 +51,28 @@ def decode_packets(raw: DataFrame, port_mode: str = "normalized") -> DataFrame:
         "wire_dst_port": F.when(p, u16(data, t + 2)).cast("int"),
         "payload_offset": F.when(p, t + l4_hlen).cast("int"),
     })
-    df = df.withColumn(
-        "payload_len", F.when(p, F.greatest(F.lit(0), n - c("payload_offset"))).cast("int"))
+    stages.append({"payload_len": F.when(
+        p, F.greatest(F.lit(0), n - c("payload_offset"))).cast("int")})
+    return stages
+
+
+def decode_packets(raw: DataFrame, port_mode: str = "normalized") -> DataFrame:
+    """``raw_packets`` -> ``parsed_packets`` (FIXTURES §1).
+
+    Header fields are NULL on unparsed rows. ``src_*``/``dst_*`` are the
+    direction-normalised flow key (lower address first, then lower port);
+    the ``wire_*`` columns keep the on-the-wire direction. ``svc_port`` is the
+    port used for the TLS gate and the port fallback class: the normalised
+    ``dst_port`` (``port_mode="normalized"``, exact to the reference) or the
+    well-known service port of either end (``port_mode="service"``).
+
+    Offsets are computed in successive projections, each reading earlier
+    columns, so the expression tree stays linear in size.
+    """
+    stages = cached_column("decode_stages", _decode_stages)
+    df = raw
+    for cols in stages:
+        df = df.withColumns(cols)
     df = df.drop("__n", "__eth", "__proto", "__t", "__tcp_hlen")
     return with_flow_key(df, port_mode=port_mode)
 

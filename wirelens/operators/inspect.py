@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import ascii_text, let, slice_bytes, u8, u16, utf8_text
+from ..functions.bytes import ascii_text, cached_column, let, slice_bytes, u8, u16, utf8_text
 
 # --- fixed values ----------------------------------------------------------
 HTTP_METHODS = ["GET ", "POST ", "PUT ", "DELETE ", "HEAD ", "OPTIONS "]
@@ -83,12 +83,15 @@ def with_sni(df: DataFrame) -> DataFrame:
     0x16 and handshake type 0x01; the transport is not checked. Record and
     handshake lengths are not trusted and there is no reassembly.
     """
+    return df.withColumn("sni", cached_column("sni", _sni_column))
+
+
+def _sni_column() -> Column:
     c = F.col
     loc = F.struct(c("payload_offset").cast("bigint").alias("off"),
                    c("payload_len").cast("bigint").alias("len"), c("svc_port").alias("port"))
-    return df.withColumn(
-        "sni", F.when(c("is_parsed") & (c("payload_len") >= 6) & (c("svc_port") == TLS_PORT),
-                      let(loc, lambda s: sni_expr(c("data"), s["off"], s["len"], s["port"]))))
+    return F.when(c("is_parsed") & (c("payload_len") >= 6) & (c("svc_port") == TLS_PORT),
+                  let(loc, lambda s: sni_expr(c("data"), s["off"], s["len"], s["port"])))
 
 
 _METHOD_RE = "^(" + "|".join(m.strip() for m in HTTP_METHODS) + ") "
@@ -113,6 +116,10 @@ def with_http_host(df: DataFrame) -> DataFrame:
     value runs to the next CRLF (or the end) and is trimmed of characters
     <= U+0020 on both sides. It may be ''.
     """
+    return df.withColumn("http_host", cached_column("http_host", _http_host_column))
+
+
+def _http_host_column() -> Column:
     c = F.col
 
     def of_payload(p):
@@ -120,8 +127,7 @@ def with_http_host(df: DataFrame) -> DataFrame:
         return F.when(is_req, let(utf8_text(p), http_host_of_text))
 
     payload = slice_bytes(c("data"), c("payload_offset"), c("payload_len"))
-    return df.withColumn(
-        "http_host", F.when(c("is_parsed") & (c("payload_len") >= 16), let(payload, of_payload)))
+    return F.when(c("is_parsed") & (c("payload_len") >= 16), let(payload, of_payload))
 
 
 def inspect_hosts(df: DataFrame) -> DataFrame:

@@ -113,11 +113,31 @@ def _cap_cond(cap: str | None) -> Column:
     return F.lit(True) if cap is None else (F.col("capture_id") == F.lit(cap))
 
 
-def _bounded(rules: DataFrame, rule_type: str, limit: int):
-    rows = rules.filter(F.col("rule_type") == rule_type).limit(limit + 1).collect()
+def _bounded(rules: DataFrame, rule_type: str, limit: int, pre: dict | None = None):
+    """Rules of one type if there are at most ``limit`` of them, else None.
+
+    ``pre`` holds the whole (bounded) table when it was collected at once.
+    """
+    if pre is not None:
+        rows = pre.get(rule_type, [])
+    else:
+        rows = rules.filter(F.col("rule_type") == rule_type).limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
+def _collect_small(rules: DataFrame) -> dict | None:
+    """The whole rule table by type, in one job, if it is small enough to
+    inline every type; None otherwise (each type is then sized alone)."""
+    limit = INLINE_IPS + INLINE_DOMAINS + INLINE_APPS
+    rows = rules.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["rule_type"], []).append(r)
+    return by
+
+
 def _inline_set_flag(col: Column, groups: list[_Group]) -> Column:
     flag = F.lit(False)
     for g in groups:
@@ -150,8 +170,9 @@ def _join_flag(df: DataFrame, keys: DataFrame, on: list[tuple[str, str]], name:
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], strategy: str = "auto") -> DataFrame:
-    rows = _bounded(rules, "ip", INLINE_IPS) if strategy != "join" else None
+def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], strategy: str = "auto",
+              pre: dict | None = None) -> DataFrame:
+    rows = _bounded(rules, "ip", INLINE_IPS, pre) if strategy != "join" else None
     if rows is not None:
         groups = _groups(rows, "ip")
         flag = F.lit(False)
@@ -173,16 +194,16 @@ def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], strategy: str =
     return df.withColumn("__ip_hit", flag).drop(*names)
 
 
-def _app_flag(df: DataFrame, rules: DataFrame, app_col: str) -> DataFrame:
-    rows = _bounded(rules, "app", INLINE_APPS)
+def _app_flag(df: DataFrame, rules: DataFrame, app_col: str, pre: dict | None = None) -> DataFrame:
+    rows = _bounded(rules, "app", INLINE_APPS, pre)
     if rows is None:
         raise ValueError("app rule table larger than the number of classes allows")
     return df.withColumn("__app_hit", _inline_set_flag(F.col(app_col), _groups(rows, "app")))
 
 
 def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str,
-                 strategy: str = "auto") -> DataFrame:
-    rows = _bounded(rules, "domain", INLINE_DOMAINS) if strategy != "join" else None
+                 strategy: str = "auto", pre: dict | None = None) -> DataFrame:
+    rows = _bounded(rules, "domain", INLINE_DOMAINS, pre) if strategy != "join" else None
     if rows is not None:
         return df.withColumn("__dom_hit", domain_flag_expr(F.col(host_col), _groups(rows, "domain")))
     dr = rules.filter(F.col("rule_type") == "domain").select(
@@ -215,9 +236,10 @@ def rule_flags(df: DataFrame, rules: DataFrame, ip_match: str = "low_endpoint",
         ip_cols = ["src_ip", "dst_ip"]
     else:
         raise ValueError(f"ip_match must be 'low_endpoint' or 'either', not {ip_match!r}")
-    df = _ip_flags(df, rules, ip_cols, strategy)
-    df = _app_flag(df, rules, app_col)
-    df = _domain_flag(df, rules, host_col, strategy)
+    pre = _collect_small(rules)
+    df = _ip_flags(df, rules, ip_cols, strategy, pre)
+    df = _app_flag(df, rules, app_col, pre)
+    df = _domain_flag(df, rules, host_col, strategy, pre)
     return df.withColumnsRenamed({"__ip_hit": "ip_hit", "__app_hit": "app_hit",
                                   "__dom_hit": "dom_hit"})
 
