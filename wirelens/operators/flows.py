@@ -71,13 +71,13 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     other column is carried through. Unparsed rows get NULL state and are
     spread over the shuffle by their own ``seq`` (they never share state).
 
-    ``materialize`` (default: when the rows carry no frame bytes) writes
-    the windowed rows once to the shared checkpoint folder; the bucket
-    summary and the join-back then read them in place (the checkpoint keeps
-    the hash partitioning), so the packets are decoded, shuffled and sorted
-    once, and the lineage is cut. Without it, the summary is a partial
-    aggregate straight from the input (a second, narrow pass over the
-    input instead of writing the frames again).
+    ``materialize`` (default) writes the windowed rows once to the shared
+    checkpoint folder; the bucket summary, the join-back and every later
+    consumer (reports and the forwarded capture) then read them in place
+    (the checkpoint keeps the hash partitioning), so the packets are
+    decoded, shuffled and sorted once, and the lineage is cut. With
+    ``materialize=False`` nothing is written and the summary is a partial
+    aggregate straight from the input (a second, narrow pass over it).
     """
     c = F.col
     b = int(bucket_rows)
@@ -91,7 +91,7 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
                          "__flow": F.struct(*FLOW_KEY)})
 
     if materialize is None:
-        materialize = "data" not in df.columns
+        materialize = True
     if materialize:
         # a fixed partition count (not coalesced by AQE), so the checkpoint
         # below keeps hash partitioning on ``__fk`` and neither the summary
