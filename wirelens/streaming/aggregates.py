@@ -78,7 +78,15 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     w = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint))
     if trigger == "availableNow":
-        q = w.trigger(availableNow=True).start()
+        # a catch-up run ends when the input is consumed; with state TTL the
+        # engine would otherwise keep running no-data cleanup batches
+        key = "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")
+        try:
+            q = w.trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(key, before)
         if not q.awaitTermination(timeout_s):
             q.stop()
             raise TimeoutError("streaming query did not finish")
