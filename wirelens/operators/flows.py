@@ -63,7 +63,7 @@ def _checkpoint_keeping_partitioning(df: DataFrame) -> DataFrame:
 
 
 def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                    materialize: bool | None = None) -> DataFrame:
+                    materialize: bool | None = None, partitions: int | None = None) -> DataFrame:
     """Adds ``app_state``, ``host_state``, ``flow_packets``, ``flow_bytes``.
 
     Input: decoded, inspected and classified packets (``is_parsed``, flow
@@ -78,6 +78,11 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     decoded, shuffled and sorted once, and the lineage is cut. With
     ``materialize=False`` nothing is written and the summary is a partial
     aggregate straight from the input (a second, narrow pass over it).
+
+    ``partitions`` sets the size of the flow-state exchange (default
+    ``spark.sql.shuffle.partitions``); it is fixed rather than left to AQE so
+    the checkpoint can record the partitioning. Size it so one partition of
+    pruned packet rows (about 100 bytes each) fits a task comfortably.
     """
     c = F.col
     b = int(bucket_rows)
@@ -96,7 +101,7 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
         # a fixed partition count (not coalesced by AQE), so the checkpoint
         # below keeps hash partitioning on ``__fk`` and neither the summary
         # nor the join-back re-shuffles the windowed rows
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, "__fk")
     w = Window.partitionBy("__fk").orderBy("seq").rowsBetween(_UNB, Window.currentRow)
     local = df.select(

@@ -35,7 +35,8 @@ def packet_hosts(raw: DataFrame, port_mode: str = "normalized", keywords=None,
 
 
 def verdicts(hosts: DataFrame, rules: DataFrame | None = None, ip_match: str = "low_endpoint",
-             bucket_rows: int = DEFAULT_BUCKET_ROWS, strategy: str = "auto") -> DataFrame:
+             bucket_rows: int = DEFAULT_BUCKET_ROWS, strategy: str = "auto",
+             partitions: int | None = None) -> DataFrame:
     """Per-packet state and verdict: ``packet_hosts`` + ``app_state``,
     ``host_state``, ``flow_packets``, ``flow_bytes``, ``blocked``,
     ``block_reason``. Unparsed packets are never blocked.
@@ -43,7 +44,7 @@ def verdicts(hosts: DataFrame, rules: DataFrame | None = None, ip_match: str = "
     State is updated before the rules are checked, and blocked packets
     still update their flow, so rules are applied after the state scan.
     """
-    st = with_flow_state(hosts, bucket_rows=bucket_rows)
+    st = with_flow_state(hosts, bucket_rows=bucket_rows, partitions=partitions)
     v = apply_rules(st, rules, ip_match=ip_match, strategy=strategy)
     return v.withColumn("blocked", F.coalesce(F.col("blocked") & F.col("is_parsed"), F.lit(False)))
 

@@ -44,7 +44,8 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
             port_mode: str = "normalized", ip_match: str = "low_endpoint",
             keywords: DataFrame | None = None, keep_data: bool = False,
             materialize: bool = True, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-            processing_time_ms: int = 0) -> Analysis:
+            processing_time_ms: int = 0, partitions: int | None = None,
+            strategy: str = "auto") -> Analysis:
     """Run the whole pipeline on ``raw_packets`` (any number of captures).
 
     ``mode`` = ``packet`` (the single-threaded engine's breakdown/hosts) or
@@ -54,7 +55,8 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
     a lost executor never forces the packet scan to re-run.
     """
     hosts = packet_hosts(raw, port_mode=port_mode, keywords=keywords, keep_data=keep_data)
-    v = verdicts(hosts, rules, ip_match=ip_match, bucket_rows=bucket_rows)
+    v = verdicts(hosts, rules, ip_match=ip_match, bucket_rows=bucket_rows, strategy=strategy,
+                 partitions=partitions)
     seg = R.segments(v)
     if materialize:
         checkpoint_dir(seg.sparkSession)
