@@ -86,7 +86,7 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     """
     c = F.col
     b = int(bucket_rows)
-    bucket = F.when(c("is_parsed"), F.floor(c("seq") / b)).otherwise(-1 - c("seq")).cast("bigint")
+    bucket = F.when(c("is_parsed"), F.expr(f"seq div {b}")).otherwise(-1 - c("seq")).cast("bigint")
     # One non-nullable struct key per (flow, bucket): partitioning and the
     # join-back use a single column, so the optimizer infers no per-field
     # NOT NULL filters to push below the window, and both window branches
