@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.apps import app_label, classify, keyword_rows, named_app, port_app
+from ..functions.apps import keyword_rows, named_app, port_app
 from ..functions.bytes import cached_column
 from ..schemas import APP_KEYWORDS
 from .substrings import substring_matches
@@ -60,9 +59,3 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
     return out
 
 
-def classify_packet_col(host_col: str = "host", port_col: str = "svc_port"):
-    return classify(F.col(host_col), F.col(port_col))
-
-
-__all__ = ["classify_hosts", "default_keywords", "app_label", "classify_packet_col",
-           "named_app", "port_app", "T"]

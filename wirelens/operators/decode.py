@@ -104,11 +104,12 @@ def with_flow_key(df: DataFrame, port_mode: str = "normalized") -> DataFrame:
     return df.withColumn("svc_port", svc.cast("int"))
 
 
-def flow_label(df: DataFrame) -> Column:
+def flow_label() -> Column:
+    """``a.b.c.d:p <-> e.f.g.h:q proto=n`` of a decoded row's flow key."""
     return _flow_label("src_ip", "src_port", "dst_ip", "dst_port", "protocol")
 
 
-def payload(df_or_none=None) -> Column:
+def payload() -> Column:
     """The payload bytes (BINARY) of a decoded row."""
     return F.substring(F.col("data"), F.col("payload_offset") + 1, F.col("payload_len"))
 

@@ -15,7 +15,7 @@ from ..functions.apps import APP_NAMES, app_label
 from ..functions.ip import flow_label, ip_format, ip_parse
 from ..operators import report as R
 from ..operators.flows import flow_table, packets_with_flow
-from ..operators.rules import load_rules, rule_flags, rules_frame, validate_rules
+from ..operators.rules import load_rules, rule_flags, validate_rules
 from ..operators.verdicts import (dropped_packets, forwarded_packets, packet_hosts,
                                   verdicts)
 from ..schemas import APP_KEYWORDS
@@ -376,5 +376,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **io.queries(),
     }
 
-
-__all__ = ["queries", "standard_rules", "derived_rule_candidates", "rules_frame"]

@@ -12,7 +12,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.verdicts import packet_hosts, verdicts
+from ..operators.verdicts import packet_hosts
 from ..plans.analyze import analyze
 from ..session import scratch_path
 from ..sources.events import packets
@@ -140,5 +140,3 @@ def queries():
         "capture_inventory": q_capture_inventory,
     }
 
-
-__all__ = ["queries", "capture_folder", "stream_folder", "verdicts"]

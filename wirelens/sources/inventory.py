@@ -14,13 +14,11 @@ executors with exact record numbers.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CAPTURE_INVENTORY, RAW_PACKETS
-from .pcap import (GLOBAL_HEADER, RECORD_HEADER, CaptureError, _local, _open,
-                   PART_SHIFT, capture_of, capture_name, iter_records,
-                   read_global_header)
+from .pcap import (GLOBAL_HEADER, RECORD_HEADER, CaptureError, _open, capture_name,
+                   capture_of, iter_records, read_global_header)
 
 DEFAULT_CHUNK_BYTES = 128 << 20
 
@@ -172,6 +170,3 @@ def read_pcap_split(spark: SparkSession, path: str, chunk_bytes: int = DEFAULT_C
     n = max(1, spark.sparkContext.defaultParallelism)
     return idx.repartition(n).mapInArrow(_chunk_records, RAW_PACKETS)
 
-
-__all__ = ["capture_files", "capture_inventory", "capture_index", "read_pcap_split",
-           "DEFAULT_CHUNK_BYTES", "F", "_local"]
