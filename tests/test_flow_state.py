@@ -107,3 +107,28 @@ def test_dns_flow_sticky_and_domain_unblock(spark):
     got = {r.seq: (r.app_state, r.blocked) for r in apply_rules(st, rules).collect()}
     assert got == {0: ("DNS", False), 1: ("DNS", False), 2: ("Facebook", True),
                    3: ("Facebook", False)}
+
+
+def test_hot_flow_is_split_and_exact(spark):
+    """One flow holds a third of all packets: its window partitions stay
+    within ``bucket_rows`` and the running state is still exact."""
+    from pyspark.sql import functions as F
+    rows = random_rows(5, n=1200, flows=40)
+    hot = dict(rows[0])
+    for i, r in enumerate(rows):
+        if i % 3 == 0:
+            for k in FLOW_KEY + ["port_app"]:
+                r[k] = hot[k]
+    expect, _ = simulate(rows)
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    b = 50
+    st = with_flow_state(df, bucket_rows=b)
+    got = {r.seq: (r.app_state, r.host_state, r.flow_packets, r.flow_bytes)
+           for r in st.select("seq", "app_state", "host_state", "flow_packets",
+                              "flow_bytes").collect()}
+    assert got == expect
+    sizes = (df.groupBy(*FLOW_KEY, F.expr(f"seq div {b}").alias("bucket")).count()
+             .agg(F.max("count")).first()[0])
+    assert sizes <= b
+    hot_rows = sum(1 for r in rows if all(r[k] == hot[k] for k in FLOW_KEY))
+    assert hot_rows >= 400
