@@ -126,7 +126,14 @@ def q_stream_totals(spark, sf):
 
 
 def q_capture_inventory(spark, sf):
-    return capture_inventory(spark, capture_folder(spark, sf, "daily"))
+    """Inventory of the written capture files, summed per capture folder
+    (file paths and part counts are run-specific, the sums are not)."""
+    inv = capture_inventory(spark, capture_folder(spark, sf, "daily"))
+    cap = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    return inv.groupBy(cap.alias("capture_id"), "byte_order", "version", "snaplen", "link_type").agg(
+        F.sum("n_packets").cast("bigint").alias("n_packets"),
+        F.sum("n_bytes").cast("bigint").alias("n_bytes"),
+        F.count_if(c("error").isNotNull()).cast("bigint").alias("errors"))
 
 
 def queries():

@@ -396,6 +396,11 @@ def oracle_sql() -> dict[str, str]:
             "CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, "
             "CAST(packet_count AS BIGINT) AS packet_count, CAST(byte_count AS BIGINT) AS byte_count, "
             "app, host FROM fl"),
+        "capture_inventory": _q(
+            "SELECT capture_id, 'little' AS byte_order, '2.4' AS version, "
+            "CAST(65535 AS BIGINT) AS snaplen, CAST(1 AS BIGINT) AS link_type, "
+            "CAST(count(*) AS BIGINT) AS n_packets, CAST(sum(packet_bytes) AS BIGINT) AS n_bytes, "
+            "CAST(0 AS BIGINT) AS errors FROM pb GROUP BY capture_id", "daily"),
         "stream_totals": _q(
             "SELECT capture_id, CAST(count(*) AS BIGINT) AS total_packets, "
             "CAST(sum(packet_bytes) AS BIGINT) AS total_bytes, "
