@@ -57,7 +57,8 @@ def _verdicts(spark, sf, layout="single"):
 
 
 def _analysis(spark, sf, layout="single", mode="packet"):
-    return analyze(_raw(spark, sf, layout), standard_rules(spark), mode=mode)
+    return analyze(_raw(spark, sf, layout), standard_rules(spark), mode=mode,
+                   processing_time_ms=0)
 
 
 def _b(col: str) -> F.Column:

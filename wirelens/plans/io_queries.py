@@ -77,7 +77,8 @@ def q_pcap_scan(spark, sf):
 def q_pcap_roundtrip(spark, sf):
     from .catalog import standard_rules
 
-    a = analyze(packets(spark, sf, "single"), standard_rules(spark), keep_data=True)
+    a = analyze(packets(spark, sf, "single"), standard_rules(spark), keep_data=True,
+                processing_time_ms=0)
     out = scratch_path(spark, "forwarded")
     write_pcap(a.forwarded, out)
     back = read_pcap(spark, out)
