@@ -17,11 +17,12 @@ into one task, so the scan is done in two levels:
 1. rows are windowed per (flow, seq bucket) - a bucket holds at most
    ``bucket_rows`` consecutive sequence numbers, so no window partition is
    larger than that, whatever the flow size;
-2. a per-(flow, bucket) summary (a hash aggregate with map-side partials)
-   is scanned per flow over *buckets* (tiny) to get the carry-in of all
-   earlier buckets, and joined back on (flow, bucket). The big side of
-   that join is already partitioned on exactly those keys, so only the
-   small carry table moves.
+2. a per-(flow, bucket) summary (one row per flow bucket, read from the
+   checkpointed window output without a shuffle) is scanned per flow over
+   *buckets* to get the carry-in of all earlier buckets, and joined back on
+   (flow, bucket). The big side of that join is the checkpoint, already
+   hash-partitioned and sorted on exactly that key, so only the small carry
+   table moves.
 
 Flow mode and the flow table need only the final state, which is a plain
 hash aggregate (``min_by`` / ``max_by`` with FILTER) - no sort, no window.
@@ -89,8 +90,7 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     bucket = F.when(c("is_parsed"), F.expr(f"seq div {b}")).otherwise(-1 - c("seq")).cast("bigint")
     # One non-nullable struct key per (flow, bucket): partitioning and the
     # join-back use a single column, so the optimizer infers no per-field
-    # NOT NULL filters to push below the window, and both window branches
-    # keep one identical (reused) exchange.
+    # NOT NULL filters to push below the window into the decode.
     df = df.withColumn("__bucket", bucket)
     df = df.withColumns({"__fk": F.struct(*FLOW_KEY, "__bucket"),
                          "__flow": F.struct(*FLOW_KEY)})
