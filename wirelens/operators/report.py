@@ -58,7 +58,8 @@ def traffic_totals(seg: DataFrame) -> DataFrame:
 
 def flows_from_segments(seg: DataFrame) -> DataFrame:
     """The flow table (A4) from segments: the final state is the state of
-    the segment holding the flow's last packet."""
+    the segment holding the flow's last packet; ``first_seq`` is the flow's
+    first packet."""
     c = F.col
     return (seg.filter(c("is_parsed")).groupBy(*FLOW_KEY).agg(
         F.sum("n").cast("bigint").alias("packet_count"),
@@ -66,6 +67,7 @@ def flows_from_segments(seg: DataFrame) -> DataFrame:
         F.max_by("app_state", "last_seq").alias("app"),
         F.max_by("host_state", "last_seq").alias("host"),
         F.bool_or(c("n_blocked") > 0).alias("blocked"),
+        F.min("first_seq").alias("first_seq"),
     ))
 
 
@@ -118,10 +120,7 @@ def detected_hosts(seg: DataFrame, mode: str = "packet") -> DataFrame:
                 .groupBy("capture_id", c("host_state").alias("host"), c("app_state").alias("app"))
                 .agg(F.min("first_seq").alias("first_seq")))
     if mode == "flow":
-        fl = (seg.filter(c("is_parsed")).groupBy(*FLOW_KEY).agg(
-            F.max_by("app_state", "last_seq").alias("app"),
-            F.max_by("host_state", "last_seq").alias("host"),
-            F.min("first_seq").alias("first_seq")))
+        fl = flows_from_segments(seg)
         return (fl.filter(F.length("host") > 0).groupBy("capture_id", "host", "app")
                 .agg(F.min("first_seq").alias("first_seq")))
     raise ValueError(f"mode must be 'packet' or 'flow', not {mode!r}")
