@@ -29,7 +29,7 @@ from ..functions.ip import ip_parse, ip_parse_error
 from ..schemas import RULES
 from .substrings import substring_matches
 
-INLINE_IPS = 50_000
+INLINE_IPS = 10_000
 INLINE_DOMAINS = 64
 INLINE_APPS = 1_000
 
