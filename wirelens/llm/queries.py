@@ -3,7 +3,7 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from wirelens.llm import op5_mix, op10_fingerprint
+from wirelens.llm import op1_secrets, op4_bpe, op5_mix, op10_fingerprint
 from wirelens.llm.common import table
 
 
@@ -13,10 +13,12 @@ def _over(name, fn):
 
 def queries():
     return {
+        "op1_secret_scan": _over("documents", op1_secrets.query),
+        "op4_bpe": _over("documents", op4_bpe.query),
         "op5_mix_sources": _over("documents", op5_mix.query),
         "op10_fingerprint": _over("documents", op10_fingerprint.query),
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op1_secret_scan": op1_secrets.oracle()}
