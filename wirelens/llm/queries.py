@@ -3,7 +3,7 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from wirelens.llm import op1_secrets, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op9_html, op10_fingerprint
+from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op9_html, op10_fingerprint
 from wirelens.llm.common import table
 
 
@@ -14,6 +14,7 @@ def _over(name, fn):
 def queries():
     return {
         "op1_secret_scan": _over("documents", op1_secrets.query),
+        "op2_lm_score": _over("documents", op2_lm.query),
         "op3_minhash_dedup": _over("documents", op3_minhash.query),
         "op4_bpe": _over("documents", op4_bpe.query),
         "op5_mix_sources": _over("documents", op5_mix.query),
