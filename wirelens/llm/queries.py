@@ -3,7 +3,7 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op9_html, op10_fingerprint
+from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op8_repeats, op9_html, op10_fingerprint
 from wirelens.llm.common import table
 
 
@@ -20,6 +20,7 @@ def queries():
         "op5_mix_sources": _over("documents", op5_mix.query),
         "op6_language_id": _over("documents", op6_language.query),
         "op7_embedding_dedup": _over("embeddings", op7_embeddings.query),
+        "op8_suffix_dedup": _over("documents", op8_repeats.query),
         "op9_html_text": _over("pages", op9_html.query),
         "op10_fingerprint": _over("documents", op10_fingerprint.query),
     }
