@@ -148,6 +148,11 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a document: doc_id, spans (array of start, kind: the rule's
     place in ``rules``, end; sorted)."""
+    return _found(docs, rules).select("doc_id", "spans")
+
+
+def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, the row's key (k1, k2) and spans of every row."""
     d = _keyed(docs)
     asked = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in asked.items() if q}
@@ -163,7 +168,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         verified = verified.filter(F.size("verified") > 0).dropDuplicates(["k1", "k2"])
         out = out.join(verified, ["k1", "k2"], "left").withColumn(
             "scanned", F.concat("scanned", F.coalesce("verified", none)))
-    return out.select("doc_id", F.array_sort("scanned").alias("spans"))
+    return out.select("doc_id", "k1", "k2", F.array_sort("scanned").alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -180,6 +185,18 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def redacted_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the secrets of the texts redacted and n_chars renewed;
+    texts without secrets, null ones among them, stay as they are."""
+    hit = (_found(docs, rules).filter(F.size("spans") > 0).dropDuplicates(["k1", "k2"])
+           .select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")).hint("shuffle_hash"))
+    # the key of _keyed
+    key = (F.coalesce("doc_id", F.lit(-(2 ** 63))) == F.col("__k1")) & (F.xxhash64("text") == F.col("__k2"))
+    d = docs.join(hit, key, "left").withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))
+    return d.select(*[F.col("__text").alias(c) if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text")).alias(c)
+                      if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def listed(spans: Column, names: list[str]) -> Column:
     """kind:start:end of all spans, comma-joined."""
     name = F.array(*map(F.lit, names))

@@ -172,5 +172,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one document of each
+    group of near duplicates, the one of the smallest id (of rows that repeat
+    that id the first by text). Rows with a null id stay."""
+    kept = near_duplicates(docs, words, percent).filter("kept").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    d = docs.join(kept, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
+    return d.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)

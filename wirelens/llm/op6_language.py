@@ -204,6 +204,17 @@ def identify_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return identify(docs, key, F.col("text"), F.col("lang"), F.col("source"), labelled_documents(docs))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that identify_documents keeps, all columns. Rows
+    of one id, text, declared language and source are decided alike."""
+    def keys(d):
+        return d.withColumn("__id", F.col("doc_id")).withColumn("__row", F.xxhash64("text", "lang", "source"))
+
+    named = keys(docs.select("doc_id", "text", "lang", "source")).withColumn("__key", F.struct("__id", "__row"))
+    kept = identify_documents(named, "__key").filter("kept").select(F.col("__key.__id").alias("__a"), F.col("__key.__row").alias("__b"))
+    return keys(docs).join(kept, F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__row") == F.col("__b")), "left_semi").drop("__id", "__row")
+
+
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Web pages: language of the html tag, address suffix and host; the text
     is the markup without scripts, styles and tags."""
