@@ -69,6 +69,7 @@ def rotation(classes: DataFrame, dim: int) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix of the pairs of rows whose cosine reaches the threshold."""
     dim = a.shape[1]
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))  # squares stay in range
     ua, ub = _unit(a) @ axes, _unit(b) @ axes
     na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
     steps = [s for s in STEPS if s < dim] + [dim]
