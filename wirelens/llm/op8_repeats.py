@@ -200,17 +200,34 @@ def again(d: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(answer, "batch long, shard long, keys binary, several binary")
 
 
+SEGMENTS = "batch long, anchor long, content long, n long, place long, others binary, bytes binary"
+
+
+def _distinct(batch, data: bytes, start, n, anchor, content, place, several) -> pd.DataFrame:
+    """Rows of SEGMENTS: a batch's segments, equal ones once."""
+    order = np.lexsort((place, content, anchor))
+    new = np.ones(len(order), bool)
+    a, c = anchor[order], content[order]
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    heads = np.flatnonzero(new)
+    each = place[order].astype("<i8").tobytes()
+    stops = np.append(heads[1:], len(order))
+    one = order[heads]
+    return pd.DataFrame({"batch": batch, "anchor": anchor[one].view(np.int64), "content": content[one].view(np.int64), "n": n[one], "place": place[one],
+                         "others": [each[8 * i + 8:8 * j] if j > i + 1 else None for i, j in zip(heads.tolist(), stops.tolist())],
+                         "bytes": [data[s:s + m + WIDTH - 1] if v else None for s, m, v in zip(start[one].tolist(), n[one].tolist(), several[one].tolist())]})
+
+
 def repeated_segments(packed: DataFrame, told: DataFrame, shards: int) -> DataFrame:
     """(batch, anchor, content, n, place, others, bytes): each batch's
     distinct segments with an anchor that occurs again; place and others (null
     or packed longs) are where they start, bytes is null if the anchor has no
     other content."""
     bits = np.uint64(shards.bit_length() - 1)
-    columns = ["batch", "anchor", "content", "n", "place", "others", "bytes"]
 
     def find(key, texts, told):
         if not len(texts) or not len(told):
-            return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([])
         _, raw = _unpack(texts)
         b, ends = _joined(raw)
         start, n, anchor, content = segments(b, ends, LEVELS[0])
@@ -224,21 +241,10 @@ def repeated_segments(packed: DataFrame, told: DataFrame, shards: int) -> DataFr
         start, n, anchor, content, several = start[on], n[on], anchor[on], content[on], several[at[on]]
         doc = np.searchsorted(ends, start, "right")
         place = (doc << PLACE) | (start - np.concatenate([[0], ends])[doc])
-        order = np.lexsort((place, content, anchor))
-        new = np.ones(len(order), bool)
-        a, c = anchor[order], content[order]
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        heads = np.flatnonzero(new)
-        each = place[order].astype("<i8").tobytes()
-        stops = np.append(heads[1:], len(order))
-        one = order[heads]
-        data = b.tobytes()
-        return pd.DataFrame({"batch": key[0], "anchor": anchor[one].view(np.int64), "content": content[one].view(np.int64), "n": n[one], "place": place[one],
-                             "others": [each[8 * i + 8:8 * j] if j > i + 1 else None for i, j in zip(heads.tolist(), stops.tolist())],
-                             "bytes": [data[s:s + m + WIDTH - 1] if v else None for s, m, v in zip(start[one].tolist(), n[one].tolist(), several[one].tolist())]})
+        return _distinct(key[0], b.tobytes(), start, n, anchor, content, place, several)
 
     return packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(
-        find, "batch long, anchor long, content long, n long, place long, others binary, bytes binary")
+        find, SEGMENTS)
 
 
 def equal_strings(anchor: np.ndarray, batch: np.ndarray, place: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,18 +301,15 @@ def _compare(key, pdf):
     return pd.DataFrame({"batch": batch[who], "place": place[who] + off, "n": n})
 
 
-def _again(k: int):
-    """Cuts segments (anchor, batch, place, bytes) by anchors of k bytes."""
-    def cut_again(batches):
-        for pdf in batches:
-            b, ends = _joined(list(pdf["bytes"]))
-            start, n, anchor, content = segments(b, ends, k)
-            which = np.searchsorted(ends, start, "right")
-            data = b.tobytes()
-            yield pd.DataFrame({
-                "anchor": mix(anchor + np.uint64(k)).view(np.int64), "content": content.view(np.int64), "n": n, "batch": pdf["batch"].to_numpy(np.int64)[which],
-                "place": pdf["place"].to_numpy(np.int64)[which] + start - np.concatenate([[0], ends])[which],
-                "bytes": [data[s:s + m + WIDTH - 1] for s, m in zip(start.tolist(), n.tolist())]})
+def _finer(k: int):
+    """Cuts a batch's segments again, by anchors of k bytes."""
+    def cut_again(key, pdf):
+        b, ends = _joined(list(pdf["bytes"]))
+        start, n, anchor, content = segments(b, ends, k)
+        which = np.searchsorted(ends, start, "right")
+        place = pdf["place"].to_numpy(np.int64)[which] + start - np.concatenate([[0], ends])[which]
+        return _distinct(key[0], b.tobytes(), start, n, mix(anchor + np.uint64(k)), content, place, np.ones(len(n), bool))
+
     return cut_again
 
 
@@ -317,13 +320,14 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = 1 << max(0, size // 35 // SHARD).bit_length()
     found = repeated_segments(packed, again(d, shards), shards)
-    first = F.row_number().over(Window.partitionBy("anchor", "content").orderBy("batch")) == 1
-    found = cut(found.withColumn("first", first), "segments")
-    # of the owner's own places the first stays
-    out = found.filter("NOT first OR others IS NOT NULL").select("batch", F.expr("if(first, null, place)").alias("place"), "others", "n")
-    alone = F.lit(None).cast("binary").alias("others")
-    rest = found.filter("first AND bytes IS NOT NULL").select("anchor", "batch", "place", "bytes")
+    out = None
     for k in (*LEVELS[1:], None):
+        # of equal segments the earliest stays; a batch has one row of them
+        first = F.row_number().over(Window.partitionBy("anchor", "content").orderBy("batch")) == 1
+        found = cut(found.withColumn("first", first), "segments")
+        whole = found.filter("NOT first OR others IS NOT NULL").select("batch", F.expr("if(first, null, place)").alias("place"), "others", "n")
+        out = out.union(whole) if out else whole
+        rest = found.filter("first AND bytes IS NOT NULL").select("anchor", "batch", "place", "bytes")
         several = cut(rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("bytes")).alias("size")).filter("m > 1"), "anchors")
         met = several.filter(F.col("m") <= CROWD) if k else several
         total = met.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -331,18 +335,12 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
             bucket = F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(-(-total // BUCKET)))
             marks = (rest.join(met.select("anchor").hint("shuffle_hash"), "anchor").withColumn("bucket", bucket).groupBy("bucket")
                      .applyInPandas(_compare, "batch long, place long, n long"))
-            out = out.union(cut(marks, "marks").select("batch", "place", alone, "n"))
+            out = out.union(cut(marks, "marks").select("batch", "place", F.lit(None).cast("binary").alias("others"), "n"))
         crowds = several.filter(F.col("m") > CROWD).select("anchor").hint("shuffle_hash")
         if not k or crowds.isEmpty():
-            return out
-        finer = cut(rest.join(crowds, "anchor").select("batch", "place", "bytes").mapInPandas(
-            _again(k), "anchor long, content long, n long, batch long, place long, bytes binary"), "finer")
-        # of equal segments the earliest stays: partial minima first, then the others by a join
-        owners = (finer.groupBy("anchor", "content", "batch").agg(F.min("place").alias("place"))
-                  .groupBy("anchor", "content").agg(F.min(F.struct("batch", "place")).alias("own")))
-        finer = cut(finer.join(owners, ["anchor", "content"]).withColumn("first", F.struct("batch", "place") == F.col("own")).drop("own"), "owned")
-        out = out.union(finer.filter("NOT first").select("batch", "place", alone, "n"))
-        rest = finer.filter("first").select("anchor", "batch", "place", "bytes")
+            break
+        found = rest.join(crowds, "anchor").select("batch", "place", "bytes").groupBy("batch").applyInPandas(_finer(k), SEGMENTS)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
