@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Pieces of up to this many bytes are encoded in groups; so many per group.
 SHORT, GROUP = 64, 8192
 #: Memo entries per worker, and texts of a batch taken together (characters).
-MEMO, CHUNK = 300_000, 1_000_000
+MEMO, CHUNK = 600_000, 1_000_000
 NONE = np.int64(1 << 62)
 
 
@@ -61,16 +61,15 @@ class Vocabulary:
 
     def encode_group(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian uint32 bytes) of pieces of up to SHORT bytes."""
-        n = np.array([len(p) for p in pieces])
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = int(n.max())
         leaves = 1 << max(1, (width - 1).bit_length())
         rows = np.arange(len(pieces))
         ids = np.zeros((len(pieces), width + 1), np.int64)
-        for i, p in enumerate(pieces):
-            ids[i, :len(p)] = self.byte[np.frombuffer(p, np.uint8)]
+        live = np.arange(width)[None, :] < n[:, None]
+        ids[:, :width][live] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         after = np.tile(np.arange(1, width + 2), (len(pieces), 1))
         before = np.tile(np.arange(-1, width), (len(pieces), 1))
-        live = np.arange(width)[None, :] < n[:, None]
         tree = np.full((len(pieces), 2 * leaves), NONE, np.int64)
         if width > 1:
             r = self._ranks(ids[:, :width - 1], ids[:, 1:width])
@@ -161,19 +160,19 @@ class Vocabulary:
         """Put all of ``pieces`` into the memo."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, short = self.memo, []
+        memo, whole, short = self.memo, self.whole, []
         for p in set(pieces).difference(memo):
             b = p.encode()
-            if (r := self.whole.get(b)) is not None:
-                memo[p] = r.to_bytes(4, "little")
+            if b in whole:
+                memo[p] = whole[b].to_bytes(4, "little")
             elif len(b) <= SHORT:
-                short.append((len(b), p, b))
+                short.append(b)
             else:
                 memo[p] = self.encode_long(b)
-        short.sort()
+        short.sort(key=len)
         for i in range(0, len(short), GROUP):
             part = short[i:i + GROUP]
-            memo.update(zip([p for _, p, _ in part], self.encode_group([b for *_, b in part])))
+            memo.update(zip(map(bytes.decode, part), self.encode_group(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
@@ -181,7 +180,7 @@ class Vocabulary:
 
         def flush():
             split = [self.pattern.findall(t) for t in chunk]
-            self._learn(p for s in split for p in s)
+            self._learn(chain.from_iterable(split))
             out.extend(b"".join(map(self.memo.__getitem__, s)) for s in split)
 
         for t in texts:
