@@ -18,6 +18,8 @@ from .substrings import substring_matches
 
 # Keyword tables up to this many rows are inlined as an expression.
 INLINE_KEYWORDS = 512
+# A keyword without a priority comes last.
+LAST_PRIORITY = 2 ** 31 - 1
 
 
 def default_keywords(spark: SparkSession) -> DataFrame:
@@ -30,7 +32,7 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
     """Adds ``named`` (keyword class or NULL) and ``port_app`` (port class).
 
     With ``keywords`` (``priority, keyword, app``), the lowest priority
-    matching keyword (then the smallest keyword, for determinism) wins.
+    matching keyword wins, then the smallest keyword, then the smallest app.
     """
     df = df.withColumn("port_app", cached_column("port_app", lambda: port_app(F.col("svc_port"))))
     if keywords is None:
@@ -38,8 +40,8 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
     small = keywords.limit(INLINE_KEYWORDS + 1).collect() if strategy != "join" else None
     if small is not None and len(small) <= INLINE_KEYWORDS:
         # bounded table: one CASE chain in codegen, no join at all
-        rows = sorted((int(r["priority"]), str(r["keyword"]).lower(), r["app"])
-                      for r in small if r["keyword"] is not None)
+        rows = sorted((LAST_PRIORITY if r["priority"] is None else int(r["priority"]), str(r["keyword"]).lower(), str(r["app"]))
+                      for r in small if r["keyword"] is not None and r["app"] is not None)
         h = F.lower(F.col("host"))
         expr = None
         for _prio, kw, app in rows:
@@ -49,12 +51,12 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
         return df.withColumn("named", named.cast("string"))
     hosts = (df.select(F.lower("host").alias("h"))
              .filter(F.length("h") > 0).distinct())
-    kw = keywords.select(F.col("priority").cast("int").alias("priority"),
+    kw = keywords.filter("app IS NOT NULL").select(F.coalesce(F.col("priority").cast("int"), F.lit(LAST_PRIORITY)).alias("priority"),
                          F.lower("keyword").alias("keyword"),
                          F.col("app").cast("string").alias("app"))
     matches = substring_matches(hosts, "h", kw, "keyword")
     best = (matches.groupBy("h")
-            .agg(F.min_by(F.col("app"), F.struct("priority", "keyword")).alias("named")))
+            .agg(F.min_by(F.col("app"), F.struct("priority", "keyword", "app")).alias("named")))
     out = df.join(best, F.lower(df["host"]) == best["h"], "left").drop("h")
     return out
 

@@ -147,9 +147,10 @@ def traffic_report(totals: DataFrame, apps: DataFrame, hosts: DataFrame,
 
 
 # --- report renderings (S4 JSON, S5 CSV) -----------------------------------
-# Each rendering is a table (capture_id, section, ord, line); writing it
-# ordered by (section, ord) gives the report file of a capture. Host lines
-# are ordered by ``first_seq``, so no step collects the host list.
+# Each rendering is a table (capture_id, section, ord, k, line); writing it
+# ordered by (section, ord, k) gives the report file of a capture. ``ord`` is
+# the rank or ``first_seq`` itself, whatever its size, and closing lines have
+# sections of their own; no step collects the host list.
 
 def _jstr(col) -> Column:
     """JSON string literal of a column (escaped as Jackson would)."""
@@ -158,12 +159,12 @@ def _jstr(col) -> Column:
 
 
 def _lines(df: DataFrame, section: int, items: list[tuple[int, Column]], ord_col: Column) -> DataFrame:
-    """One output row per (input row, item); ``ord = ord_col * 10 + k``."""
+    """One output row per (input row, item)."""
     arr = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), line.alias("line"))
                     for k, line in items])
     return (df.select("capture_id", ord_col.cast("bigint").alias("__o"), F.explode(arr).alias("__l"))
             .select("capture_id", F.lit(section).alias("section"),
-                    (F.col("__o") * 10 + F.col("__l.k")).alias("ord"), F.col("__l.line").alias("line")))
+                    F.col("__o").alias("ord"), F.col("__l.k").alias("k"), F.col("__l.line").alias("line")))
 
 
 def _ranked_apps(apps: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def report_json_lines(totals: DataFrame, apps: DataFrame, hosts: DataFrame,
         (1, F.concat(F.lit('    "sni" : '), _jstr("host"), F.lit(","))),
         (2, F.concat(F.lit('    "appType" : '), _jstr("app"))),
     ]
-    out = out.unionByName(_lines(hf, 2, host_items, F.col("first_seq") + 1))
+    out = out.unionByName(_lines(hf, 3, host_items, F.col("first_seq")))
     n_apps = apps.groupBy("capture_id").agg(F.count(F.lit(1)).alias("__na"))
     n_hosts = hosts.groupBy("capture_id").agg(F.count(F.lit(1)).alias("__nh"))
     tail = (totals.select("capture_id").join(n_apps, "capture_id", "left")
@@ -224,13 +225,13 @@ def report_json_lines(totals: DataFrame, apps: DataFrame, hosts: DataFrame,
         (0, F.when(F.coalesce("__na", F.lit(0)) > 0, F.lit("  } ],"))
          .otherwise(F.lit('  "appBreakdown" : [ ],'))),
     ]
-    out = out.unionByName(_lines(tail, 1, close_items, F.lit(1 << 40)))
+    out = out.unionByName(_lines(tail, 2, close_items, F.lit(0)))
     close_hosts = [
         (0, F.when(F.coalesce("__nh", F.lit(0)) > 0, F.lit("  } ]"))
          .otherwise(F.lit('  "detectedSnis" : [ ]'))),
     ]
-    out = out.unionByName(_lines(tail, 2, close_hosts, F.lit(1 << 58)))
-    out = out.unionByName(_lines(totals, 3, [(0, F.lit("}"))], F.lit(0)))
+    out = out.unionByName(_lines(tail, 4, close_hosts, F.lit(0)))
+    out = out.unionByName(_lines(totals, 5, [(0, F.lit("}"))], F.lit(0)))
     return out
 
 
@@ -255,7 +256,7 @@ def report_csv_lines(totals: DataFrame, apps: DataFrame, hosts: DataFrame,
     out = out.unionByName(_lines(totals, 2, [(0, F.lit("")), (1, F.lit("SNI,Application"))],
                                  F.lit(0)))
     hl = F.concat(F.col("host"), F.lit(","), F.col("app"))
-    out = out.unionByName(_lines(hosts, 2, [(0, hl)], F.col("first_seq") + 1))
+    out = out.unionByName(_lines(hosts, 3, [(0, hl)], F.col("first_seq")))
     return out
 
 
@@ -263,8 +264,8 @@ def write_report_lines(lines: DataFrame, path: str) -> None:
     """Write each capture's lines, in order, as text files under ``path``
     (``capture_id=<id>/part-*.txt``): range-partitioned on the sort key, so
     even a huge host list is written by many tasks in order."""
-    (lines.repartitionByRange("capture_id", "section", "ord")
-     .sortWithinPartitions("capture_id", "section", "ord")
+    (lines.repartitionByRange("capture_id", "section", "ord", "k")
+     .sortWithinPartitions("capture_id", "section", "ord", "k")
      .select("capture_id", "line")
      .write.mode("overwrite").partitionBy("capture_id").text(path))
 

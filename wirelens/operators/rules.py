@@ -31,7 +31,6 @@ from .substrings import substring_matches
 
 INLINE_IPS = 10_000
 INLINE_DOMAINS = 64
-INLINE_APPS = 1_000
 
 
 def rules_frame(spark: SparkSession, ips=(), apps=(), domains=(),
@@ -128,7 +127,7 @@ def _bounded(rules: DataFrame, rule_type: str, limit: int, pre: dict | None = No
 def _collect_small(rules: DataFrame) -> dict | None:
     """The whole rule table by type, in one job, if it is small enough to
     inline every type; None otherwise (each type is then sized alone)."""
-    limit = INLINE_IPS + INLINE_DOMAINS + INLINE_APPS
+    limit = INLINE_IPS + INLINE_DOMAINS
     rows = rules.limit(limit + 1).collect()
     if len(rows) > limit:
         return None
@@ -195,10 +194,15 @@ def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], strategy: str =
 
 
 def _app_flag(df: DataFrame, rules: DataFrame, app_col: str, pre: dict | None = None) -> DataFrame:
-    rows = _bounded(rules, "app", INLINE_APPS, pre)
-    if rows is None:
-        raise ValueError("app rule table larger than the number of classes allows")
-    return df.withColumn("__app_hit", _inline_set_flag(F.col(app_col), _groups(rows, "app")))
+    """App rules of all captures are at most one for each class and become a
+    set; those of single captures, however many, are joined by (capture, app)."""
+    apps = rules.filter(F.col("rule_type") == "app")
+    if pre is not None and all(r["capture_id"] is None for r in pre.get("app", [])):
+        return df.withColumn("__app_hit", _inline_set_flag(F.col(app_col), _groups(pre.get("app", []), "app")))
+    glob = apps.filter(F.col("capture_id").isNull()).select("capture_id", "app").distinct().collect()  # the classes at most
+    per = apps.filter(F.col("capture_id").isNotNull()).select(F.col("capture_id").alias("__cap"), F.col("app").alias("__app"))
+    df = _join_flag(df, per, [("capture_id", "__cap"), (app_col, "__app")], "__app_cap")
+    return df.withColumn("__app_hit", F.col("__app_cap") | _inline_set_flag(F.col(app_col), _groups(glob, "app"))).drop("__app_cap")
 
 
 def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str,

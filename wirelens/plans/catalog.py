@@ -319,13 +319,13 @@ def q_report_per_capture(spark, sf):
 def q_report_csv_lines(spark, sf):
     a = _analysis(spark, sf)
     return R.report_csv_lines(a.totals, a.apps, a.hosts).select(
-        "capture_id", c("section").cast("int").alias("section"), _b("ord"), "line")
+        "capture_id", c("section").cast("int").alias("section"), _b("ord"), _b("k"), "line")
 
 
 def q_report_json(spark, sf):
     a = _analysis(spark, sf)
     return R.report_json_lines(a.totals, a.apps, a.hosts).select(
-        "capture_id", c("section").cast("int").alias("section"), _b("ord"), "line")
+        "capture_id", c("section").cast("int").alias("section"), _b("ord"), _b("k"), "line")
 
 
 def _register_sources():

@@ -192,30 +192,30 @@ hf AS (SELECT *, first_seq = min(first_seq) OVER (PARTITION BY capture_id) AS is
 na AS (SELECT tt.capture_id, (SELECT count(*) FROM bd WHERE bd.capture_id = tt.capture_id) AS n_apps,
           (SELECT count(*) FROM ph WHERE ph.capture_id = tt.capture_id) AS n_hosts FROM tt),
 lines AS (
-  SELECT capture_id, 0 AS section, 0 AS ord, '{{' AS line FROM tt
-  UNION ALL SELECT capture_id, 0, 1, '  "totalPackets" : ' || total_packets || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 2, '  "totalBytes" : ' || total_bytes || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 3, '  "tcpPackets" : ' || tcp_packets || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 4, '  "udpPackets" : ' || udp_packets || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 5, '  "forwarded" : ' || forwarded || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 6, '  "dropped" : ' || dropped || ',' FROM tt
-  UNION ALL SELECT capture_id, 0, 7, '  "processingTimeMs" : 0,' FROM tt
-  UNION ALL SELECT capture_id, 1, rk * 10, CASE WHEN rk = 1 THEN '  "appBreakdown" : [ {{' ELSE '  }}, {{' END FROM ra
-  UNION ALL SELECT capture_id, 1, rk * 10 + 1, '    "appType" : ' || to_json(app) || ',' FROM ra
-  UNION ALL SELECT capture_id, 1, rk * 10 + 2, '    "count" : ' || count || ',' FROM ra
-  UNION ALL SELECT capture_id, 1, rk * 10 + 3, '    "percentage" : ' || {pct_txt} || ',' FROM ra
-  UNION ALL SELECT capture_id, 1, rk * 10 + 4, '    "blocked" : ' || CAST(blocked AS VARCHAR) || ',' FROM ra
-  UNION ALL SELECT capture_id, 1, rk * 10 + 5, '    "bar" : ' || to_json(bar) FROM ra
-  UNION ALL SELECT capture_id, 1, {(1 << 40) * 10},
+  SELECT capture_id, 0 AS section, 0 AS ord, 0 AS k, '{{' AS line FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 1, '  "totalPackets" : ' || total_packets || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 2, '  "totalBytes" : ' || total_bytes || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 3, '  "tcpPackets" : ' || tcp_packets || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 4, '  "udpPackets" : ' || udp_packets || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 5, '  "forwarded" : ' || forwarded || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 6, '  "dropped" : ' || dropped || ',' FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 7, '  "processingTimeMs" : 0,' FROM tt
+  UNION ALL SELECT capture_id, 1, rk, 0, CASE WHEN rk = 1 THEN '  "appBreakdown" : [ {{' ELSE '  }}, {{' END FROM ra
+  UNION ALL SELECT capture_id, 1, rk, 1, '    "appType" : ' || to_json(app) || ',' FROM ra
+  UNION ALL SELECT capture_id, 1, rk, 2, '    "count" : ' || count || ',' FROM ra
+  UNION ALL SELECT capture_id, 1, rk, 3, '    "percentage" : ' || {pct_txt} || ',' FROM ra
+  UNION ALL SELECT capture_id, 1, rk, 4, '    "blocked" : ' || CAST(blocked AS VARCHAR) || ',' FROM ra
+  UNION ALL SELECT capture_id, 1, rk, 5, '    "bar" : ' || to_json(bar) FROM ra
+  UNION ALL SELECT capture_id, 2, 0, 0,
       CASE WHEN n_apps > 0 THEN '  }} ],' ELSE '  "appBreakdown" : [ ],' END FROM na
-  UNION ALL SELECT capture_id, 2, (first_seq + 1) * 10,
+  UNION ALL SELECT capture_id, 3, first_seq, 0,
       CASE WHEN is_first THEN '  "detectedSnis" : [ {{' ELSE '  }}, {{' END FROM hf
-  UNION ALL SELECT capture_id, 2, (first_seq + 1) * 10 + 1, '    "sni" : ' || to_json(host) || ',' FROM hf
-  UNION ALL SELECT capture_id, 2, (first_seq + 1) * 10 + 2, '    "appType" : ' || to_json(app) FROM hf
-  UNION ALL SELECT capture_id, 2, {(1 << 58) * 10},
+  UNION ALL SELECT capture_id, 3, first_seq, 1, '    "sni" : ' || to_json(host) || ',' FROM hf
+  UNION ALL SELECT capture_id, 3, first_seq, 2, '    "appType" : ' || to_json(app) FROM hf
+  UNION ALL SELECT capture_id, 4, 0, 0,
       CASE WHEN n_hosts > 0 THEN '  }} ]' ELSE '  "detectedSnis" : [ ]' END FROM na
-  UNION ALL SELECT capture_id, 3, 0, '}}' FROM tt)
-SELECT capture_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, line FROM lines"""
+  UNION ALL SELECT capture_id, 5, 0, 0, '}}' FROM tt)
+SELECT capture_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, CAST(k AS BIGINT) AS k, line FROM lines"""
 
 
 def _csv_lines() -> str:
@@ -223,22 +223,22 @@ def _csv_lines() -> str:
         ", " + _packet_hosts() + """,
 ra AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY count DESC, app) AS rk FROM bd),
 lines AS (
-  SELECT capture_id, 0 AS section, 0 AS ord, 'Metric,Value' AS line FROM tt
-  UNION ALL SELECT capture_id, 0, 1, 'Total Packets,' || total_packets FROM tt
-  UNION ALL SELECT capture_id, 0, 2, 'Total Bytes,' || total_bytes FROM tt
-  UNION ALL SELECT capture_id, 0, 3, 'TCP Packets,' || tcp_packets FROM tt
-  UNION ALL SELECT capture_id, 0, 4, 'UDP Packets,' || udp_packets FROM tt
-  UNION ALL SELECT capture_id, 0, 5, 'Forwarded,' || forwarded FROM tt
-  UNION ALL SELECT capture_id, 0, 6, 'Dropped,' || dropped FROM tt
-  UNION ALL SELECT capture_id, 0, 7, 'Processing Time (ms),0' FROM tt
-  UNION ALL SELECT capture_id, 1, 0, '' FROM tt
-  UNION ALL SELECT capture_id, 1, 1, 'Application,Count,Percentage,Blocked' FROM tt
-  UNION ALL SELECT capture_id, 1, rk * 10, app || ',' || count || ',' || CAST(percentage AS VARCHAR)
+  SELECT capture_id, 0 AS section, 0 AS ord, 0 AS k, 'Metric,Value' AS line FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 1, 'Total Packets,' || total_packets FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 2, 'Total Bytes,' || total_bytes FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 3, 'TCP Packets,' || tcp_packets FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 4, 'UDP Packets,' || udp_packets FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 5, 'Forwarded,' || forwarded FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 6, 'Dropped,' || dropped FROM tt
+  UNION ALL SELECT capture_id, 0, 0, 7, 'Processing Time (ms),0' FROM tt
+  UNION ALL SELECT capture_id, 1, 0, 0, '' FROM tt
+  UNION ALL SELECT capture_id, 1, 0, 1, 'Application,Count,Percentage,Blocked' FROM tt
+  UNION ALL SELECT capture_id, 1, rk, 0, app || ',' || count || ',' || CAST(percentage AS VARCHAR)
       || ',' || CAST(blocked AS VARCHAR) FROM ra
-  UNION ALL SELECT capture_id, 2, 0, '' FROM tt
-  UNION ALL SELECT capture_id, 2, 1, 'SNI,Application' FROM tt
-  UNION ALL SELECT capture_id, 2, (first_seq + 1) * 10, host || ',' || app FROM ph)
-SELECT capture_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, line FROM lines"""
+  UNION ALL SELECT capture_id, 2, 0, 0, '' FROM tt
+  UNION ALL SELECT capture_id, 2, 0, 1, 'SNI,Application' FROM tt
+  UNION ALL SELECT capture_id, 3, first_seq, 0, host || ',' || app FROM ph)
+SELECT capture_id, CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, CAST(k AS BIGINT) AS k, line FROM lines"""
 
 
 def _rules_validate() -> str:

@@ -97,14 +97,14 @@ PART_SHIFT = 40
 
 def capture_of(path: str) -> tuple[str, int]:
     """(capture id, first seq) of a file. Files written by this library are
-    ``<capture_id>/part-NNNNN.pcap`` (parts in seq order), so the id is the
+    ``<capture_id>/part-NNNNN-<job>.pcap`` (parts in seq order), so the id is the
     folder name and the part number is the high part of ``seq``; any other
     file is its own capture named after the file."""
     import os
     import re
 
     base = os.path.basename(path)
-    m = re.fullmatch(r"part-(\d+)\.pcap", base)
+    m = re.fullmatch(r"part-(\d+)(?:-[0-9a-f]+)?\.pcap", base)
     if m:
         return os.path.basename(os.path.dirname(path)), int(m.group(1)) << PART_SHIFT
     return (base.rsplit(".", 1)[0] if "." in base else base), 0
@@ -228,37 +228,46 @@ class PcapReader(DataSourceReader):
 
 
 class PcapStreamReader(DataSourceStreamReader):
-    """Offsets are counts of files in name order; files must be complete
-    when they appear (move them into the folder)."""
+    """Files in the order of (change time, path); an offset is the last file
+    taken. A file moved or written into the folder later has a later change
+    time whatever its name, so none is lost or repeated over restarts; files
+    must be complete when they appear (move them in) and stay untouched."""
 
     def __init__(self, options):
         self.path = options.get("path")
         self.permissive, self.capture_id, self.glob = _options(options)
         m = options.get("maxFilesPerTrigger")
         self.max_files = int(m) if m else None
-        self._start = 0
+        self._start = None  # the last offset reported, unknown at a start
 
     def _files(self):
-        return list_captures(self.path, self.glob)
+        import os
+
+        return sorted((os.stat(p).st_ctime_ns, p) for p in list_captures(self.path, self.glob))
+
+    @staticmethod
+    def _key(offset):
+        return offset["changed"], offset["path"]
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"changed": -1, "path": ""}
 
     def latestOffset(self):
-        # each call admits at most maxFilesPerTrigger more files than the
-        # previous call reported (the source has no read-limit hook)
-        n = len(self._files())
-        if self.max_files is not None:
-            n = min(n, self._start + self.max_files)
-        self._start = max(self._start, n)
-        return {"files": n}
+        # Spark doesn't say where the query stands (no read limit, and on a new
+        # query this comes before initialOffset): the first call admits all
+        # files there are, later ones maxFilesPerTrigger more than the last
+        files = self._files()
+        if self.max_files is not None and self._start is not None:
+            files = [f for f in files if f > self._start][:self.max_files]
+        last = files[-1] if files else self._start or (-1, "")
+        self._start = max(self._start or last, last)
+        return {"changed": last[0], "path": last[1]}
 
     def partitions(self, start, end):
-        files = self._files()
-        return [CaptureFile(p) for p in files[start["files"]:end["files"]]]
+        return [CaptureFile(f[1]) for f in self._files() if self._key(start) < f <= self._key(end)]
 
     def commit(self, end):
-        self._start = max(self._start, end["files"])
+        self._start = max(self._start or self._key(end), self._key(end))
 
     def read(self, partition):
         yield from _batches(partition.path, self.capture_id, self.permissive)
@@ -270,15 +279,30 @@ class WrittenFiles(WriterCommitMessage):
 
 
 class PcapWriter(DataSourceArrowWriter):
+    """Part files have names of their own job and numbers after those that
+    are there, so that appended packets follow the earlier ones and no commit
+    replaces a file. An overwrite drops the earlier files when the new ones
+    stand; a job that fails leaves the folder as it was."""
+
     def __init__(self, options, overwrite: bool):
+        import uuid
+
         self.path = _local(options.get("path"))
         self.overwrite = overwrite
-        if overwrite:
-            import os
-            import shutil
+        self.job = uuid.uuid4().hex[:12]
+        self.old = self._parts()
+        numbers = [capture_of(p)[1] >> PART_SHIFT for p in self.old]
+        self.first = 0 if overwrite or not numbers else max(numbers) + 1
+
+    def _parts(self):
+        import os
+
+        return list_captures(self.path) if os.path.isdir(self.path) else []
+
+    def _temporary(self):
+        import os
 
-            if os.path.isdir(self.path):
-                shutil.rmtree(self.path)
+        return os.path.join(self.path, "_temporary", self.job)
 
     def write(self, iterator):
         import os
@@ -289,7 +313,7 @@ class PcapWriter(DataSourceArrowWriter):
 
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        tmp_dir = os.path.join(self.path, "_temporary", uuid.uuid4().hex)
+        tmp_dir = os.path.join(self._temporary(), uuid.uuid4().hex)
         os.makedirs(tmp_dir, exist_ok=True)
         head = struct.pack("<IHHiiII", MAGIC_BE, WRITE_VERSION[0], WRITE_VERSION[1], 0, 0,
                            WRITE_SNAPLEN, LINKTYPE_ETHERNET)
@@ -306,7 +330,7 @@ class PcapWriter(DataSourceArrowWriter):
                         tmp = os.path.join(tmp_dir, f"{len(files)}.pcap")
                         f = files[cap] = open(tmp, "wb")
                         f.write(head)
-                        moves.append((tmp, os.path.join(self.path, cap, f"part-{pid:05d}.pcap")))
+                        moves.append((tmp, os.path.join(self.path, cap, f"part-{self.first + pid:05d}-{self.job}.pcap")))
                     n = len(data)
                     f.write(rec.pack((sec or 0) & 0xFFFFFFFF, (usec or 0) & 0xFFFFFFFF, n, n))
                     f.write(data)
@@ -324,14 +348,17 @@ class PcapWriter(DataSourceArrowWriter):
                 continue
             for tmp, final in m.moves:
                 os.makedirs(os.path.dirname(final), exist_ok=True)
-                os.replace(tmp, final)
-        shutil.rmtree(os.path.join(self.path, "_temporary"), ignore_errors=True)
+                os.rename(tmp, final)
+        if self.overwrite:
+            for p in self.old:
+                os.unlink(p)
+        shutil.rmtree(self._temporary(), ignore_errors=True)
 
     def abort(self, messages):
         import os
         import shutil
 
-        shutil.rmtree(os.path.join(self.path, "_temporary"), ignore_errors=True)
+        shutil.rmtree(self._temporary(), ignore_errors=True)
 
 
 class PcapDataSource(DataSource):
