@@ -9,10 +9,19 @@ a bucket.
 
 Every bucket gives a star: edges from its smallest class to the others, so a
 bucket of m classes gives m - 1 edges. Edges are confirmed by intersecting
-the full sets. Where a bucket still holds several components afterwards, the
-next classes of the bucket become centres - 4, 16, 64, ... in all - for the
-pairs across components not yet tested, until every bucket is one component
-or has been tested in full; no link inside a bucket is lost.
+the full sets. Where a bucket still holds several components afterwards:
+
+- A class that shares fewer than 80 percent of its shingles with the other
+  sets of such buckets can have no link there and leaves.
+- Of the others, pairs with a shingle in common that at most ``RARE`` of them
+  hold are made from that shingle, and tested where the rare ones in common
+  and the smaller number of other shingles allow a link.
+- The rest have only frequent shingles in common; the next 4, 16, 64, ...
+  classes of a bucket become centres for the pairs across components whose
+  numbers of frequent shingles allow a link, each centre leaving the bucket,
+  until what is left of every bucket is one component.
+
+The bounds are exact, so no link inside a bucket is lost.
 
 With 32 bands of 4 rows, a pair of similarity 0.8 shares no bucket with
 probability (1 - 0.8^4)^32, about 5e-8.
@@ -38,6 +47,8 @@ SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 #: Percent of the union that the intersection needs.
 PERCENT = 80
+#: A shingle in no more sets than this is rare: its pairs are made directly.
+RARE = 64
 
 
 def _walks(steps: int) -> np.ndarray:
@@ -115,6 +126,46 @@ def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
 
 
+def shared_counts(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rep, s: how many of the set of each ``rep`` of ``rows`` also lie in
+    another set. Its intersection with any of them is no larger. (A rep of
+    several sets has the largest such number.)"""
+    own = items.join(rows.select("rep").distinct(), "rep").select("rep", "items", F.xxhash64("items").alias("set"))
+    alone = (own.select("rep", "set", F.explode("items").alias("h")).groupBy("h")
+             .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rep", "set")).alias("of")).filter("k = 1"))
+    alone = alone.groupBy("of.rep", "of.set").agg(F.count(F.lit(1)).alias("u"))
+    left = own.select("rep", "set", F.size("items").alias("n")).join(alone, ["rep", "set"], "left")
+    return left.groupBy("rep").agg(F.max(F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
+def rare_pairs(rows: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For the sets of ``rows`` (rep, n, component): (rep, s), the shingles of
+    each that lie in more than ``RARE`` of the sets, and all pairs (a, b)
+    across components that have a rarer shingle in common and may be similar:
+    their intersection is no larger than the rare ones in common and the
+    smaller number of others. A shingle gives fewer than RARE / 2 pairs a set."""
+    reps = rows.groupBy("rep").agg(F.min("n").alias("n"), F.first("component").alias("component"))
+    own = items.join(reps, "rep").select("rep", "component", "n", "items", F.xxhash64("items").alias("set"))
+    every = own.select("rep", "component", "set", F.explode("items").alias("h"))
+    common = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > RARE).select("h"), "common")
+    rare = cut(every.join(common, "h", "left_anti").select("rep", "component", "set", "h"), "rare")
+    u = rare.groupBy("rep", "set").agg(F.count(F.lit(1)).alias("u"))
+    most = F.max(F.size("items") - F.coalesce("u", F.lit(0)))
+    counts = cut(own.join(u, ["rep", "set"], "left").groupBy("rep", "component").agg(F.min("n").alias("n"), most.alias("s")), "counts")
+    x, y = (rare.select("h", F.col("rep").alias(k), F.col("component").alias(f"{k}_of")) for k in "ab")
+    both = (x.join(y, "h").filter("a < b AND a_of <> b_of").groupBy("a", "b").agg(F.count(F.lit(1)).alias("r"))
+            .join(counts.select(F.col("rep").alias("a"), "n", "s"), "a")
+            .join(counts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t")), "b"))
+    may = (F.col("r") + F.least("s", "t")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return counts.select("rep", "s"), both.filter(may).select("a", "b")
+
+
+def _mixed(told: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components."""
+    of = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return told.join(of.filter("lo < hi").select("bucket"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): doc_id, n_shingles,
     component_id and kept."""
@@ -136,29 +187,38 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
              .select("a", "b").distinct())
     tested = cut(pairs, "stars")
     links = cut(confirmed(tested, items, percent), "links")
-    centres = 1
+    def told(left):
+        now = left.join(comp, F.col("rep") == F.col("id"), "left")
+        return _mixed(now.select(*left.columns, F.coalesce("component", "rep").alias("component")))
+
+    comp = cut(components(links), "components")
+    left = cut(told(met.select("bucket", "rep", "n")), "mixed")
+    left = left.join(shared_counts(left, items), "rep").filter(F.col("s") * 100 >= F.col("n") * percent).drop("s")
+    left = cut(_mixed(left), "mixed")
+    counts, fresh = rare_pairs(left, items, percent)
+    fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
+    tested = tested.union(fresh)
+    links = cut(links.union(confirmed(fresh, items, percent)), "links")
+    # pairs of no rare shingle in common are left: only the others count
+    left = cut(left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s"), "left")
+    centres = 4
     while True:
-        comp = components(links)
-        comp = cut(comp, "components")
-        told = (met.join(comp, F.col("rep") == F.col("id"), "left")
-                .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
-        mixed = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
-        mixed = cut(mixed.filter((F.col("lo") < F.col("hi")) & (F.col("k") > centres)).select("bucket", "k"), "mixed")
-        if mixed.isEmpty():
-            break
-        here = told.join(mixed, "bucket")
+        comp = cut(components(links), "components")
         order = Window.partitionBy("bucket").orderBy("rep", "n")
-        ranked = cut(here.withColumn("rank", F.row_number().over(order)), "ranked")
-        more = centres * 4
-        a = ranked.filter((F.col("rank") > centres) & (F.col("rank") <= more)).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
-        across = (ranked.select("bucket", F.col("rep").alias("b"), "n", "component").join(a, "bucket")
-                  .filter((F.col("component") != F.col("other")) & fits)
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ranked = cut(told(left).withColumn("rank", F.row_number().over(order)), "ranked")
+        if ranked.isEmpty():
+            break
+        a = ranked.filter(F.col("rank") <= centres).select(
+            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"), F.col("rank").alias("at"))
+        near = F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+        across = (ranked.join(a, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("other")) & fits & near)
+                  .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         fresh = cut(across.join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = tested.union(fresh)
         links = cut(links.union(confirmed(fresh, items, percent)), "links")
-        centres = more
+        # all pairs of the centres are tested; the others go on without them
+        left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s")
+        centres *= 4
 
     owner = cut(sig.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "owners")
     # rows of one id in several classes join them
