@@ -48,7 +48,7 @@ EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 #: Percent of the union that the intersection needs.
 PERCENT = 80
 #: A shingle in no more sets than this is rare: its pairs are made directly.
-RARE = 64
+RARE = 8
 
 
 def _walks(steps: int) -> np.ndarray:
