@@ -4,22 +4,20 @@ The model is a smoothed bigram model over words and one end token a text. It
 is learnt from the rows whose crc32(id as text) mod 10 is not 0. Its counts
 live in a Bloom filter: a gram of count c is inserted with the numbers
 1..q, q = 1 + floor(log2 c), so that asking for (gram, 1), (gram, 2), ...
-until a miss gives the quantised count. Grams are dealt to shards by hash;
-each shard is counted and its segment of the filter built by a task, and the
-segments are broadcast to the workers.
+until a miss gives the quantised count. Every gram of every count is
+inserted, whatever the size of the corpus.
 
-The broadcast is bounded: at most ``MOST_BYTES``. Bigrams need a count of
-``LEAST_BIGRAM``; should the filter still not fit, the levels of the lowest
-counts are left out, bigrams first, until it does (their probabilities then
-come from the lower order). Counting always covers the whole corpus.
+Rows are dealt, in the files' order, to parts of about ``SLICE`` characters,
+and grams to shards by hash. A part sends each shard one row a kind of gram:
+its distinct grams there and their training counts. A shard's task counts
+its grams, builds its segment of the filter, probes it for all that was
+asked, and sends the answers back to the parts. The filter is never in one
+place: the number of shards grows with the corpus, and a segment has about
+``SHARD_TOKENS`` tokens and at most ``MOST_BYTES`` on average.
 
 A word's probability is (c(v w) + MU p(w)) / (c(v) + MU), with
 p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), all counts probed from the filter.
-
-``base_score`` needs exact counts of all words, whatever their number, so it
-doesn't use the filter: documents are dealt to batches of ``BATCH`` ids, each
-batch asks once for each of its distinct words, the words' counts are summed
-over the batches, and the answers meet the batch's texts.
+``base_score`` has the exact counts of words, which their shards know.
 
 Defined results: a null text is empty (one token, the end); a null id counts
 as the empty string (held out); repeated rows each count and give their row;
@@ -31,29 +29,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import cut
 from wirelens.llm.tokens import P1, P2, P3, mix, word_hashes
 
-BATCH = 4096
-LEAST_BIGRAM = 2
+#: Least count of a bigram that the filter holds; most bytes of a segment.
+LEAST_BIGRAM = 1
 MOST_BYTES = 64 << 20
 #: Filter bits per inserted number, probes per number, smoothing weight.
 BITS, PROBES, MU = 10, 7, 4.0
-#: Tokens per shard that a shard count aims at; characters worked on at once.
+#: Tokens that a shard aims at; characters of a part.
 SHARD_TOKENS, SLICE = 1_000_000, 6_000_000
+#: Bytes of a gram in its shard's rows: words (kind 0) whole, bigrams (1) hashed.
+KEYS = ("<u8", "<u4")
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
-def _slices(pdf: pd.DataFrame):
-    """Parts of a batch of about SLICE characters."""
-    size = pdf["text"].str.len().fillna(0).cumsum().to_numpy()
-    for _, part in pdf.groupby(size // SLICE, sort=False):
-        yield part
-
-
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens, each text followed by END, and the texts' sizes."""
     parts, sizes = [], []
@@ -77,188 +71,160 @@ def _bigram(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(prev * P3 + word + P1)
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out and batch. Batches follow ranges of ids, so the
-    files' order mostly keeps a batch's rows together."""
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
-    batch = F.coalesce(F.floor(F.col("doc_id") / BATCH), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
-    return docs.select("doc_id", "text", held.alias("held_out"), batch.cast("long").alias("batch"))
+def _grams(tokens: np.ndarray, sizes: np.ndarray):
+    """Per kind its hashed grams: shards are their highest bits."""
+    return mix(tokens), mix(_bigram(_before(tokens, sizes), tokens))
 
 
-def word_counts(d: DataFrame) -> DataFrame:
-    """(batch, h, n, c, first): each batch's distinct words, the number of
-    training tokens in it and in all, and whether the row is the word's first."""
-    def ask(batches):
-        for pdf in batches:
-            for batch, rows in pdf.groupby("batch", sort=False):
-                for part in _slices(rows):
-                    tokens, sizes = _tokens(part["text"])
-                    train = np.repeat(~part["held_out"].to_numpy(bool), sizes)
-                    u, at = np.unique(tokens, return_inverse=True)
-                    yield pd.DataFrame({"batch": batch, "h": u.view(np.int64), "n": np.bincount(at, train, len(u)).astype(np.int64)})
-
-    asked = d.select("batch", "held_out", "text").mapInPandas(ask, "batch long, h long, n long")
-    word = Window.partitionBy("h")
-    return asked.select("batch", "h", "n", F.sum("n").over(word).alias("c"),
-                        (F.row_number().over(word.orderBy("batch")) == 1).alias("first"))
-
-
-def gram_counts(d: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, keys, levels, hist): per shard the 32-bit keys of its
-    training grams (kind 0 words, 1 bigrams), their levels, and the number of
-    grams by level. Tasks pack a slice's distinct grams into one row a shard
-    before the shuffle."""
+def parts(docs: DataFrame, shards: int) -> DataFrame:
+    """The rows (kind -1: part, doc_id as text, held_out, text) and, for each
+    part, kind and shard, the distinct grams (keys, in order), their training
+    counts (times) and the sum of these (tokens)."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     bits = np.uint64(shards.bit_length() - 1)
 
-    def pack(batches):
+    def packed(part, texts, held_out):
+        tokens, sizes = _tokens(texts)
+        train = np.repeat(~held_out, sizes)
+        rows = []
+        for kind, grams in enumerate(_grams(tokens, sizes)):
+            u, at = np.unique(grams, return_inverse=True)
+            n = np.bincount(at, train, len(u)).astype("<u4")
+            shard = (u >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
+            keys = u if kind == 0 else (u >> (np.uint64(32) - bits)) & np.uint64(0xFFFFFFFF)
+            keys = keys.astype(KEYS[kind])
+            ends = np.searchsorted(shard, np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(ends)):
+                k, c = keys[ends[s]:ends[s + 1]], n[ends[s]:ends[s + 1]]
+                rows.append((kind, int(s), part, k.tobytes(), c.tobytes(), int(c.sum(dtype=np.int64)), None, False, None))
+        return pd.DataFrame(rows, columns=["kind", "shard", "part", "keys", "times", "tokens", "doc_id", "held_out", "text"])
+
+    def deal(batches):
+        part, size, texts, held_out = TaskContext.get().partitionId() << 32, 0, [], []
         for pdf in batches:
-            for part in _slices(pdf):
-                tokens, sizes = _tokens(part["text"])
-                for kind, keys in ((0, tokens), (1, _bigram(_before(tokens, sizes), tokens))):
-                    keys = mix(keys)
-                    u, n = np.unique(keys, return_counts=True)
-                    shard = (u >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
-                    low = ((u >> (np.uint64(32) - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    ends = np.searchsorted(shard, np.arange(shards + 1))
-                    rows = []
-                    for s in np.flatnonzero(np.diff(ends)):
-                        k, c = low[ends[s]:ends[s + 1]], n[ends[s]:ends[s + 1]]
-                        more = c > 1
-                        rows.append((kind, int(s), k[~more].tobytes(), k[more].tobytes(), c[more].astype("<u4").tobytes()))
-                    yield pd.DataFrame(rows, columns=["kind", "shard", "once", "more", "times"])
-
-    def count(key, pdf):
-        once = np.frombuffer(b"".join(pdf["once"]), "<u4")
-        more = np.frombuffer(b"".join(pdf["more"]), "<u4")
-        times = np.frombuffer(b"".join(pdf["times"]), "<u4")
-        u, at = np.unique(np.concatenate([once, more]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([np.ones(len(once)), times]), len(u))
-        level = 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
-        keep = n >= (LEAST_BIGRAM if key[0] else 1)
-        return pd.DataFrame({"kind": [key[0]], "shard": [key[1]], "keys": [u[keep].tobytes()],
-                             "levels": [level[keep].astype(np.uint8).tobytes()], "hist": [np.bincount(level[keep], minlength=64)[:64]]})
-
-    packed = d.filter("NOT held_out").select("text").mapInPandas(pack, "kind int, shard long, once binary, more binary, times binary")
-    return packed.groupBy("kind", "shard").applyInPandas(count, "kind int, shard long, keys binary, levels binary, hist array<long>")
-
-
-def _places(keys: np.ndarray, number, size: np.ndarray):
-    """The filter places of (key, number) in segments of ``size`` bits."""
+            # a part ends with the row that fills it
+            sizes = size + (pdf["text"].str.len().fillna(0).astype(np.int64) + 16).cumsum().to_numpy()
+            at = 0
+            while at < len(pdf):
+                end = min(len(pdf), int(np.searchsorted(sizes, SLICE)) + 1)
+                rows = pdf.iloc[at:end]
+                yield rows.assign(kind=-1, shard=0, part=part, keys=b"", times=b"", tokens=0)
+                texts += list(rows["text"])
+                held_out.append(rows["held_out"].to_numpy(bool))
+                size = int(sizes[end - 1])
+                if size >= SLICE:
+                    yield packed(part, texts, np.concatenate(held_out))
+                    part, sizes, size, texts, held_out = part + 1, sizes - size, 0, [], []
+                at = end
+        if texts:
+            yield packed(part, texts, np.concatenate(held_out))
+
+    schema = "kind int, shard long, part long, keys binary, times binary, tokens long, doc_id string, held_out boolean, text string"
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), "text").mapInPandas(deal, schema)
+
+
+def _places(keys: np.ndarray, number, size: np.uint64):
+    """The filter places of (key, number) in a segment of ``size`` bits."""
     a = mix(keys.astype(np.uint64) * P1 + np.uint64(number * int(P2) % (1 << 64)))
     b = mix(a + P3) | np.uint64(1)
     for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % size
-
-
-class CountFilter:
-    """The filter's segments; ``level`` probes many grams at once."""
-
-    def __init__(self, shards: int, rows: list[tuple[int, int, int, bytes]]):
-        self.bits = np.uint64(shards.bit_length() - 1)
-        self.size = np.ones((2, shards), np.uint64)
-        self.at = np.zeros((2, shards), np.int64)
-        parts, at = [b"\0"], 1
-        for kind, shard, size, data in sorted(rows, key=lambda r: r[:2]):
-            self.size[kind, shard], self.at[kind, shard] = size, at
-            parts.append(data)
-            at += len(data)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-
-    def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
-        keys = mix(grams)
-        shard = (keys >> (np.uint64(64) - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        keys = (keys >> (np.uint64(32) - self.bits)) & np.uint64(0xFFFFFFFF)
-        size, at = self.size[kind, shard], self.at[kind, shard]
-        out = np.zeros(len(keys), np.int64)
-        alive = np.flatnonzero(at > 0)
-        number = 1
-        while len(alive):
-            base, hit = at[alive], np.arange(len(alive))
-            for place in _places(keys[alive], number, size[alive]):
-                p = place[hit].astype(np.int64)
-                hit = hit[((self.data[base[hit] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1).astype(bool)]
-            alive = alive[hit]
-            out[alive] = number
-            number += 1
+        yield ((a + np.uint64(i) * b) % size).astype(np.int64)
+
+
+def segment(keys: np.ndarray, levels: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """Size and bits, eight a byte, of a segment of the filter with each key's numbers 1..level."""
+    size = np.uint64(max(64, int(levels.sum(dtype=np.int64)) * BITS))
+    on = np.zeros(-(-int(size) // 8) * 8, bool)
+    for number in range(1, int(levels.max(initial=0)) + 1):
+        for place in _places(keys[levels >= number], number, size):
+            on[place] = True
+    return size, np.packbits(on, bitorder="little")
+
+
+def probed(keys: np.ndarray, size: np.uint64, data: np.ndarray) -> np.ndarray:
+    """The levels that a segment gives for the keys."""
+    out = np.zeros(len(keys), np.uint8)
+    alive, number = np.arange(len(keys)), 1
+    while len(alive):
+        hit = np.arange(len(alive))
+        for place in _places(keys[alive], number, size):
+            p = place[hit]
+            hit = hit[((data[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)]
+        alive = alive[hit]
+        out[alive] = number
+        number += 1
+    return out
+
+
+def answers(grams: DataFrame) -> DataFrame:
+    """For each row of ``grams`` (see parts) the grams' levels and, of words,
+    the exact counts; kinds sums up to the number of words ever seen."""
+    def answer(key, pdf):
+        kind = int(key[0])
+        sizes = pdf["keys"].str.len().to_numpy() // np.dtype(KEYS[kind]).itemsize
+        u, at = np.unique(np.frombuffer(b"".join(pdf["keys"]), KEYS[kind]), return_inverse=True)
+        c = np.bincount(at, np.frombuffer(b"".join(pdf["times"]), "<u4"), len(u)).astype(np.int64)
+        level = np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.uint8)
+        kept = c >= (LEAST_BIGRAM if kind else 1)
+        found = probed(u, *segment(u[kept], level[kept]))[at]
+        exact = c[at].astype("<i8") if kind == 0 else None
+        ends = np.concatenate([[0], sizes.cumsum()])
+        cuts = list(zip(ends[:-1], ends[1:]))
+        out = pd.DataFrame({"part": pdf["part"], "kind": kind, "shard": key[1], "levels": [found[a:b].tobytes() for a, b in cuts],
+                            "counts": [exact[a:b].tobytes() if kind == 0 else b"" for a, b in cuts], "kinds": 0})
+        out.loc[out.index[0], "kinds"] = int((c > 0).sum()) if kind == 0 else 0
         return out
 
-    def count(self, kind: int, grams: np.ndarray) -> np.ndarray:
-        """Counts, each the middle of its level."""
-        q = self.level(kind, grams)
-        return np.where(q > 0, (2.0 ** (q - 1) + 2.0 ** q - 1) / 2, 0.0)
+    schema = "part long, kind int, shard long, levels binary, counts binary, kinds long"
+    return grams.groupBy("kind", "shard").applyInPandas(answer, schema)
 
 
-def build_filter(counted: DataFrame, shards: int, most_bytes: int = MOST_BYTES) -> CountFilter:
-    """The filter of ``counted`` (see gram_counts) in at most ``most_bytes``."""
-    sums = counted.groupBy("kind").agg(*[F.sum(F.get("hist", q)).alias(f"q{q}") for q in range(64)]).collect()
-    hist = {r["kind"]: np.array(r[1:], np.int64) for r in sums}
-    least = {0: 1, 1: 1}
-    need = lambda: sum(int((h[q] * q).sum()) for k, h in hist.items() for q in [np.arange(least[k], 64)]) * BITS / 8 + 16 * shards
-    while need() > most_bytes and least[0] < 63:
-        least[1 if least[1] <= least[0] + 2 and least[1] < 63 else 0] += 1
-
-    def segment(batches):
-        for pdf in batches:
-            rows = []
-            for kind, shard, keys, levels in zip(pdf["kind"], pdf["shard"], pdf["keys"], pdf["levels"]):
-                k, q = np.frombuffer(keys, "<u4"), np.frombuffer(levels, np.uint8)
-                k, q = k[q >= least[kind]], q[q >= least[kind]]
-                if len(k):
-                    size = np.uint64(max(64, int(q.sum(dtype=np.int64)) * BITS))
-                    on = np.zeros(int(size), bool)
-                    for number in range(1, int(q.max()) + 1):
-                        for place in _places(k[q >= number], number, size):
-                            on[place.astype(np.int64)] = True
-                    rows.append((kind, shard, int(size), np.packbits(on, bitorder="little").tobytes()))
-            yield pd.DataFrame(rows, columns=["kind", "shard", "size", "data"])
-
-    # together at most most_bytes
-    rows = counted.select("kind", "shard", "keys", "levels").mapInPandas(segment, "kind int, shard long, size long, data binary").collect()
-    return CountFilter(shards, [(r["kind"], r["shard"], r["size"], bytes(r["data"])) for r in rows])
+def _middle(levels: np.ndarray) -> np.ndarray:
+    """Counts, each the middle of its level."""
+    q = levels.astype(np.int64)
+    return np.where(q > 0, (2.0 ** (q - 1) + 2.0 ** q - 1) / 2, 0.0)
 
 
 def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score."""
-    d = tagged(docs)
-    words = cut(word_counts(d), "word-counts")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)),
-                             F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    shards = 1 << max(0, (total // SHARD_TOKENS)).bit_length()
-    counted = cut(gram_counts(d, shards), "gram-counts")
-    model = docs.sparkSession.sparkContext.broadcast(build_filter(counted, shards, most_bytes))
-    ends = d.filter("NOT held_out").count()
+    chars, rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    # a token has five characters or so, and two at least; a gram of count c adds at most c numbers
+    need = max(chars // 5 // SHARD_TOKENS, (chars // 2 + rows) * BITS // 8 // most_bytes)
+    dealt = cut(parts(docs, 1 << need.bit_length()), "parts")
+    grams, texts = dealt.filter("kind >= 0").select("kind", "shard", "part", "keys", "times"), dealt.filter("kind < 0")
+    told = cut(answers(grams), "answers")
+    total = dealt.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    kinds = told.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    ends = texts.filter("NOT held_out").count()
     floor = 0.1 * (kinds + 1)
 
-    def score(key, texts, asked):
-        known = np.unique(asked["h"].to_numpy(np.int64).view(np.uint64), return_index=True)
-        words, counts = known[0], asked["c"].to_numpy(np.int64)[known[1]]
-        filt = model.value
-        out = []
-        for part in _slices(texts):
-            tokens, sizes = _tokens(part["text"])
-            prev = _before(tokens, sizes)
-            starts = np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)
-            u, at = np.unique(tokens, return_inverse=True)
-            c = counts[np.searchsorted(words, u)]
-            base = np.log10((c + 0.1) / (total + floor))
-            seen = filt.count(0, u)
-            p = (seen + 0.1) / (total + floor)
-            pairs, pair_of = np.unique(_bigram(prev, tokens), return_inverse=True)
-            both = filt.count(1, pairs)
-            context = np.empty(len(tokens))
-            context[1:] = seen[at[:-1]]
-            context[starts] = ends
-            joint = both[pair_of]
-            word = np.log10((joint + MU * np.minimum(p[at], 1.0)) / (np.maximum(context, joint) + MU))
-            out.append(pd.DataFrame({
-                "doc_id": part["doc_id"].array, "held_out": part["held_out"].to_numpy(bool), "n_tokens": sizes,
-                "n_known": np.add.reduceat((c > 0)[at].astype(np.int64), starts), "train_tokens": total,
-                "base_score": np.add.reduceat(base[at], starts), "score": np.add.reduceat(word, starts)}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return d.groupBy("batch").cogroup(words.select("batch", "h", "c").groupBy("batch")).applyInPandas(score, schema)
+    def score(key, part, told):
+        told = told.sort_values(["kind", "shard"])
+
+        def of(kind, column, dtype):
+            return np.frombuffer(b"".join(told.loc[told["kind"] == kind, column]), dtype)
+
+        tokens, sizes = _tokens(part["text"])
+        starts = np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)
+        at, pair_of = (np.unique(g, return_inverse=True)[1] for g in _grams(tokens, sizes))
+        c, seen = of(0, "counts", "<i8"), _middle(of(0, "levels", np.uint8))
+        base = np.log10((c + 0.1) / (total + floor))
+        p = (seen + 0.1) / (total + floor)
+        context = np.empty(len(tokens))
+        context[1:] = seen[at[:-1]]
+        context[starts] = ends
+        joint = _middle(of(1, "levels", np.uint8))[pair_of]
+        word = np.log10((joint + MU * np.minimum(p[at], 1.0)) / (np.maximum(context, joint) + MU))
+        return pd.DataFrame({
+            "doc_id": part["doc_id"], "held_out": part["held_out"].to_numpy(bool), "n_tokens": sizes,
+            "n_known": np.add.reduceat((c > 0)[at].astype(np.int64), starts), "train_tokens": total,
+            "base_score": np.add.reduceat(base[at], starts), "score": np.add.reduceat(word, starts)})
+
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = (texts.select("part", "doc_id", "held_out", "text").groupBy("part")
+           .cogroup(told.select("part", "kind", "shard", "levels", "counts").groupBy("part")).applyInPandas(score, schema))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(docs: DataFrame) -> DataFrame:
