@@ -106,15 +106,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep, items: the sorted set of every row of ``docs`` (rep, text)."""
+    """rep, again, items: the sorted set of every row of ``docs`` (rep, again,
+    text)."""
     def make(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
-                yield pd.DataFrame({"rep": part["rep"].array, "items": [
+                yield pd.DataFrame({"rep": part["rep"].array, "again": part["again"].array, "items": [
                     shingles(word_hashes(t), words).view(np.int64) for t in part["text"]]})
 
-    return docs.select("rep", "text").mapInPandas(make, "rep long, items array<long>")
+    return docs.select("rep", "again", "text").mapInPandas(make, "rep long, again boolean, items array<long>")
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -178,8 +179,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
                .select("rep", "n", F.explode("bands").alias("bucket")))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low")).filter("k > 1 AND low IS NOT NULL")
     met = cut(members.join(shared, "bucket").select("bucket", "rep", "n", "low"), "buckets")
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
-    items = cut(sets(d.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), words), "sets")
+    times = some.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again"))
+    wanted = met.select(F.col("rep").alias("doc_id")).distinct().join(times, "doc_id").hint("shuffle_hash")
+    every = cut(sets(d.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "again", "text"), words), "sets")
+    # the bounds count sets: rows that repeat an id and its set are one
+    twice = cut(every.filter("again").select("rep", "items").distinct(), "repeated-sets")
+    items = every.filter("NOT again").select("rep", "items").union(twice)
 
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     centre = met.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c")).select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("m"))
