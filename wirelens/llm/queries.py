@@ -1,5 +1,5 @@
 """Registered queries of the subpackage: each applies one operator, with
-production parameters, to its whole table."""
+production parameters, to its whole table (language ID to both of its)."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ def queries():
         "op4_bpe": _over("documents", op4_bpe.query),
         "op5_mix_sources": _over("documents", op5_mix.query),
         "op6_language_id": _over("documents", op6_language.query),
+        "op6_language_id_pages": lambda spark, sf_dir: op6_language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")),
         "op7_embedding_dedup": _over("embeddings", op7_embeddings.query),
         "op8_suffix_dedup": _over("documents", op8_repeats.query),
         "op9_html_text": _over("pages", op9_html.query),
