@@ -1,11 +1,13 @@
 """HTML main-text extraction by tree scoring.
 
-A page is parsed to a tree. Every paragraph-like block passes points - one,
+A page is parsed to a tree. Every paragraph-like block (also a div or section
+with text and no blocks inside) passes points - one,
 one more for each comma, and for each 100 characters up to three - to its
 parent, half of them to the grandparent, a third to the next ancestors; a
 container's points are discounted by the share of its text that lies in
 links. The best container is kept, widened to the article or main element
-around it, with those siblings that score a fifth of it. Menus, headers,
+around it, with those siblings that score a fifth of it; without such an
+element, with all sibling blocks whose text is mostly not links. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are taken out beforehand by element, role, class or id; a page that
 is left with nothing is scored again with only scripts, styles, forms and
@@ -112,6 +114,13 @@ def silent(node: Node, strict: bool) -> bool:
     return strict and (node.tag in ASIDE or node.tag not in ROOTS and not MARKS.isdisjoint(node.marks))
 
 
+def paragraph(node: Node) -> bool:
+    """A block of text: of such an element, or a div or section with text of
+    its own and no blocks inside."""
+    return node.tag in PARAGRAPH or node.tag in ("div", "section") and any(
+        isinstance(k, str) and k.strip() for k in node.kids) and not any(isinstance(k, Node) and k.tag in BLOCK for k in node.kids)
+
+
 def measure(root: Node, strict: bool):
     """Depth-first: per node its text length, link text length and commas,
     and the points passed to the containers."""
@@ -138,7 +147,7 @@ def measure(root: Node, strict: bool):
         if node.up is not None and node.up in size:
             for k in range(3):
                 size[node.up][k] += s[k]
-        if node.tag in PARAGRAPH and s[0] > 0:
+        if s[0] > 0 and paragraph(node):
             give = (1 + s[2] + min(s[0] / 100, 3)) * (1 - s[1] / s[0])
             up, level = node.up, 0
             while up is not None and give > 0:
@@ -171,6 +180,9 @@ def chosen(root: Node, strict: bool) -> tuple[list[Node], dict]:
         if isinstance(kid, str) or kid not in size:
             continue
         own = points.get(kid, 0.0)
+        if around is None and kid.tag in BLOCK and 4 * size[kid][1] < size[kid][0]:
+            kept.append(kid)  # nothing marks where the text ends: all but links stays
+            continue
         if kid.tag in PARAGRAPH and top.tag != "article":
             n, linked, commas = size[kid]
             own = best_points if n > 80 and linked < n / 4 or n and not linked and commas else own
