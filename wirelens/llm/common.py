@@ -26,10 +26,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.cut_path = path
+    return kept
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` returned, once nothing that is still to run
+    reads them; what was written from them stands on storage of its own."""
+    for df in tables:
+        at, fs = _hadoop(df.sparkSession, df.cut_path)
+        fs.delete(at, True)
 
 
 def word_count(text: Column) -> Column:

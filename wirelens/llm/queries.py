@@ -3,7 +3,7 @@ production parameters, to its whole table (language ID to both of its)."""
 
 from __future__ import annotations
 
-from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op8_repeats, op9_html, op10_fingerprint
+from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op8_repeats, op9_html, op10_fingerprint, op13_exact
 from wirelens.llm.common import table
 
 
@@ -24,8 +24,9 @@ def queries():
         "op8_suffix_dedup": _over("documents", op8_repeats.query),
         "op9_html_text": _over("pages", op9_html.query),
         "op10_fingerprint": _over("documents", op10_fingerprint.query),
+        "op13_exact_dedup": _over("documents", op13_exact.query),
     }
 
 
 def oracle_sql():
-    return {"op1_secret_scan": op1_secrets.oracle()}
+    return {"op1_secret_scan": op1_secrets.oracle(), "op13_exact_dedup": op13_exact.oracle()}
