@@ -88,3 +88,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     return (e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
             .union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+
+
+#: For oracle SQL (DuckDB): a common table expression with CRC-32's table of
+#: 256 entries, made by its rule, and the CRC-32 of a string by it.
+CRC32_CTE = """crc(t) AS (SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce([i::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def crc32_sql(s: str) -> str:
+    """The unsigned CRC-32 of ``s`` in UTF-8; the table ``crc`` stands in FROM."""
+    octets = f"list_transform(range(octet_length(encode({s}))), lambda i: ('0x' || substr(hex(encode({s})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
