@@ -3,7 +3,7 @@ production parameters, to its whole table (language ID to both of its)."""
 
 from __future__ import annotations
 
-from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op8_repeats, op9_html, op10_fingerprint, op11_trie, op13_exact
+from wirelens.llm import op1_secrets, op2_lm, op3_minhash, op4_bpe, op5_mix, op6_language, op7_embeddings, op8_repeats, op9_html, op10_fingerprint, op11_trie, op12_spelling, op13_exact
 from wirelens.llm.common import table
 
 
@@ -25,9 +25,11 @@ def queries():
         "op9_html_text": _over("pages", op9_html.query),
         "op10_fingerprint": _over("documents", op10_fingerprint.query),
         "op11_prefix_trie": _over("conversations", op11_trie.query),
+        "op12_spelling_groups": _over("documents", op12_spelling.query),
         "op13_exact_dedup": _over("documents", op13_exact.query),
     }
 
 
 def oracle_sql():
-    return {"op1_secret_scan": op1_secrets.oracle(), "op11_prefix_trie": op11_trie.oracle(), "op13_exact_dedup": op13_exact.oracle()}
+    return {"op1_secret_scan": op1_secrets.oracle(), "op11_prefix_trie": op11_trie.oracle(),
+            "op12_spelling_groups": op12_spelling.oracle(), "op13_exact_dedup": op13_exact.oracle()}
