@@ -1,5 +1,5 @@
-"""Per-flow state machine: the sequential machine of the reference vs the
-two-level scan (several bucket sizes), the plain window form, the
+"""Per-flow state machine: a sequential machine vs the
+scan over ranges (several piece sizes), the plain window form, the
 aggregate form (flow table) and the streaming handler."""
 
 import random
@@ -7,7 +7,8 @@ import random
 import pandas as pd
 import pytest
 
-from wirelens.operators.flows import flow_table, with_flow_state, with_flow_state_window
+from wirelens.operators import flows
+from wirelens.operators.flows import flow_table, split_flows, with_flow_state, with_flow_state_window
 from wirelens.schemas import FLOW_KEY
 from wirelens.streaming.state import advance
 
@@ -18,20 +19,16 @@ PORTS = {443: "HTTPS", 80: "HTTP", 53: "DNS", 8080: "UNKNOWN"}
 
 
 def simulate(rows):
-    """The reference's per-packet loop, literally."""
-    flows, out = {}, {}
+    """The state rule, one packet after the other: a flow keeps a class that
+    is neither unknown nor a bare port class; its host is the last one seen."""
+    machines, states = {}, {}
     for r in sorted(rows, key=lambda r: r["seq"]):
-        k = tuple(r[c] for c in FLOW_KEY)
-        f = flows.setdefault(k, {"app": "UNKNOWN", "sni": None, "n": 0, "b": 0})
-        f["n"] += 1
-        f["b"] += r["packet_bytes"]
-        if r["host"] is not None:
-            f["sni"] = r["host"]
-        a = r["named"] if r["named"] is not None else r["port_app"]
-        if f["app"] in OVERWRITABLE:
-            f["app"] = a
-        out[r["seq"]] = (f["app"], f["sni"], f["n"], f["b"])
-    return out, flows
+        m = machines.setdefault(tuple(r[c] for c in FLOW_KEY), dict(app=None, sni=None, n=0, b=0))
+        if m["app"] is None or m["app"] in OVERWRITABLE:
+            m["app"] = r["named"] or r["port_app"]
+        m.update(n=m["n"] + 1, b=m["b"] + r["packet_bytes"], sni=m["sni"] if r["host"] is None else r["host"])
+        states[r["seq"]] = (m["app"], m["sni"], m["n"], m["b"])
+    return states, machines
 
 
 def random_rows(seed, n=1500, flows=60):
@@ -58,13 +55,15 @@ def test_scan_forms_equal_sequential(spark, seed):
     rows = random_rows(seed)
     expect, final = simulate(rows)
     df = spark.createDataFrame(pd.DataFrame(rows))
-    for form in ("b7", "b97", "default", "window"):
+    for form in ("b7", "b97", "default", "window", "parts4", "parts400"):
         if form == "window":
             st = with_flow_state_window(df)
         elif form == "default":
             st = with_flow_state(df)
+        elif form.startswith("parts"):
+            st = with_flow_state(df, piece_rows=100, partitions=int(form[5:]))
         else:
-            st = with_flow_state(df, bucket_rows=int(form[1:]))
+            st = with_flow_state(df, piece_rows=int(form[1:]))
         got = {r.seq: (r.app_state, r.host_state, r.flow_packets, r.flow_bytes)
                for r in st.select("seq", "app_state", "host_state", "flow_packets",
                                   "flow_bytes").collect()}
@@ -109,26 +108,52 @@ def test_dns_flow_sticky_and_domain_unblock(spark):
                    3: ("Facebook", False)}
 
 
-def test_hot_flow_is_split_and_exact(spark):
-    """One flow holds a third of all packets: its window partitions stay
-    within ``bucket_rows`` and the running state is still exact."""
-    from pyspark.sql import functions as F
-    rows = random_rows(5, n=1200, flows=40)
+def hot_rows(n=1200):
+    """One flow holds a third of all packets."""
+    rows = random_rows(5, n=n, flows=40)
     hot = dict(rows[0])
     for i, r in enumerate(rows):
         if i % 3 == 0:
             for k in FLOW_KEY + ["port_app"]:
                 r[k] = hot[k]
-    expect, _ = simulate(rows)
+    return rows, sum(1 for r in rows if all(r[k] == hot[k] for k in FLOW_KEY))
+
+
+def test_hot_flow_is_split_and_exact(spark):
+    """Pieces of a hot flow stay near ``piece_rows``, only cut flows have
+    borders, and the running state is still exact."""
+    rows, n_hot = hot_rows()
+    assert n_hot >= 400
+    expect, final = simulate(rows)
     df = spark.createDataFrame(pd.DataFrame(rows))
-    b = 50
-    st = with_flow_state(df, bucket_rows=b)
+    st = with_flow_state(df, piece_rows=50)
     got = {r.seq: (r.app_state, r.host_state, r.flow_packets, r.flow_bytes)
            for r in st.select("seq", "app_state", "host_state", "flow_packets",
                               "flow_bytes").collect()}
     assert got == expect
-    sizes = (df.groupBy(*FLOW_KEY, F.expr(f"seq div {b}").alias("bucket")).count()
-             .agg(F.max("count")).first()[0])
-    assert sizes <= b
-    hot_rows = sum(1 for r in rows if all(r[k] == hot[k] for k in FLOW_KEY))
-    assert hot_rows >= 400
+    found = split_flows(df, 50)
+    names = {r["h"]: tuple(r)[:-1] for r in df.select(*FLOW_KEY, flows._flow_hash().alias("h")).distinct().collect()}
+    borders = {names[r["__flow"]]: r["borders"] for r in found.collect()}
+    assert borders.keys() == {k for k, m in final.items() if m["n"] > 50}
+    assert sum(map(len, borders.values())) <= len(rows) // 50
+    for k, at in borders.items():
+        mine = sorted(r["seq"] for r in rows if tuple(r[c] for c in FLOW_KEY) == k)
+        pieces = [sum(a <= s < b for s in mine) for a, b in zip([-1, *at], [*at, 1 << 62])]
+        assert max(pieces) <= 50 and min(pieces) > 0
+
+
+def test_thinned_sample_cuts_near_the_size(spark):
+    """With a thinned sample pieces are about the size asked for."""
+    rows, n_hot = hot_rows(6000)
+    df = spark.createDataFrame(pd.DataFrame(rows))
+    sampled = flows.PIECE_SAMPLES
+    flows.PIECE_SAMPLES = 40
+    try:
+        cut = split_flows(df, 400)  # one packet in ten
+        (at,) = [r["borders"] for r in cut.collect() if len(r["borders"]) == max(len(x["borders"]) for x in cut.collect())]
+        assert 2 <= len(at) <= n_hot // 300 and at == sorted(at)
+        st = with_flow_state(df, piece_rows=400)
+        expect, _ = simulate(rows)
+        assert {r.seq: (r.app_state, r.host_state, r.flow_packets, r.flow_bytes) for r in st.collect()} == expect
+    finally:
+        flows.PIECE_SAMPLES = sampled

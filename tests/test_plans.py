@@ -35,15 +35,22 @@ def test_flow_key_filter_reaches_scan(spark, raw):
     assert "ReadSchema: struct<capture_id:string,seq:bigint,data:binary>" in p
 
 
-def test_flow_state_single_full_shuffle(spark, raw):
+def test_flow_state_moves_packets_once(spark, raw):
+    """One exchange of the packets and no checkpoint; with cut flows, besides
+    the broadcast borders, only exchanges of one row per piece."""
     from wirelens.operators.flows import with_flow_state
     from wirelens.operators.verdicts import packet_hosts
-    st = with_flow_state(packet_hosts(raw))
-    p = plan(st)
-    # the windowed rows were checkpointed once; what is left reads them and
-    # moves only the per-(flow, bucket) summary
-    assert "Scan ExistingRDD" in p
-    assert "FileScan" not in p
+    p = plan(with_flow_state(packet_hosts(raw)))
+    assert p.count("Exchange") == 1 and "ExistingRDD" not in p and "Join" not in p
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(with_flow_state(packet_hosts(raw), piece_rows=3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ExistingRDD" not in p
+    # above the merge join nothing moves; below it the packets once, the others are of one row per piece
+    assert "Exchange" not in p.split("SortMergeJoin")[0]
+    assert p.count("Exchange hashpartitioning") == 4 and p.count("Exchange hashpartitioning", p.index("SortAggregate")) <= 2 and p.count("BroadcastExchange") == 2
 
 
 def test_entry_runs(spark):

@@ -9,20 +9,22 @@ closed form:
                other flows: first non-NULL named class so far, else port class
   host_state = last non-NULL host so far ('' counts as a host)
 
-Packet mode needs these as running values per packet, which are prefix
-scans over the flow in ``seq`` order. A plain window partitioned by the flow
-key would put a hot flow (think one flow holding a third of the capture)
-into one task, so the scan is done in two levels:
-
-1. rows are windowed per (flow, seq bucket) - a bucket holds at most
-   ``bucket_rows`` consecutive sequence numbers, so no window partition is
-   larger than that, whatever the flow size;
-2. a per-(flow, bucket) summary (one row per flow bucket, read from the
-   checkpointed window output without a shuffle) is scanned per flow over
-   *buckets* to get the carry-in of all earlier buckets, and joined back on
-   (flow, bucket). The big side of that join is the checkpoint, already
-   hash-partitioned and sorted on exactly that key, so only the small carry
-   table moves.
+Packet mode needs these as running values per packet: prefix scans over the
+flow in ``seq`` order. They are computed over ranges of (flow, seq):
+
+1. a thinned sample of the packets' keys (``split_flows``) finds the flows
+   with more than ``piece_rows`` packets and cuts them at sampled ``seq``
+   borders into pieces of about that size; every other flow is one piece, so
+   no window partition grows with a hot flow;
+2. packets move once, by (flow, piece), and a window gives each its running
+   values within the piece;
+3. only flows that were cut have a carry: the first packet's class, the first
+   class, the last host and the counts of a piece are combined over the pieces
+   before it (all associative) and added by an equi-join on the key the packets
+   are partitioned and sorted by already. A capture without such a flow has
+   neither carry nor join.
+
+Nothing is checkpointed here: one exchange of pruned rows.
 
 Flow mode and the flow table need only the final state, which is a plain
 hash aggregate (``min_by`` / ``max_by`` with FILTER) - no sort, no window.
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import FLOW_KEY
 
-# Upper bound on the rows of one window partition (per flow and bucket).
-DEFAULT_BUCKET_ROWS = 1 << 16
+# Packets of a window partition, about: flows with more are cut into pieces.
+DEFAULT_PIECE_ROWS = 1 << 20
+# Sampled packets that stand for one piece; the rest are thinned out.
+PIECE_SAMPLES = 1 << 10
 
 _UNB = Window.unboundedPreceding
 
@@ -46,25 +50,49 @@ def _app_state(port_class: Column, first_named: Column, first_nonnull_named: Col
             .otherwise(F.coalesce(first_nonnull_named, port_class)))
 
 
-def _checkpoint_keeping_partitioning(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint that records the hash partitioning.
+def split_flows(df: DataFrame, piece_rows: int = DEFAULT_PIECE_ROWS) -> DataFrame | None:
+    """``(__flow, borders)``, the flow by its hash, of the flows that are cut: the ascending
+    ``seq`` at which each piece but the first begins. None if there are none.
 
-    Under AQE the plan reports its partitioning only after it has run, so the
-    checkpoint would drop it; the stage has a fixed partition count (nothing
-    for AQE to coalesce), so AQE is switched off for this one action.
+    Packets are thinned by a hash of (capture, seq) to ``PIECE_SAMPLES`` a
+    piece before anything else is computed of them. A flow is cut at every
+    ``PIECE_SAMPLES``-th of its samples, so all borders together are at most
+    the packets divided by ``piece_rows``: a table that grows with the number
+    of pieces, not of flows, and is small enough to broadcast.
     """
-    conf = df.sparkSession.conf
-    key = "spark.sql.adaptive.enabled"
-    before = conf.get(key, "true")
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
-
-
-def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                    materialize: bool | None = None, partitions: int | None = None) -> DataFrame:
+    from ..session import scratch_table
+
+    per_piece = min(piece_rows, PIECE_SAMPLES)
+    rate = max(1, piece_rows // per_piece)
+    thin = F.pmod(F.xxhash64("capture_id", "seq"), F.lit(rate)) == 0
+    sample = df.filter(F.col("is_parsed") & thin).select(_flow_hash().alias("__flow"), "seq")
+    hot = sample.groupBy("__flow").count().filter(F.col("count") > per_piece).select("__flow")
+    hot = scratch_table(hot, "hot-flows")
+    if hot.isEmpty():
+        return None
+    w = Window.partitionBy("__flow").orderBy("seq")
+    borders = (sample.join(hot, "__flow").withColumn("__n", F.row_number().over(w) - 1)
+               .filter((F.col("__n") > 0) & (F.col("__n") % per_piece == 0))
+               .groupBy("__flow").agg(F.sort_array(F.collect_list("seq")).alias("borders")))
+    return scratch_table(borders, "flow-borders")
+
+
+def _flow_hash() -> Column:
+    """64 bits of the flow key. Flows of one hash are cut alike, which changes
+    no result: any borders within a flow do. With the fields as keys of a join
+    the optimizer would test each for null first, and decode for each test."""
+    return F.xxhash64(*FLOW_KEY)
+
+
+def _piece(seq: Column, borders: Column) -> Column:
+    """Number of borders up to ``seq``, by binary search in steps of powers
+    of two (an array of any length has less than 2**31 elements)."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda s: s <= F.size(borders))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(borders, at + s - 1) <= seq, at + s).otherwise(at))
+
+
+def with_flow_state(df: DataFrame, piece_rows: int = DEFAULT_PIECE_ROWS,
+                    partitions: int | None = None) -> DataFrame:
     """Adds ``app_state``, ``host_state``, ``flow_packets``, ``flow_bytes``.
 
     Input: decoded, inspected and classified packets (``is_parsed``, flow
@@ -72,91 +100,71 @@ def with_flow_state(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS,
     other column is carried through. Unparsed rows get NULL state and are
     spread over the shuffle by their own ``seq`` (they never share state).
 
-    ``materialize`` (default) writes the windowed rows once to the shared
-    checkpoint folder; the bucket summary, the join-back and every later
-    consumer (reports and the forwarded capture) then read them in place
-    (the checkpoint keeps the hash partitioning), so the packets are
-    decoded, shuffled and sorted once, and the lineage is cut. With
-    ``materialize=False`` nothing is written and the summary is a partial
-    aggregate straight from the input (a second, narrow pass over it).
-
-    ``partitions`` sets the size of the flow-state exchange (default
-    ``spark.sql.shuffle.partitions``); it is fixed rather than left to AQE so
-    the checkpoint can record the partitioning. Size it so one partition of
-    pruned packet rows (about 100 bytes each) fits a task comfortably.
+    Needs one pass over the keys of a thinned sample first. ``partitions``
+    sets the size of the exchange; by default it is Spark's
+    (``spark.sql.shuffle.partitions``, joined by AQE where small).
     """
     c = F.col
-    b = int(bucket_rows)
-    bucket = F.when(c("is_parsed"), F.expr(f"seq div {b}")).otherwise(-1 - c("seq")).cast("bigint")
-    # One non-nullable struct key per (flow, bucket): partitioning and the
-    # join-back use a single column, so the optimizer infers no per-field
-    # NOT NULL filters to push below the window into the decode.
-    df = df.withColumn("__bucket", bucket)
-    df = df.withColumns({"__fk": F.struct(*FLOW_KEY, "__bucket"),
-                         "__flow": F.struct(*FLOW_KEY)})
-
-    if materialize is None:
-        materialize = True
-    if materialize:
-        # a fixed partition count (not coalesced by AQE), so the checkpoint
-        # below keeps hash partitioning on ``__fk`` and neither the summary
-        # nor the join-back re-shuffles the windowed rows
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, "__fk")
-    w = Window.partitionBy("__fk").orderBy("seq").rowsBetween(_UNB, Window.currentRow)
+    key = [*FLOW_KEY, "__piece"]
+    own = list(df.columns)
+    cut_flows = split_flows(df, piece_rows)
+    if cut_flows is None:
+        piece = F.lit(0).cast("bigint")
+    else:
+        # at most one border for each ``piece_rows`` packets
+        df = df.withColumn("__flow", _flow_hash()).join(F.broadcast(cut_flows), "__flow", "left")
+        piece = F.when(c("borders").isNull(), F.lit(0)).otherwise(_piece(c("seq"), c("borders"))).cast("bigint")
+    pieces = df.withColumn("__piece", F.when(c("is_parsed"), piece).otherwise(-1 - c("seq")))
+    df = pieces.select(*own, "__piece")
+    if partitions:
+        df = df.repartition(partitions, *key)
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(_UNB, Window.currentRow)
     local = df.select(
         "*",
-        F.first("named", ignorenulls=True).over(w).alias("__l_fnn"),
-        F.last("host", ignorenulls=True).over(w).alias("__l_lh"),
-        F.count(F.lit(1)).over(w).alias("__l_cnt"),
-        F.sum("packet_bytes").over(w).alias("__l_bytes"),
+        F.first("named").over(w).alias("__first"),
+        F.first("named", ignorenulls=True).over(w).alias("__fnn"),
+        F.last("host", ignorenulls=True).over(w).alias("__lh"),
+        F.count(F.lit(1)).over(w).alias("__cnt"),
+        F.sum("packet_bytes").over(w).alias("__bytes"),
     )
-
-    if materialize:
-        from ..session import checkpoint_dir
-
-        checkpoint_dir(df.sparkSession)
-        local = _checkpoint_keeping_partitioning(local)
-        # the last row of each (flow, bucket) holds the bucket totals; the
-        # checkpoint is partitioned on ``__fk``, so this adds no exchange
-        summary = (local.filter(c("is_parsed")).groupBy("__fk").agg(
-            F.any_value("__flow").alias("__flow"), F.any_value("__bucket").alias("__bucket"),
-            F.min_by("named", "seq").alias("__b_first"),
-            F.max_by("__l_fnn", "seq").alias("__b_fnn"),
-            F.max_by("__l_lh", "seq").alias("__b_lh"),
-            F.max("__l_cnt").alias("__b_cnt"),
-            F.max_by("__l_bytes", "seq").alias("__b_bytes"),
-        ))
-    else:
-        summary = (df.filter(c("is_parsed")).groupBy("__fk", "__flow", "__bucket").agg(
-            F.min_by("named", "seq").alias("__b_first"),
-            F.expr("min_by(named, seq) FILTER (WHERE named IS NOT NULL)").alias("__b_fnn"),
-            F.expr("max_by(host, seq) FILTER (WHERE host IS NOT NULL)").alias("__b_lh"),
-            F.count(F.lit(1)).alias("__b_cnt"),
-            F.sum("packet_bytes").alias("__b_bytes"),
-        ))
-    wb = Window.partitionBy("__flow").orderBy("__bucket")
-    before = wb.rowsBetween(_UNB, -1)
-    whole = wb.rowsBetween(_UNB, Window.unboundedFollowing)
-    carry = summary.select(
-        "__fk",
-        F.first("__b_first").over(whole).alias("__flow_first_named"),
-        F.first("__b_fnn", ignorenulls=True).over(before).alias("__c_fnn"),
-        F.last("__b_lh", ignorenulls=True).over(before).alias("__c_lh"),
-        F.coalesce(F.sum("__b_cnt").over(before), F.lit(0)).alias("__c_cnt"),
-        F.coalesce(F.sum("__b_bytes").over(before), F.lit(0)).alias("__c_bytes"),
-    )
-    j = local.join(carry, "__fk", "left")
+    first, fnn, host, cnt, byts = (c(x) for x in ("__first", "__fnn", "__lh", "__cnt", "__bytes"))
+    if cut_flows is not None:
+        local = local.join(_carry(pieces), key, "left")
+        later = c("__c_cnt").isNotNull()
+        first = F.when(later, c("__c_first")).otherwise(first)
+        fnn, host = F.coalesce("__c_fnn", "__fnn"), F.coalesce("__lh", "__c_lh")
+        cnt, byts = (F.coalesce(c(f"__c_{x}"), F.lit(0)) + c(f"__{x}") for x in ("cnt", "bytes"))
     p = c("is_parsed")
-    out = j.select(
-        *[c(x) for x in df.columns if x not in ("__bucket", "__fk", "__flow")],
-        F.when(p, _app_state(c("port_app"), c("__flow_first_named"),
-                             F.coalesce(c("__c_fnn"), c("__l_fnn")))).alias("app_state"),
-        F.when(p, F.coalesce(c("__l_lh"), c("__c_lh"))).alias("host_state"),
-        F.when(p, c("__c_cnt") + c("__l_cnt")).cast("bigint").alias("flow_packets"),
-        F.when(p, c("__c_bytes") + c("__l_bytes")).cast("bigint").alias("flow_bytes"),
+    return local.select(
+        *own,
+        F.when(p, _app_state(c("port_app"), first, fnn)).alias("app_state"),
+        F.when(p, host).alias("host_state"),
+        F.when(p, cnt).cast("bigint").alias("flow_packets"),
+        F.when(p, byts).cast("bigint").alias("flow_bytes"),
+    )
+
+
+def _carry(pieces: DataFrame) -> DataFrame:
+    """What the pieces before each piece of a cut flow leave to it: one row
+    for every piece but a flow's first."""
+    key = [*FLOW_KEY, "__piece"]
+    # one row per piece; the partial aggregates make few rows of many packets
+    summary = pieces.filter(F.col("borders").isNotNull() & F.col("is_parsed")).groupBy(*key).agg(
+        F.min_by("named", "seq").alias("__first"),
+        F.expr("min_by(named, seq) FILTER (WHERE named IS NOT NULL)").alias("__fnn"),
+        F.expr("max_by(host, seq) FILTER (WHERE host IS NOT NULL)").alias("__lh"),
+        F.count(F.lit(1)).alias("__cnt"),
+        F.sum("packet_bytes").alias("__bytes"),
     )
-    return out
+    before = Window.partitionBy(*FLOW_KEY).orderBy("__piece").rowsBetween(_UNB, -1)
+    return summary.select(
+        *key,
+        F.first("__first").over(before).alias("__c_first"),
+        F.first("__fnn", ignorenulls=True).over(before).alias("__c_fnn"),
+        F.last("__lh", ignorenulls=True).over(before).alias("__c_lh"),
+        F.sum("__cnt").over(before).alias("__c_cnt"),
+        F.sum("__bytes").over(before).alias("__c_bytes"),
+    ).filter(F.col("__c_cnt").isNotNull())
 
 
 def with_flow_state_window(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .classify import classify_hosts
 from .decode import decode_packets, to_raw
-from .flows import DEFAULT_BUCKET_ROWS, with_flow_state
+from .flows import DEFAULT_PIECE_ROWS, with_flow_state
 from .inspect import inspect_hosts
 from .rules import apply_rules
 
@@ -35,7 +35,7 @@ def packet_hosts(raw: DataFrame, port_mode: str = "normalized", keywords=None,
 
 
 def verdicts(hosts: DataFrame, rules: DataFrame | None = None, ip_match: str = "low_endpoint",
-             bucket_rows: int = DEFAULT_BUCKET_ROWS, strategy: str = "auto",
+             piece_rows: int = DEFAULT_PIECE_ROWS, strategy: str = "auto",
              partitions: int | None = None) -> DataFrame:
     """Per-packet state and verdict: ``packet_hosts`` + ``app_state``,
     ``host_state``, ``flow_packets``, ``flow_bytes``, ``blocked``,
@@ -44,7 +44,7 @@ def verdicts(hosts: DataFrame, rules: DataFrame | None = None, ip_match: str = "
     State is updated before the rules are checked, and blocked packets
     still update their flow, so rules are applied after the state scan.
     """
-    st = with_flow_state(hosts, bucket_rows=bucket_rows, partitions=partitions)
+    st = with_flow_state(hosts, piece_rows=piece_rows, partitions=partitions)
     v = apply_rules(st, rules, ip_match=ip_match, strategy=strategy)
     return v.withColumn("blocked", F.coalesce(F.col("blocked") & F.col("is_parsed"), F.lit(False)))
 
@@ -57,3 +57,13 @@ def forwarded_packets(v: DataFrame) -> DataFrame:
 def dropped_packets(v: DataFrame) -> DataFrame:
     """Blocked packets."""
     return to_raw(v.filter(F.col("blocked")))
+
+
+def split_packets(raw: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(forwarded, dropped)`` raw packets by the verdicts ``v`` on them
+    (U1, U2), joined on (capture, seq). The verdicts are computed without
+    frame bytes, which so move in this join alone, or not at all where the
+    dropped keys are few enough for Spark to broadcast."""
+    key = ["capture_id", "seq"]
+    blocked = v.filter(F.col("blocked")).select(*key)
+    return to_raw(raw.join(blocked, key, "left_anti")), to_raw(raw.join(blocked, key, "left_semi"))

@@ -3,16 +3,16 @@
 ``analyze`` composes the operators lazily:
 
   raw -> decode -> inspect -> classify      (narrow, one stage)
-      -> flow state (two-level scan)        (one shuffle of pruned rows)
-      -> rules                              (expressions / equi-joins)
+      -> flow state (ranges of flow, seq)   (one shuffle of pruned rows)
+      -> rules                              (equi-joins on distinct values)
       -> verdicts ─┬─> segments -> totals, breakdowns, hosts, flows
-                   └─> forwarded / dropped packets
+                   └─> keys of dropped packets ⋈ raw -> forwarded / dropped
 
 The report side only needs ``segments`` (about one row per flow), so it
 is materialised once - checkpointed to the shared checkpoint folder, which
 also cuts the lineage and survives executor loss - and every report table
-reads it. The frame bytes are dropped before the shuffle on the report
-path; the forwarded stream keeps them (``keep_data``).
+reads it. Frame bytes never enter the flow-state shuffle; the forwarded and
+dropped streams (``keep_data``) take them from ``raw`` again.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import report as R
-from ..operators.flows import DEFAULT_BUCKET_ROWS
-from ..operators.verdicts import dropped_packets, forwarded_packets, packet_hosts, verdicts
+from ..operators.flows import DEFAULT_PIECE_ROWS
+from ..operators.verdicts import packet_hosts, split_packets, verdicts
 from ..session import checkpoint_dir
 
 
@@ -44,7 +44,7 @@ class Analysis:
 def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet",
             port_mode: str = "normalized", ip_match: str = "low_endpoint",
             keywords: DataFrame | None = None, keep_data: bool = False,
-            materialize: bool = True, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+            materialize: bool = True, piece_rows: int = DEFAULT_PIECE_ROWS,
             processing_time_ms: int | None = None, partitions: int | None = None,
             strategy: str = "auto") -> Analysis:
     """Run the whole pipeline on ``raw_packets`` (any number of captures).
@@ -60,12 +60,14 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
     reference's timer around its run; pass a number to fix it.
     """
     t0 = time.time()
-    hosts = packet_hosts(raw, port_mode=port_mode, keywords=keywords, keep_data=keep_data)
-    v = verdicts(hosts, rules, ip_match=ip_match, bucket_rows=bucket_rows, strategy=strategy,
+    hosts = packet_hosts(raw, port_mode=port_mode, keywords=keywords)
+    v = verdicts(hosts, rules, ip_match=ip_match, piece_rows=piece_rows, strategy=strategy,
                  partitions=partitions)
+    checkpoint_dir(v.sparkSession)
+    if keep_data and materialize:  # the segments and both streams read the verdicts
+        v = v.checkpoint(eager=True)
     seg = R.segments(v)
     if materialize:
-        checkpoint_dir(seg.sparkSession)
         seg = seg.checkpoint(eager=True)
     if processing_time_ms is None:
         processing_time_ms = int((time.time() - t0) * 1000) if materialize else 0
@@ -74,6 +76,5 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
     host_list = R.detected_hosts(seg, mode=mode)
     flows = R.flows_from_segments(seg)
     rep = R.traffic_report(totals, apps, host_list, processing_time_ms)
-    fwd = forwarded_packets(v) if keep_data else None
-    drp = dropped_packets(v) if keep_data else None
+    fwd, drp = split_packets(raw, v) if keep_data else (None, None)
     return Analysis(v, seg, totals, apps, host_list, flows, rep, fwd, drp)
