@@ -34,8 +34,8 @@ def _packets(spark):
     return spark.createDataFrame(pd.DataFrame(rows))
 
 
-@pytest.mark.parametrize("strategy", ["inline", "join"])
-def test_strategies_agree(spark, strategy):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_rules_by_broadcast_and_merge_joins(spark, broadcast):
     from wirelens.schemas import RULES
     raw = spark.createDataFrame([
         ("ip", "0.0.0.11", None), ("ip", "0.0.0.14", "a"), ("ip", "0.0.0.10", "b"),
@@ -43,15 +43,54 @@ def test_strategies_agree(spark, strategy):
         ("app", "dns", None), ("domain", "EXAMPLE", None), ("domain", "%y_", None),
         ("domain", "hub", "b")], RULES)
     rules, _ = validate_rules(raw)
-    got = {r.seq: (r.blocked, r.block_reason) for r in
-           apply_rules(_packets(spark), rules, strategy=strategy).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r.seq: (r.blocked, r.block_reason) for r in
+               apply_rules(_packets(spark), rules).collect()}
+        either = {r.seq: r.blocked for r in
+                  apply_rules(_packets(spark), rules, ip_match="either").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {0: (False, None), 1: (True, "ip"), 2: (True, "domain"), 3: (False, None),
                    4: (True, "app"), 5: (True, "domain")}
-    either = {r.seq: r.blocked for r in
-              apply_rules(_packets(spark), rules, ip_match="either", strategy=strategy).collect()}
     assert either == {0: False, 1: True, 2: True, 3: True, 4: True, 5: True}
 
 
+def test_rarest_gram_index_equals_every_pair(spark):
+    """Any number of lengths, patterns of one and two characters, the empty
+    one, patterns none of whose grams occur, nulls and other alphabets."""
+    import random
+
+    from wirelens.operators.substrings import substring_matches
+    r = random.Random(3)
+    texts = sorted({"".join(r.choice("ab.é漢%_") for _ in range(r.randint(1, 12))) for _ in range(80)}) + ["", None, "x" * 300]
+    pats = sorted({"".join(r.choice("ab.é漢%_") for _ in range(r.randint(0, 5))) for _ in range(120)}) + ["zzz", None, "x" * 5000, "x" * 7, texts[0]]
+    got = substring_matches(spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "t string, tk int"), "t",
+                            spark.createDataFrame([(p, k) for k, p in enumerate(pats)], "p string, pk int"), "p")
+    want = sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(pats) if t and p is not None and p in t)
+    assert sorted((x.tk, x.pk) for x in got.collect()) == want and len(want) > 200
+
+
+def test_more_lengths_than_any_bound(spark):
+    """Patterns of 5,000 lengths."""
+    from wirelens.operators.substrings import substring_matches
+    pats = spark.range(1, 5001).selectExpr("repeat('ab', cast(id as int)) AS p")
+    texts = spark.createDataFrame([("ab" * 40 + "c",)], "t string")
+    assert substring_matches(texts, "t", pats, "p").count() == 40
+
+
+def test_packets_without_host_are_spread(spark):
+    """In a merge join packets without a host don't share a key."""
+    from wirelens.operators.rules import rule_flags
+    rules, _ = load_rules(spark, domains=["facebook"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = rule_flags(_packets(spark), rules)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "ELSE xxhash64(capture_id" in p
+
+
 def test_empty_domain_rule_matches_non_empty_hosts(spark):
     rules, _ = load_rules(spark, domains=[""])
     got = {r.seq: r.blocked for r in apply_rules(_packets(spark), rules).collect()}

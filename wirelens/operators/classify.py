@@ -1,9 +1,9 @@
 """Application classification.
 
 The default keyword set is a fixed ``CASE`` chain evaluated per row inside
-codegen. A user keyword table (J4) is matched on the *distinct* hosts
-only, by an exact equi-join on host substrings (no nested-loop join), and
-joined back on the host.
+codegen. A user keyword table (J4) of any size is matched on the *distinct*
+hosts only, by the rarest-gram index (no nested-loop join), and the best
+class of each host is joined back.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.apps import keyword_rows, named_app, port_app
 from ..functions.bytes import cached_column
 from ..schemas import APP_KEYWORDS
+from ..session import scratch_table
 from .substrings import substring_matches
 
-# Keyword tables up to this many rows are inlined as an expression.
-INLINE_KEYWORDS = 512
 # A keyword without a priority comes last.
 LAST_PRIORITY = 2 ** 31 - 1
 
@@ -27,8 +26,7 @@ def default_keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(keyword_rows(), APP_KEYWORDS)
 
 
-def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
-                   strategy: str = "auto") -> DataFrame:
+def classify_hosts(df: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """Adds ``named`` (keyword class or NULL) and ``port_app`` (port class).
 
     With ``keywords`` (``priority, keyword, app``), the lowest priority
@@ -37,27 +35,14 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None,
     df = df.withColumn("port_app", cached_column("port_app", lambda: port_app(F.col("svc_port"))))
     if keywords is None:
         return df.withColumn("named", cached_column("named", lambda: named_app(F.col("host"))))
-    small = keywords.limit(INLINE_KEYWORDS + 1).collect() if strategy != "join" else None
-    if small is not None and len(small) <= INLINE_KEYWORDS:
-        # bounded table: one CASE chain in codegen, no join at all
-        rows = sorted((LAST_PRIORITY if r["priority"] is None else int(r["priority"]), str(r["keyword"]).lower(), str(r["app"]))
-                      for r in small if r["keyword"] is not None and r["app"] is not None)
-        h = F.lower(F.col("host"))
-        expr = None
-        for _prio, kw, app in rows:
-            cond = h.contains(kw)
-            expr = F.when(cond, F.lit(app)) if expr is None else expr.when(cond, F.lit(app))
-        named = F.when(F.length("host") > 0, expr) if expr is not None else F.lit(None)
-        return df.withColumn("named", named.cast("string"))
-    hosts = (df.select(F.lower("host").alias("h"))
-             .filter(F.length("h") > 0).distinct())
+    hosts = df.select(F.lower("host").alias("__h")).distinct()
     kw = keywords.filter("app IS NOT NULL").select(F.coalesce(F.col("priority").cast("int"), F.lit(LAST_PRIORITY)).alias("priority"),
                          F.lower("keyword").alias("keyword"),
                          F.col("app").cast("string").alias("app"))
-    matches = substring_matches(hosts, "h", kw, "keyword")
-    best = (matches.groupBy("h")
-            .agg(F.min_by(F.col("app"), F.struct("priority", "keyword", "app")).alias("named")))
-    out = df.join(best, F.lower(df["host"]) == best["h"], "left").drop("h")
-    return out
-
-
+    matches = substring_matches(hosts, "__h", kw, "keyword")
+    best = scratch_table(matches.groupBy("__h").agg(F.min_by(F.col("app"), F.struct("priority", "keyword", "app")).alias("named")),
+                         "keyword-classes").withColumn("__spread", F.lit(0).cast("bigint"))
+    # packets without a host are spread by a number no class has
+    at = F.when(F.length(df["host"]) > 0, F.lit(0)).otherwise(F.xxhash64(df["capture_id"], df["seq"]))
+    return (df.join(best, (F.lower(df["host"]) == best["__h"]) & (at == best["__spread"]), "left")
+            .drop("__h", "__spread"))

@@ -22,23 +22,46 @@ from pyspark.sql import functions as F
 
 from ..functions.report import bar, raw_pct, round_half_up_1
 from ..schemas import FLOW_KEY
-from .rules import blocked_apps_flag
+from .rules import apply_rules, blocked_apps_flag
 
 PARSED_KEY = FLOW_KEY[1:]
 
 
 def segments(v: DataFrame) -> DataFrame:
-    """Packets grouped by (capture, is_parsed, flow key, protocol, state)."""
+    """Packets grouped by (capture, is_parsed, flow key, protocol, state).
+    ``n_blocked`` only where ``v`` has verdicts; else ``judged`` adds it."""
     c = F.col
+    blocked = [F.count_if(c("blocked")).alias("n_blocked")] if "blocked" in v.columns else []
     return v.groupBy("capture_id", "is_parsed", *PARSED_KEY, "app_state", "host_state").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("packet_bytes").cast("bigint").alias("bytes"),
-        F.count_if(c("blocked")).alias("n_blocked"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
+        *blocked,
     )
 
 
+def judged(seg: DataFrame, rules: DataFrame | None, ip_match: str = "low_endpoint") -> DataFrame:
+    """Segments with ``block_reason`` and ``n_blocked`` (W3). A verdict depends
+    on the flow's addresses and its state only, which a segment's packets
+    share, so rules are matched on about one row per flow, not on packets."""
+    j = apply_rules(seg, rules, ip_match=ip_match)
+    hit = F.coalesce(F.col("blocked") & F.col("is_parsed"), F.lit(False))
+    return j.withColumns({"n_blocked": F.when(hit, F.col("n")).otherwise(F.lit(0)).cast("bigint"),
+                          "block_reason": F.when(hit, F.col("block_reason"))}).drop("blocked")
+
+
+def packet_verdicts(st: DataFrame, seg: DataFrame) -> DataFrame:
+    """Packets with state and the verdict of their segment (``judged``):
+    ``blocked``, ``block_reason``. Joined on flow and state; unparsed packets,
+    never blocked, are spread over the join."""
+    state = F.struct(*FLOW_KEY, "app_state", "host_state")
+    hit = seg.filter(F.col("n_blocked") > 0).select(state.alias("__state"), F.lit(0).cast("bigint").alias("__at"), "block_reason")
+    spread = F.when(F.col("is_parsed"), F.lit(0)).otherwise(F.xxhash64("capture_id", "seq"))
+    out = st.withColumns({"__state": state, "__at": spread}).join(hit, ["__state", "__at"], "left")
+    return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop("__state", "__at")
+
+
 def traffic_totals(seg: DataFrame) -> DataFrame:
     """Totals per capture (A1-A3): all packets incl. unparsed; TCP/UDP count
     parsed packets only; forwarded includes unparsed packets."""

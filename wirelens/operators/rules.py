@@ -5,33 +5,30 @@ IPv4), ``app`` (class name, any case, e.g. ``youtube``) or ``domain``
 (substring of the host, case-insensitive; ``''`` matches every non-empty
 host). ``capture_id`` NULL means the rule applies to every capture.
 
-Matching strategy, chosen from the size of the rule table (counted with a
-bound, never collected unbounded):
-* small (the usual handful of rules): rules become literal expressions -
-  ``InSet`` hash lookups for IPs and apps, ``contains`` tests for domains -
-  evaluated in the same codegen stage as the packet rows; no join, no
-  shuffle, nothing broadcast beyond the plan itself;
-* large (block lists): IP rules by an equi-join on the address, domain
-  rules by matching the *distinct* hosts through an exact substring
-  equi-join (``substrings.py``) and joining the verdict back on the host.
-  AQE handles skewed addresses/hosts on those joins.
+Matching is by equi-joins, whatever the size of the table; Spark chooses how
+each join runs from the sizes it knows (a handful of rules is broadcast into
+the packets' own stage). Rules are resolved on distinct values first:
+* IP rules on the address (and the capture, for rules of single captures);
+* app rules of all captures are a set of at most twelve classes, those of
+  single captures are joined on (capture, app);
+* domain rules on the distinct hosts, by the rarest-gram index of
+  ``substrings.py``; the hosts they hit are joined back. Packets without a
+  host are spread over that join, not sent to one task.
+The rule table is never collected: the driver reads which kinds of rules
+occur, at most six rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.apps import APP_NAMES, label_of
 from ..functions.ip import ip_parse, ip_parse_error
 from ..schemas import RULES
+from ..session import scratch_table
 from .substrings import substring_matches
 
-INLINE_IPS = 10_000
-INLINE_DOMAINS = 64
-
 
 def rules_frame(spark: SparkSession, ips=(), apps=(), domains=(),
                 capture_id: str | None = None) -> DataFrame:
@@ -95,73 +92,19 @@ def load_rules(spark: SparkSession, ips=(), apps=(), domains=(),
     return valid, rejects
 
 
-@dataclass
-class _Group:
-    cap: str | None
-    values: list
-
-
-def _groups(rows, key: str) -> list[_Group]:
-    by: dict = {}
-    for r in rows:
-        by.setdefault(r["capture_id"], []).append(r[key])
-    return [_Group(k, sorted(set(v))) for k, v in by.items()]
-
-
-def _cap_cond(cap: str | None) -> Column:
-    return F.lit(True) if cap is None else (F.col("capture_id") == F.lit(cap))
-
-
-def _bounded(rules: DataFrame, rule_type: str, limit: int, pre: dict | None = None):
-    """Rules of one type if there are at most ``limit`` of them, else None.
-
-    ``pre`` holds the whole (bounded) table when it was collected at once.
-    """
-    if pre is not None:
-        rows = pre.get(rule_type, [])
-    else:
-        rows = rules.filter(F.col("rule_type") == rule_type).limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def _collect_small(rules: DataFrame) -> dict | None:
-    """The whole rule table by type, in one job, if it is small enough to
-    inline every type; None otherwise (each type is then sized alone)."""
-    limit = INLINE_IPS + INLINE_DOMAINS
-    rows = rules.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    by: dict = {}
-    for r in rows:
-        by.setdefault(r["rule_type"], []).append(r)
-    return by
-
+def _kinds(rules: DataFrame) -> dict[tuple[str, bool], list[str]]:
+    """The kinds of rules that occur, by (type, of a single capture), with the
+    classes of app rules."""
+    rows = rules.groupBy("rule_type", F.col("capture_id").isNotNull().alias("per")).agg(F.collect_set("app").alias("apps")).collect()
+    return {(r["rule_type"], r["per"]): sorted(r["apps"]) for r in rows}
 
-def _inline_set_flag(col: Column, groups: list[_Group]) -> Column:
-    flag = F.lit(False)
-    for g in groups:
-        flag = flag | (_cap_cond(g.cap) & F.coalesce(col.isin(*g.values), F.lit(False)))
-    return flag
 
-
-def domain_flag_expr(host: Column, groups: list[_Group]) -> Column:
-    """Any domain rule is a substring of the lower-cased host (X11)."""
-    h = F.lower(host)
-    flag = F.lit(False)
-    for g in groups:
-        any_d = F.lit(False)
-        for d in g.values:
-            any_d = any_d | (F.instr(h, d) > 0)
-        flag = flag | (_cap_cond(g.cap) & any_d)
-    return F.coalesce(host.isNotNull() & (F.length(host) > 0) & flag, F.lit(False))
-
-
-def _join_flag(df: DataFrame, keys: DataFrame, on: list[tuple[str, str]], name: str) -> DataFrame:
+def _join_flag(df: DataFrame, keys: DataFrame, on: list[tuple[str | Column, str]], name: str) -> DataFrame:
     """Left join of a distinct key table, adding boolean ``name``."""
     keys = keys.distinct().withColumn(name, F.lit(True))
     cond = None
     for left, right in on:
-        c = df[left] == keys[right]
+        c = (df[left] if isinstance(left, str) else left) == keys[right]
         cond = c if cond is None else (cond & c)
     out = df.join(keys, cond, "left")
     for _, right in on:
@@ -169,88 +112,90 @@ def _join_flag(df: DataFrame, keys: DataFrame, on: list[tuple[str, str]], name:
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], strategy: str = "auto",
-              pre: dict | None = None) -> DataFrame:
-    rows = _bounded(rules, "ip", INLINE_IPS, pre) if strategy != "join" else None
-    if rows is not None:
-        groups = _groups(rows, "ip")
-        flag = F.lit(False)
-        for c in cols:
-            flag = flag | _inline_set_flag(F.col(c), groups)
-        return df.withColumn("__ip_hit", flag)
-    ipr = rules.filter(F.col("rule_type") == "ip")
-    glob = ipr.filter(F.col("capture_id").isNull()).select(F.col("ip").alias("__ip"))
-    per = ipr.filter(F.col("capture_id").isNotNull()).select(
-        F.col("capture_id").alias("__cap"), F.col("ip").alias("__ip"))
-    names = []
-    for i, c in enumerate(cols):
-        df = _join_flag(df, glob, [(c, "__ip")], f"__ipg{i}")
-        df = _join_flag(df, per, [("capture_id", "__cap"), (c, "__ip")], f"__ipc{i}")
-        names += [f"__ipg{i}", f"__ipc{i}"]
+def _any(names: list[str]) -> Column:
     flag = F.lit(False)
     for n in names:
         flag = flag | F.col(n)
-    return df.withColumn("__ip_hit", flag).drop(*names)
+    return flag
 
 
-def _app_flag(df: DataFrame, rules: DataFrame, app_col: str, pre: dict | None = None) -> DataFrame:
+def _ip_flags(df: DataFrame, rules: DataFrame, cols: list[str], kinds: dict) -> DataFrame:
+    ips = rules.filter(F.col("rule_type") == "ip").select(F.col("capture_id").alias("__cap"), F.col("ip").alias("__ip"))
+    names = []
+    for i, c in enumerate(cols):
+        if ("ip", False) in kinds:
+            df = _join_flag(df, ips.filter(F.col("__cap").isNull()).select("__ip"), [(c, "__ip")], f"__ipg{i}")
+            names.append(f"__ipg{i}")
+        if ("ip", True) in kinds:
+            df = _join_flag(df, ips.filter(F.col("__cap").isNotNull()), [("capture_id", "__cap"), (c, "__ip")], f"__ipc{i}")
+            names.append(f"__ipc{i}")
+    return df.withColumn("ip_hit", _any(names)).drop(*names)
+
+
+def _app_flag(df: DataFrame, rules: DataFrame, app_col: str, name: str, kinds: dict) -> DataFrame:
     """App rules of all captures are at most one for each class and become a
     set; those of single captures, however many, are joined by (capture, app)."""
-    apps = rules.filter(F.col("rule_type") == "app")
-    if pre is not None and all(r["capture_id"] is None for r in pre.get("app", [])):
-        return df.withColumn("__app_hit", _inline_set_flag(F.col(app_col), _groups(pre.get("app", []), "app")))
-    glob = apps.filter(F.col("capture_id").isNull()).select("capture_id", "app").distinct().collect()  # the classes at most
-    per = apps.filter(F.col("capture_id").isNotNull()).select(F.col("capture_id").alias("__cap"), F.col("app").alias("__app"))
+    flag = F.coalesce(F.col(app_col).isin(*kinds.get(("app", False), [])), F.lit(False))
+    if ("app", True) not in kinds:
+        return df.withColumn(name, flag)
+    per = (rules.filter((F.col("rule_type") == "app") & F.col("capture_id").isNotNull())
+           .select(F.col("capture_id").alias("__cap"), F.col("app").alias("__app")))
     df = _join_flag(df, per, [("capture_id", "__cap"), (app_col, "__app")], "__app_cap")
-    return df.withColumn("__app_hit", F.col("__app_cap") | _inline_set_flag(F.col(app_col), _groups(glob, "app"))).drop("__app_cap")
+    return df.withColumn(name, F.col("__app_cap") | flag).drop("__app_cap")
+
 
+def domain_hits(hosts: DataFrame, rules: DataFrame, per_capture: bool = True) -> DataFrame:
+    """``(__hcap, __h)``: the lower-cased hosts that a domain rule hits (X11),
+    in each capture; ``__hcap`` is null if no rule is of a single capture.
 
-def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str,
-                 strategy: str = "auto", pre: dict | None = None) -> DataFrame:
-    rows = _bounded(rules, "domain", INLINE_DOMAINS, pre) if strategy != "join" else None
-    if rows is not None:
-        return df.withColumn("__dom_hit", domain_flag_expr(F.col(host_col), _groups(rows, "domain")))
+    ``hosts`` has ``capture_id`` and ``host``, in any number of rows."""
     dr = rules.filter(F.col("rule_type") == "domain").select(
         F.col("capture_id").alias("__rcap"), F.col("domain").alias("__dom"))
-    hosts = (df.select(F.col("capture_id").alias("__hcap"),
-                       F.lower(F.col(host_col)).alias("__h"))
-             .filter(F.length("__h") > 0).distinct())
-    m = substring_matches(hosts, "__h", dr, "__dom")
-    hit = (m.filter(F.col("__rcap").isNull() | (F.col("__rcap") == F.col("__hcap")))
-           .select("__hcap", "__h"))
-    df = df.withColumn("__hl", F.lower(F.col(host_col)))
-    df = _join_flag(df, hit, [("capture_id", "__hcap"), ("__hl", "__h")], "__dom_hit")
-    return df.drop("__hl")
+    cap = F.col("capture_id") if per_capture else F.lit(None).cast("string")
+    # no filter here: pushed below the distinct it would compute every host twice
+    texts = hosts.select(cap.alias("__hcap"), F.lower("host").alias("__h")).distinct()
+    m = substring_matches(texts, "__h", dr, "__dom")
+    return (m.filter(F.col("__rcap").isNull() | (F.col("__rcap") == F.col("__hcap")))
+            .select("__hcap", "__h").distinct())
+
+
+def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str, hosts: DataFrame | None, kinds: dict) -> DataFrame:
+    per = ("domain", True) in kinds
+    if not per and ("domain", False) not in kinds:
+        return df.withColumn("dom_hit", F.lit(False))
+    if hosts is None:
+        hosts = df.select("capture_id", F.col(host_col).alias("host"))
+    hit = scratch_table(domain_hits(hosts, rules, per), "domain-hits").withColumn("__spread", F.lit(0).cast("bigint"))
+    # what has no host hits nothing: it is spread by a number no hit has
+    at = F.when(F.length(df[host_col]) > 0, F.lit(0)).otherwise(
+        F.xxhash64(df["capture_id"], *[df[c] for c in ("seq", "first_seq") if c in df.columns]))
+    on = [(F.lower(df[host_col]), "__h"), (at, "__spread")] + ([(df["capture_id"], "__hcap")] if per else [])
+    return _join_flag(df, hit if per else hit.drop("__hcap"), on, "dom_hit")
 
 
 def rule_flags(df: DataFrame, rules: DataFrame, ip_match: str = "low_endpoint",
                app_col: str = "app_state", host_col: str = "host_state",
-               strategy: str = "auto") -> DataFrame:
+               hosts: DataFrame | None = None) -> DataFrame:
     """Adds ``ip_hit``, ``app_hit`` and ``dom_hit``.
 
-    ``strategy``: ``auto`` (inline expressions for small rule sets, joins
-    beyond), ``inline`` (always expressions) or ``join`` (always the
-    equi-join path; the plan used for large block lists).
+    ``hosts`` (``capture_id``, ``host``) may name a table that holds every
+    host of ``df`` and is cheaper to read for the distinct ones.
     """
-    if strategy not in ("auto", "inline", "join"):
-        raise ValueError(f"strategy must be auto, inline or join, not {strategy!r}")
     if ip_match == "low_endpoint":
         ip_cols = ["src_ip"]
     elif ip_match == "either":
         ip_cols = ["src_ip", "dst_ip"]
     else:
         raise ValueError(f"ip_match must be 'low_endpoint' or 'either', not {ip_match!r}")
-    pre = _collect_small(rules)
-    df = _ip_flags(df, rules, ip_cols, strategy, pre)
-    df = _app_flag(df, rules, app_col, pre)
-    df = _domain_flag(df, rules, host_col, strategy, pre)
-    return df.withColumnsRenamed({"__ip_hit": "ip_hit", "__app_hit": "app_hit",
-                                  "__dom_hit": "dom_hit"})
+    kinds = _kinds(rules)
+    df = _ip_flags(df, rules, ip_cols, kinds)
+    df = _app_flag(df, rules, app_col, "app_hit", kinds)
+    return _domain_flag(df, rules, host_col, hosts, kinds)
 
 
 def apply_rules(df: DataFrame, rules: DataFrame | None, ip_match: str = "low_endpoint",
                 app_col: str = "app_state", host_col: str = "host_state",
-                strategy: str = "auto") -> DataFrame:
+                hosts: DataFrame | None = None) -> DataFrame:
     """Adds ``blocked`` and ``block_reason`` (``ip``/``app``/``domain``).
 
     ``rules`` must come from ``validate_rules``/``load_rules``.
@@ -260,7 +205,7 @@ def apply_rules(df: DataFrame, rules: DataFrame | None, ip_match: str = "low_end
     if rules is None:
         return df.withColumn("blocked", F.lit(False)).withColumn(
             "block_reason", F.lit(None).cast("string"))
-    df = rule_flags(df, rules, ip_match, app_col, host_col, strategy)
+    df = rule_flags(df, rules, ip_match, app_col, host_col, hosts)
     ip_hit, app_hit, dom_hit = F.col("ip_hit"), F.col("app_hit"), F.col("dom_hit")
     return (df.withColumn("blocked", ip_hit | app_hit | dom_hit)
             .withColumn("block_reason", F.when(ip_hit, F.lit("ip")).when(app_hit, F.lit("app"))
@@ -273,4 +218,4 @@ def blocked_apps_flag(df: DataFrame, rules: DataFrame | None, app_col: str = "ap
     rules never set it."""
     if rules is None:
         return df.withColumn("blocked", F.lit(False))
-    return _app_flag(df, rules, app_col).withColumnRenamed("__app_hit", "blocked")
+    return _app_flag(df, rules, app_col, "blocked", _kinds(rules))

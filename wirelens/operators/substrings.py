@@ -1,36 +1,57 @@
-"""Exact "pattern is a substring of text" matching as an equi-join.
-
-Used when a pattern table (domain rules, keyword table) is too large to
-inline as an expression. Instead of a nested-loop (theta) join, every text
-is expanded into its substrings of the pattern lengths that occur, and
-those are equi-joined with the patterns. Texts are expected to be distinct
-already (hosts), so the expansion is bounded by
-``#distinct lengths x len(text)`` per distinct text.
+"""Exact "pattern is a substring of text" matching by a rarest-gram index.
+
+Used for domain rules and keyword tables of any size. Instead of a
+nested-loop (theta) join, texts are indexed by their distinct grams of
+``GRAM`` characters; every pattern is looked up by one of its grams only, the
+one with the fewest texts, and the texts found there are verified. A pattern
+shorter than a gram is its own key, and the empty pattern's key is held by
+every non-empty text, so one equi-join serves all. A text holds a gram once
+and a pattern has one key, so no pair is met twice.
+
+Texts are expected to be distinct (hosts, not packets): the index has at most
+three rows for every character of a distinct text, whatever the number and
+the lengths of the patterns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DISTINCT_LENGTHS = 4096
+from ..functions.bytes import let
+from ..session import scratch_table
 
+GRAM = 3
 
-def pattern_lengths(patterns: DataFrame, col: str) -> list[int]:
-    """Distinct pattern lengths (a bounded, checked set) for the expansion."""
-    lens = (patterns.select(F.length(col).alias("L")).distinct()
-            .limit(MAX_DISTINCT_LENGTHS + 1).collect())
-    if len(lens) > MAX_DISTINCT_LENGTHS:
-        raise ValueError("too many distinct pattern lengths for substring matching")
-    return sorted(int(r["L"]) for r in lens if r["L"] is not None)
 
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters; none if the text is shorter."""
+    def runs(chars):
+        each = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(F.size(chars) >= n, each).otherwise(F.array().cast("array<string>"))
+    return let(F.split(text, ""), runs)
 
-def _substr_at(text, length: int):
-    # a one-argument lambda: ``transform`` passes (element, index) to
-    # two-argument lambdas
-    def f(i):
-        return F.substring(text, i, length)
-    return f
+
+def gram_index(texts: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` with a row for each distinct gram (``__gram``) of up to GRAM
+    characters, and one with the empty gram."""
+    t = F.col(text_col)
+    sizes = F.flatten(F.array(F.array(F.lit("")), *[_grams(t, n) for n in range(1, GRAM + 1)]))
+    return texts.filter(F.length(t) > 0).select("*", F.explode(F.array_distinct(sizes)).alias("__gram"))
+
+
+def keyed_patterns(index: DataFrame, patterns: DataFrame, pat_col: str) -> DataFrame:
+    """``patterns`` with the gram they are looked up by: the rarest of the
+    index, ties by the gram itself. A pattern with a gram that no text holds
+    has a key that no text holds."""
+    p = F.col(pat_col)
+    held = index.filter(F.length("__gram") == GRAM).groupBy("__gram").agg(F.count(F.lit(1)).alias("__held"))
+    long = patterns.filter(F.length(p) >= GRAM).select(p.alias("__pat")).distinct()
+    each = long.select("__pat", F.explode(F.array_distinct(_grams(F.col("__pat"), GRAM))).alias("__gram"))
+    rarest = (each.join(held, "__gram", "left").groupBy("__pat")
+              .agg(F.min(F.struct(F.coalesce("__held", F.lit(0)).alias("n"), "__gram"))["__gram"].alias("__key")))
+    own = patterns.filter(F.length(p) < GRAM).select("*", p.alias("__gram"))
+    return own.unionByName(patterns.join(rarest, p == F.col("__pat")).drop("__pat").withColumnRenamed("__key", "__gram"))
 
 
 def substring_matches(texts: DataFrame, text_col: str,
@@ -38,22 +59,9 @@ def substring_matches(texts: DataFrame, text_col: str,
     """All (text row, pattern row) pairs where ``pattern`` occurs in ``text``.
 
     Returns the columns of ``texts`` plus those of ``patterns``. An empty
-    pattern matches every non-empty text.
+    pattern matches every non-empty text; nulls match nothing. ``texts`` is
+    written once, since the index is read for its counts and its postings.
     """
-    lengths = pattern_lengths(patterns, pat_col)
-    if not lengths:
-        return texts.join(patterns, F.lit(False), "inner")
-    t = F.col(text_col)
-    n = F.length(t)
-    subs = []
-    for L in lengths:
-        if L == 0:
-            subs.append(F.when(n > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-        else:
-            cnt = n - L + 1
-            subs.append(F.when(cnt >= 1, F.transform(F.sequence(F.lit(1), cnt), _substr_at(t, L)))
-                        .otherwise(F.array().cast("array<string>")))
-    all_subs = F.array_distinct(F.flatten(F.array(*subs)))
-    exploded = texts.select("*", F.explode(all_subs).alias("__sub"))
-    pats = patterns.withColumn("__sub", F.col(pat_col))
-    return exploded.join(pats, "__sub", "inner").drop("__sub")
+    index = gram_index(scratch_table(texts, "texts"), text_col)
+    keyed = keyed_patterns(index, patterns, pat_col)
+    return index.join(keyed, "__gram").filter(F.contains(F.col(text_col), F.col(pat_col))).drop("__gram")

@@ -24,28 +24,29 @@ HOST_COLUMNS = [
 
 
 def packet_hosts(raw: DataFrame, port_mode: str = "normalized", keywords=None,
-                 keep_data: bool = False, keyword_strategy: str = "auto") -> DataFrame:
+                 keep_data: bool = False) -> DataFrame:
     """Decode -> inspect -> classify, projected to ``HOST_COLUMNS``."""
     df = decode_packets(raw, port_mode=port_mode)
     df = df.withColumn("packet_bytes", F.length("data").cast("int"))
     df = inspect_hosts(df)
-    df = classify_hosts(df, keywords, strategy=keyword_strategy)
+    df = classify_hosts(df, keywords)
     cols = HOST_COLUMNS + (["data"] if keep_data else [])
     return df.select(*cols)
 
 
 def verdicts(hosts: DataFrame, rules: DataFrame | None = None, ip_match: str = "low_endpoint",
-             piece_rows: int = DEFAULT_PIECE_ROWS, strategy: str = "auto",
-             partitions: int | None = None) -> DataFrame:
+             piece_rows: int = DEFAULT_PIECE_ROWS, partitions: int | None = None) -> DataFrame:
     """Per-packet state and verdict: ``packet_hosts`` + ``app_state``,
     ``host_state``, ``flow_packets``, ``flow_bytes``, ``blocked``,
     ``block_reason``. Unparsed packets are never blocked.
 
     State is updated before the rules are checked, and blocked packets
-    still update their flow, so rules are applied after the state scan.
+    still update their flow, so rules are applied after the state scan. A
+    flow's last host is a host of its packets, so domain rules are resolved
+    on the distinct hosts of ``hosts``, before the packets are moved.
     """
     st = with_flow_state(hosts, piece_rows=piece_rows, partitions=partitions)
-    v = apply_rules(st, rules, ip_match=ip_match, strategy=strategy)
+    v = apply_rules(st, rules, ip_match=ip_match, hosts=hosts)
     return v.withColumn("blocked", F.coalesce(F.col("blocked") & F.col("is_parsed"), F.lit(False)))
 
 

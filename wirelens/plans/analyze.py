@@ -4,9 +4,9 @@
 
   raw -> decode -> inspect -> classify      (narrow, one stage)
       -> flow state (ranges of flow, seq)   (one shuffle of pruned rows)
-      -> rules                              (equi-joins on distinct values)
-      -> verdicts ─┬─> segments -> totals, breakdowns, hosts, flows
-                   └─> keys of dropped packets ⋈ raw -> forwarded / dropped
+      -> segments (flow, state) ⋈ rules ─┬─> totals, breakdowns, hosts, flows
+                                         └─> keys of dropped packets ⋈ raw
+                                             -> forwarded / dropped
 
 The report side only needs ``segments`` (about one row per flow), so it
 is materialised once - checkpointed to the shared checkpoint folder, which
@@ -23,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import report as R
-from ..operators.flows import DEFAULT_PIECE_ROWS
-from ..operators.verdicts import packet_hosts, split_packets, verdicts
+from ..operators.flows import DEFAULT_PIECE_ROWS, with_flow_state
+from ..operators.verdicts import packet_hosts, split_packets
 from ..session import checkpoint_dir
 
 
@@ -45,8 +45,7 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
             port_mode: str = "normalized", ip_match: str = "low_endpoint",
             keywords: DataFrame | None = None, keep_data: bool = False,
             materialize: bool = True, piece_rows: int = DEFAULT_PIECE_ROWS,
-            processing_time_ms: int | None = None, partitions: int | None = None,
-            strategy: str = "auto") -> Analysis:
+            processing_time_ms: int | None = None, partitions: int | None = None) -> Analysis:
     """Run the whole pipeline on ``raw_packets`` (any number of captures).
 
     ``mode`` = ``packet`` (the single-threaded engine's breakdown/hosts) or
@@ -61,14 +60,15 @@ def analyze(raw: DataFrame, rules: DataFrame | None = None, mode: str = "packet"
     """
     t0 = time.time()
     hosts = packet_hosts(raw, port_mode=port_mode, keywords=keywords)
-    v = verdicts(hosts, rules, ip_match=ip_match, piece_rows=piece_rows, strategy=strategy,
-                 partitions=partitions)
-    checkpoint_dir(v.sparkSession)
-    if keep_data and materialize:  # the segments and both streams read the verdicts
-        v = v.checkpoint(eager=True)
-    seg = R.segments(v)
+    st = with_flow_state(hosts, piece_rows=piece_rows, partitions=partitions)
+    checkpoint_dir(st.sparkSession)
+    if keep_data and materialize:  # the segments and both streams read the states
+        st = st.checkpoint(eager=True)
+    seg = R.segments(st)
     if materialize:
         seg = seg.checkpoint(eager=True)
+    seg = R.judged(seg, rules, ip_match)
+    v = R.packet_verdicts(st, seg)
     if processing_time_ms is None:
         processing_time_ms = int((time.time() - t0) * 1000) if materialize else 0
     totals = R.traffic_totals(seg)

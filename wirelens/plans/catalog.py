@@ -16,8 +16,7 @@ from ..functions.ip import flow_label, ip_format, ip_parse
 from ..operators import report as R
 from ..operators.flows import flow_table, packets_with_flow
 from ..operators.rules import load_rules, rule_flags, validate_rules
-from ..operators.verdicts import (dropped_packets, forwarded_packets, packet_hosts,
-                                  verdicts)
+from ..operators.verdicts import packet_hosts, split_packets, verdicts
 from ..schemas import APP_KEYWORDS
 from ..sources.events import HOSTS, load_events, packets
 from .analyze import analyze
@@ -149,7 +148,7 @@ def q_classify_packet(spark, sf):
 
 def q_classify_keyword_table(spark, sf):
     kw = spark.createDataFrame(KEYWORD_TABLE, APP_KEYWORDS)
-    h = packet_hosts(_raw(spark, sf), keywords=kw, keyword_strategy="join")
+    h = packet_hosts(_raw(spark, sf), keywords=kw)
     return _parsed(h).select(_b("seq"), "named")
 
 
@@ -206,9 +205,9 @@ def q_rule_ip(spark, sf):
                    F.lit(None).cast("string").alias("capture_id")).distinct())
     rules, _ = validate_rules(ips)
     st = _parsed(_state(spark, sf))
-    low = rule_flags(st, rules, ip_match="low_endpoint", strategy="join").select(
+    low = rule_flags(st, rules, ip_match="low_endpoint").select(
         "seq", c("ip_hit").alias("ip_low"))
-    either = rule_flags(st, rules, ip_match="either", strategy="join").select(
+    either = rule_flags(st, rules, ip_match="either").select(
         "seq", c("ip_hit").alias("ip_either"))
     return low.join(either, "seq").select(_b("seq"), "ip_low", "ip_either")
 
@@ -219,10 +218,52 @@ def q_rule_app(spark, sf):
     return rule_flags(st, rules).select(_b("seq"), "app_state", "app_hit")
 
 
+def large_patterns(spark, sf) -> DataFrame:
+    """``text``: a pattern for each event, cut from the hosts; six in seven
+    carry the event's number, so that the table grows with the events and
+    most of it matches nothing."""
+    ev = load_events(spark, sf)
+    host = F.lower(F.element_at(F.array(*[F.lit(h) for h in HOSTS]), ((c("event_id") * 7 + c("user_id") * 3) % 12 + 1).cast("int")))
+    piece = F.substring(host, (c("event_id") % 5 + 1).cast("int"), (c("user_id") % 9 + 1).cast("int"))
+    tail = F.when(c("event_id") % 7 == 0, F.lit("")).otherwise(c("event_id").cast("string"))
+    return ev.select("event_id", F.concat(piece, tail).alias("text"))
+
+
+def q_rule_domain_large(spark, sf):
+    """Domain rules as many as events (those of one character kept to the
+    capture of their day, which is not this one)."""
+    t = large_patterns(spark, sf).filter(F.length("text") > 0)
+    rules, _ = validate_rules(t.select(F.lit("domain").alias("rule_type"), F.upper("text").alias("value"),
+                                       F.when(F.length("text") < 4, F.lit("other")).alias("capture_id")))
+    st = _parsed(_state(spark, sf))
+    return rule_flags(st, rules).select(_b("seq"), "host_state", "dom_hit")
+
+
+def q_classify_keyword_large(spark, sf):
+    t = large_patterns(spark, sf)
+    kw = t.filter(F.length("text") > 2).select((c("event_id") % 1000).cast("int").alias("priority"), c("text").alias("keyword"),
+                  F.concat(F.lit("class "), (c("event_id") % 50).cast("string")).alias("app"))
+    return _parsed(packet_hosts(_raw(spark, sf), keywords=kw)).select(_b("seq"), "named")
+
+
+def q_rules_many_captures(spark, sf):
+    """Rules of single captures (days): by address, class and domain."""
+    ev = load_events(spark, sf)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    some = lambda n: c("event_id") % n == 0
+    rules, _ = validate_rules(
+        ev.filter(some(40)).select(F.lit("ip").alias("rule_type"), ip_format(F.lit(3232235776) + c("user_id")).alias("value"), day.alias("capture_id"))
+        .union(ev.filter(some(900)).select(F.lit("app"), F.lit("github"), day))
+        .union(ev.filter(some(700)).select(F.lit("domain"), F.concat(F.lit("goo"), F.substring(F.lit("gle"), 1, (c("event_id") % 3 + 1).cast("int"))), day))
+        .distinct())
+    v = verdicts(_hosts(spark, sf, "daily"), rules)
+    return v.select("capture_id", _b("seq"), "blocked", "block_reason")
+
+
 def q_rule_domain(spark, sf):
     rules, _ = load_rules(spark, domains=DOMAIN_RULES_MIXED)
     st = _parsed(_state(spark, sf))
-    return rule_flags(st, rules, strategy="join").select(_b("seq"), "host_state", "dom_hit")
+    return rule_flags(st, rules).select(_b("seq"), "host_state", "dom_hit")
 
 
 # --- flow state and verdicts -------------------------------------------------
@@ -262,13 +303,11 @@ def q_packets_with_flow(spark, sf):
 
 
 def q_forwarded_packets(spark, sf):
-    v = verdicts(packet_hosts(_raw(spark, sf), keep_data=True), standard_rules(spark))
-    return forwarded_packets(v).select(_b("seq"), _b("incl_len"))
+    return split_packets(_raw(spark, sf), _verdicts(spark, sf))[0].select(_b("seq"), _b("incl_len"))
 
 
 def q_dropped_packets(spark, sf):
-    v = verdicts(packet_hosts(_raw(spark, sf), keep_data=True), standard_rules(spark))
-    return dropped_packets(v).select(_b("seq"), _b("incl_len"))
+    return split_packets(_raw(spark, sf), _verdicts(spark, sf))[1].select(_b("seq"), _b("incl_len"))
 
 
 # --- flows and reports ---------------------------------------------------------
@@ -357,6 +396,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_ip": q_rule_ip,
         "rule_app": q_rule_app,
         "rule_domain": q_rule_domain,
+        "rule_domain_large": q_rule_domain_large,
+        "classify_keyword_large": q_classify_keyword_large,
+        "rules_many_captures": q_rules_many_captures,
         "app_state": q_app_state,
         "host_state": q_host_state,
         "flow_running": q_flow_running,

@@ -12,15 +12,17 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rules import validate_rules
 from ..operators.verdicts import packet_hosts
 from ..plans.analyze import analyze
+from ..schemas import FLOW_KEY
 from ..session import scratch_path
 from ..sources.events import packets
 from ..sources.inventory import capture_inventory
 from ..sources.pcap import read_pcap, write_pcap
-from ..streaming.aggregates import (read_capture_stream, read_packet_table_stream,
-                                    run_to_table, stream_flow_table, stream_totals)
-from ..streaming.state import stream_verdicts
+from ..streaming.aggregates import (KeyedTable, merge_flows, merge_totals, read_capture_stream,
+                                    read_packet_table_stream, run_to_table, stream_flow_table)
+from ..streaming.state import stream_states, verdict_batch
 
 c = F.col
 _paths: dict = {}
@@ -47,19 +49,20 @@ def capture_folder(spark: SparkSession, sf: str, layout: str = "daily") -> str:
 
 def stream_folder(spark: SparkSession, sf: str) -> str:
     """Derived packets (one capture) as a drop folder of Parquet files, one
-    file per consecutive ``seq`` range, written in ``seq`` order so the file
-    stream replays the capture in arrival order."""
+    file per consecutive ``seq`` range, so the file stream replays the capture
+    in arrival order. One job writes all of it; the files' times, by which the
+    stream orders them, follow their numbers."""
     def build():
         path = scratch_path(spark, "stream-drop")
         raw = packets(spark, sf, "single")
-        lo, hi, n = raw.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
-        chunks = max(4, -(-int(n) // STREAM_FILE_ROWS))
-        width = -(-(int(hi) - int(lo) + 1) // chunks)
-        for k in range(chunks):
-            part = raw.filter((c("seq") >= lo + k * width) & (c("seq") < lo + (k + 1) * width))
-            # one file per chunk; a chunk holds at most STREAM_FILE_ROWS-ish rows
-            part.repartition(1).write.mode("append").parquet(path)
-            time.sleep(0.05)  # distinct modification times keep file order
+        chunks = max(4, -(-raw.count() // STREAM_FILE_ROWS))
+        raw.repartitionByRange(chunks, "seq").sortWithinPartitions("seq").write.parquet(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=str)
+        now = int(time.time()) * 1000
+        for k, f in enumerate(parts):
+            fs.setTimes(f, now + 1000 * (k - len(parts)), -1)
         return path
     return _once(spark, sf, "stream-drop", build)
 
@@ -105,13 +108,38 @@ def _packet_stream(spark, sf) -> DataFrame:
 def q_stream_verdicts(spark, sf):
     from .catalog import standard_rules
 
-    v = stream_verdicts(_packet_stream(spark, sf), standard_rules(spark))
-    table = run_to_table(v.select("seq", "app_state", "host_state", "blocked", "block_reason"),
-                         mode="append")
-    return spark.read.parquet(table).select(c("seq").cast("bigint").alias("seq"), "app_state",
+    table = run_to_table(stream_states(_packet_stream(spark, sf)), mode="append",
+                         per_batch=verdict_batch(standard_rules(spark)))
+    return spark.read.parquet(table).select(c("seq").cast("bigint").alias("seq"), "is_parsed", "app_state",
                                             "host_state", "blocked", "block_reason")
 
 
+def q_stream_rules_large(spark, sf):
+    """Verdicts of a stream by as many domain rules as there are events."""
+    from .catalog import large_patterns
+
+    t = large_patterns(spark, sf).filter(F.length("text") >= 4)
+    rules, _ = validate_rules(t.select(F.lit("domain").alias("rule_type"), c("text").alias("value")))
+    table = run_to_table(stream_states(_packet_stream(spark, sf)), mode="append", per_batch=verdict_batch(rules))
+    return spark.read.parquet(table).select(c("seq").cast("bigint").alias("seq"), "host_state", "blocked")
+
+
+def _merged_verdicts(spark, sf, keys, merge) -> DataFrame:
+    from .catalog import standard_rules
+
+    table = KeyedTable(spark, scratch_path(spark, "keyed"), keys, merge)
+    run_to_table(stream_states(_packet_stream(spark, sf)), mode="append",
+                 per_batch=verdict_batch(standard_rules(spark)), into=table.upsert)
+    return table.read()
+
+
+def q_stream_flow_upsert(spark, sf):
+    return _merged_verdicts(spark, sf, FLOW_KEY, merge_flows).select(
+        "capture_id", *[c(x).cast("bigint").alias(x) for x in
+                        ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_count",
+                         "byte_count")], "app", "host", "blocked")
+
+
 def q_stream_flow_table(spark, sf):
     f = stream_flow_table(_packet_stream(spark, sf))
     table = run_to_table(f, mode="complete")
@@ -122,8 +150,7 @@ def q_stream_flow_table(spark, sf):
 
 
 def q_stream_totals(spark, sf):
-    t = stream_totals(_packet_stream(spark, sf))
-    return spark.read.parquet(run_to_table(t, mode="complete"))
+    return _merged_verdicts(spark, sf, ["capture_id"], merge_totals)
 
 
 def q_capture_inventory(spark, sf):
@@ -144,6 +171,8 @@ def queries():
         "stream_ingest": q_stream_ingest,
         "stream_verdicts": q_stream_verdicts,
         "stream_flow_table": q_stream_flow_table,
+        "stream_flow_upsert": q_stream_flow_upsert,
+        "stream_rules_large": q_stream_rules_large,
         "stream_totals": q_stream_totals,
         "capture_inventory": q_capture_inventory,
     }

@@ -110,6 +110,12 @@ allv AS (SELECT pb.seq, pb.capture_id, pb.ts_sec, pb.ts_usec, pb.packet_bytes, p
 """
 
 
+#: As catalog.large_patterns: a pattern for each event.
+_PATTERNS = f"""pat AS (SELECT event_id,
+  substr(lower({_HOSTS_CASE}), event_id % 5 + 1, user_id % 9 + 1) || CASE WHEN event_id % 7 = 0 THEN '' ELSE event_id::VARCHAR END AS text
+  FROM events)"""
+
+
 def _ipfmt(c: str) -> str:
     return (f"(({c} >> 24) & 255)::VARCHAR || '.' || (({c} >> 16) & 255)::VARCHAR || '.' || "
             f"(({c} >> 8) & 255)::VARCHAR || '.' || ({c} & 255)::VARCHAR")
@@ -266,8 +272,8 @@ SELECT rule_type, value,
 FROM e"""
 
 
-def _q(body: str, layout: str = "single") -> str:
-    return base(layout) + body
+def _q(body: str, layout: str = "single", ctes: str = "") -> str:
+    return base(layout) + ctes + " " + body
 
 
 def oracle_sql() -> dict[str, str]:
@@ -334,6 +340,23 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(seq AS BIGINT) AS seq, host_state, coalesce(host_state <> '' AND ("
             + " OR ".join(f"contains(lower(host_state), '{d.lower()}')" for d in DOMAIN_RULES_MIXED)
             + "), false) AS dom_hit FROM v"),
+        "rule_domain_large": _q(
+            "SELECT CAST(v.seq AS BIGINT) AS seq, host_state, hits.h IS NOT NULL AS dom_hit FROM v LEFT JOIN hits ON v.host_state = hits.h",
+            ctes=f", {_PATTERNS}, hits AS (SELECT DISTINCT h FROM (SELECT DISTINCT host_state AS h FROM v WHERE host_state <> '') JOIN "
+                 "(SELECT DISTINCT text FROM pat WHERE length(text) >= 4) ON contains(lower(h), text))"),
+        "classify_keyword_large": _q(
+            "SELECT CAST(n.seq AS BIGINT) AS seq, best.app AS named FROM n LEFT JOIN best ON n.host = best.h",
+            ctes=f", {_PATTERNS}, best AS (SELECT h, min_by('class ' || (event_id % 50), (event_id % 1000, text, 'class ' || (event_id % 50))) AS app "
+                 "FROM (SELECT DISTINCT host AS h FROM n WHERE host <> '') JOIN pat ON length(text) > 2 AND contains(lower(h), text) GROUP BY h)"),
+        "rules_many_captures": _q(
+            "SELECT a.capture_id, CAST(a.seq AS BIGINT) AS seq, coalesce(i OR p OR d, false) AS blocked, "
+            "CASE WHEN i THEN 'ip' WHEN p THEN 'app' WHEN d THEN 'domain' END AS block_reason FROM allv a LEFT JOIN hit ON hit.seq = a.seq",
+            "daily",
+            ctes=", days AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events), "
+                 "hit AS (SELECT seq, EXISTS (SELECT 1 FROM days WHERE event_id % 40 = 0 AND day = v.capture_id AND 3232235776 + user_id = v.src_ip) AS i, "
+                 "app_state = 'GitHub' AND EXISTS (SELECT 1 FROM days WHERE event_id % 900 = 0 AND day = v.capture_id) AS p, "
+                 "coalesce(EXISTS (SELECT 1 FROM days WHERE event_id % 700 = 0 AND day = v.capture_id "
+                 "AND contains(lower(v.host_state), 'goo' || substr('gle', 1, event_id % 3 + 1))), false) AS d FROM v)"),
         "app_state": _q("SELECT CAST(seq AS BIGINT) AS seq, app_state FROM v"),
         "host_state": _q("SELECT CAST(seq AS BIGINT) AS seq, host_state FROM v"),
         "flow_running": _q("SELECT CAST(seq AS BIGINT) AS seq, CAST(flow_packets AS BIGINT) AS flow_packets, "
@@ -388,8 +411,17 @@ def oracle_sql() -> dict[str, str]:
             "CAST(sum(packet_bytes) AS BIGINT) AS bytes, "
             "CAST(count(*) FILTER (WHERE is_parsed) AS BIGINT) AS parsed FROM pb GROUP BY capture_id",
             "daily"),
-        "stream_verdicts": _q("SELECT CAST(seq AS BIGINT) AS seq, app_state, host_state, blocked, "
-                              "block_reason FROM vb"),
+        "stream_verdicts": _q("SELECT CAST(seq AS BIGINT) AS seq, is_parsed, app_state, host_state, blocked, "
+                              "block_reason FROM allv"),
+        "stream_rules_large": _q(
+            "SELECT CAST(a.seq AS BIGINT) AS seq, host_state, hits.h IS NOT NULL AS blocked FROM allv a LEFT JOIN hits ON a.host_state = hits.h",
+            ctes=f", {_PATTERNS}, hits AS (SELECT DISTINCT h FROM (SELECT DISTINCT host_state AS h FROM v WHERE host_state <> '') JOIN "
+                 "(SELECT DISTINCT text FROM pat WHERE length(text) >= 4) ON contains(lower(h), text))"),
+        "stream_flow_upsert": _q(", " + _flows() + " SELECT capture_id, CAST(src_ip AS BIGINT) AS src_ip, "
+                         "CAST(dst_ip AS BIGINT) AS dst_ip, CAST(src_port AS BIGINT) AS src_port, "
+                         "CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, "
+                         "CAST(packet_count AS BIGINT) AS packet_count, "
+                         "CAST(byte_count AS BIGINT) AS byte_count, app, host, blocked FROM fl"),
         "stream_flow_table": _q(
             ", " + _flows() + " SELECT capture_id, CAST(src_ip AS BIGINT) AS src_ip, "
             "CAST(dst_ip AS BIGINT) AS dst_ip, CAST(src_port AS BIGINT) AS src_port, "
@@ -401,11 +433,6 @@ def oracle_sql() -> dict[str, str]:
             "CAST(65535 AS BIGINT) AS snaplen, CAST(1 AS BIGINT) AS link_type, "
             "CAST(count(*) AS BIGINT) AS n_packets, CAST(sum(packet_bytes) AS BIGINT) AS n_bytes, "
             "CAST(0 AS BIGINT) AS errors FROM pb GROUP BY capture_id", "daily"),
-        "stream_totals": _q(
-            "SELECT capture_id, CAST(count(*) AS BIGINT) AS total_packets, "
-            "CAST(sum(packet_bytes) AS BIGINT) AS total_bytes, "
-            "CAST(count(*) FILTER (WHERE is_parsed AND protocol = 6) AS BIGINT) AS tcp_packets, "
-            "CAST(count(*) FILTER (WHERE is_parsed AND protocol = 17) AS BIGINT) AS udp_packets "
-            "FROM pb GROUP BY capture_id"),
+        "stream_totals": _q(", " + _totals() + " SELECT * FROM tt"),
     }
     return q

@@ -3,20 +3,28 @@
 Live aggregates run as native streaming aggregations (partial and final
 aggregation, state in the state store). Results are written per
 micro-batch with ``foreachBatch`` to a table folder (distributed write, no
-driver-side sink), which a batch reader then reads.
+driver-side sink), which a batch reader then reads. Aggregates of verdicts
+(flow records with ``blocked``, totals with forwarded and dropped packets) are
+merged into a ``KeyedTable``, of which an epoch rewrites only what it touches.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.flows import flow_table
-from ..schemas import RAW_PACKETS
-from ..session import scratch_path
+from ..schemas import FLOW_KEY, RAW_PACKETS
+from ..session import scratch_path, scratch_table
 from ..sources.pcap import register
 
 
+TOTALS = ["total_packets", "total_bytes", "tcp_packets", "udp_packets", "forwarded", "dropped"]
+
+
 def read_capture_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Capture files dropped into ``path`` as a stream of raw packets."""
     register(spark)
@@ -52,8 +60,9 @@ def stream_flow_table(hosts: DataFrame) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "complete",
-                 checkpoint: str | None = None, timeout_s: int = 600,
-                 trigger: str = "availableNow") -> str:
+                 checkpoint: str | None = None, trigger: str = "availableNow",
+                 per_batch: Callable[[DataFrame], DataFrame] | None = None,
+                 into: Callable[[DataFrame, int], None] | None = None) -> str:
     """Run a streaming query until the available input is processed and
     keep its result as a Parquet table.
 
@@ -62,7 +71,9 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     reports no new data (Python sources, which cap batches themselves).
 
     ``complete`` mode overwrites the table with each batch's full result;
-    ``append`` mode appends each batch's new rows.
+    ``append`` mode appends each batch's new rows. With ``per_batch`` a batch
+    is written once and what the function makes of it is the result; with
+    ``into`` that goes to a sink of its own (``KeyedTable.upsert``).
     """
     spark = df.sparkSession
     out_path = out_path or scratch_path(spark, "stream-out")
@@ -70,7 +81,11 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # idempotent per epoch, so a retried batch never duplicates rows
-        if mode == "complete":
+        if per_batch is not None:  # what reads it twice must not run the stateful step twice
+            batch = per_batch(scratch_table(batch, "micro-batch"))
+        if into is not None:
+            into(batch, epoch)
+        elif mode == "complete":
             batch.write.mode("overwrite").parquet(out_path)
         else:
             batch.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
@@ -78,8 +93,8 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     w = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint))
     if trigger == "availableNow":
-        # a catch-up run ends when the input is consumed; with state TTL the
-        # engine would otherwise keep running no-data cleanup batches
+        # a catch-up run ends when the input is consumed, however long that takes;
+        # with state TTL the engine would otherwise keep running cleanup batches
         key = "spark.sql.streaming.noDataMicroBatches.enabled"
         before = spark.conf.get(key, "true")
         spark.conf.set(key, "false")
@@ -87,9 +102,7 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
             q = w.trigger(availableNow=True).start()
         finally:
             spark.conf.set(key, before)
-        if not q.awaitTermination(timeout_s):
-            q.stop()
-            raise TimeoutError("streaming query did not finish")
+        q.awaitTermination()
     else:
         q = w.trigger(processingTime="0 seconds").start()
         try:
@@ -99,3 +112,94 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     if q.exception() is not None:
         raise q.exception()
     return out_path
+
+
+class KeyedTable:
+    """A table of one row per key that micro-batches are merged into.
+
+    Rows lie in ``buckets`` folders by a hash of the key. An epoch merges its
+    rows with those of the buckets it touches, writes these buckets anew under
+    its own folder and then its manifest, which names the folder of every
+    bucket. Readers see the last manifest only, so an epoch is visible whole
+    or not at all, untouched buckets are never rewritten, and an epoch that is
+    run again after its manifest stands changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str],
+                 merge: Callable[[DataFrame], DataFrame], buckets: int = 64):
+        self.spark, self.path, self.keys, self.merge, self.buckets = spark, path.rstrip("/"), keys, merge, buckets
+
+    def _fs(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _epochs(self) -> list[int]:
+        at, fs = self._fs("_manifests")
+        if not fs.exists(at):
+            return []
+        return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
+
+    def _manifest(self, epoch: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{epoch}.json", wholetext=True).first()[0])
+
+    def _publish(self, epoch: int, manifest: dict) -> None:
+        jvm = self.spark.sparkContext._jvm
+        part, fs = self._fs(f"_manifests/{epoch}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests/{epoch}.json")):
+            raise OSError(f"manifest of epoch {epoch} cannot be published")
+
+    def _rows(self, manifest: dict) -> DataFrame:
+        return self.spark.read.schema(manifest["schema"]).parquet(*sorted(manifest["buckets"].values()))
+
+    def upsert(self, rows: DataFrame, epoch: int) -> None:
+        done = self._epochs()
+        if epoch in done:
+            return
+        before = self._manifest(done[-1]) if done else {"buckets": {}}
+        new = scratch_table(self.merge(rows).withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))), "upsert")
+        touched = {str(r[0]) for r in new.select("__bucket").distinct().collect()}  # at most ``buckets``
+        old = {b: p for b, p in before["buckets"].items() if b in touched}
+        cols = [x for x in new.columns if x != "__bucket"]
+        merged = new.select(*cols)
+        if old:
+            merged = self.merge(merged.unionByName(self._rows({**before, "buckets": old}).select(*cols)))
+        out = f"{self.path}/epoch-{epoch}"
+        (merged.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)))
+         .repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(out))
+        self._publish(epoch, {"schema": merged.schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                              "buckets": {**before["buckets"], **{b: f"{out}/__bucket={b}" for b in touched}}})
+
+    def read(self) -> DataFrame | None:
+        """The table as of the last epoch; None before the first."""
+        done = self._epochs()
+        return self._rows(self._manifest(done[-1])) if done else None
+
+
+def merge_flows(rows: DataFrame) -> DataFrame:
+    """Live flow records (T3): of verdicts (one row per packet) or of records."""
+    c = F.col
+    packet = "packet_count" not in rows.columns
+    last = c("seq") if packet else c("last_seq")
+    return rows.filter(c("is_parsed") if packet else F.lit(True)).groupBy(*FLOW_KEY).agg(
+        (F.count(F.lit(1)) if packet else F.sum("packet_count")).cast("bigint").alias("packet_count"),
+        F.max("flow_bytes" if packet else "byte_count").cast("bigint").alias("byte_count"),
+        F.max_by(c("app_state" if packet else "app"), last).alias("app"),
+        F.max_by(c("host_state" if packet else "host"), last).alias("host"),
+        F.bool_or("blocked").alias("blocked"),
+        F.max(last).alias("last_seq"))
+
+
+def merge_totals(rows: DataFrame) -> DataFrame:
+    """Live totals per capture (T4) with forwarded and dropped packets: of
+    verdicts joined with ``packet_bytes`` and ``protocol``, or of totals."""
+    c = F.col
+    if "total_packets" in rows.columns:
+        sums = {x: F.sum(x) for x in TOTALS}
+    else:
+        sums = dict(zip(TOTALS, [
+            F.count(F.lit(1)), F.sum("packet_bytes"), F.count_if(c("is_parsed") & (c("protocol") == 6)),
+            F.count_if(c("is_parsed") & (c("protocol") == 17)), F.count_if(~c("blocked")), F.count_if(c("blocked"))]))
+    return rows.groupBy("capture_id").agg(*[v.cast("bigint").alias(k) for k, v in sums.items()])

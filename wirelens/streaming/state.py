@@ -9,8 +9,10 @@ per-packet Python loop. Packets of a flow must reach the stream in ``seq``
 order across micro-batches (files dropped in time order); within a batch
 any order is fine.
 
-Rules are applied after the stateful step with the same stateless
-expressions as in batch (``apply_rules``).
+Unparsed packets pass by the state and come out with it null, as in batch.
+Rules are applied after the stateful step to each micro-batch, written once,
+by the batch operator (``verdict_batch``), so a rule table of any size and
+kind serves a stream.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("host_state", T.StringType(), True),
     T.StructField("flow_packets", T.LongType(), True),
     T.StructField("flow_bytes", T.LongType(), True),
+    T.StructField("packet_bytes", T.LongType(), True),
 ])
 
 INPUT_COLUMNS = [*FLOW_KEY, "seq", "named", "host", "port_app", "packet_bytes"]
@@ -116,6 +119,7 @@ class FlowStateProcessor(StatefulProcessor):
         res = pdf[FLOW_KEY + ["seq"]].copy()
         for col in out.columns:
             res[col] = out[col].to_numpy()
+        res["packet_bytes"] = pdf["packet_bytes"].to_numpy()
         yield res
 
     def close(self):
@@ -133,13 +137,25 @@ def stream_flow_state(hosts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
-def stream_verdicts(hosts: DataFrame, rules: DataFrame | None = None,
-                    ip_match: str = "low_endpoint", ttl_ms: int | None = None) -> DataFrame:
-    """Per-packet verdicts of parsed packets on a stream.
+def stream_states(hosts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Every packet of a stream with its flow's state (T2, T5): parsed ones
+    from the state store, the others with null state.
 
     ``ttl_ms`` expires the state of flows idle for that long (processing
     time); off by default so results equal the batch path.
     """
-    st = stream_flow_state(hosts, ttl_ms)
-    v = apply_rules(st, rules, ip_match=ip_match)
-    return v.withColumn("blocked", F.coalesce(F.col("blocked"), F.lit(False)))
+    st = stream_flow_state(hosts, ttl_ms).withColumn("is_parsed", F.lit(True))
+    none = hosts.filter(~F.col("is_parsed")).select(
+        *[F.col(f.name).cast(f.dataType) if f.name in ("capture_id", "seq", "packet_bytes") else F.lit(None).cast(f.dataType).alias(f.name)
+          for f in OUTPUT_SCHEMA.fields], F.lit(False).alias("is_parsed"))
+    return st.union(none)
+
+
+def verdict_batch(rules: DataFrame | None, ip_match: str = "low_endpoint"):
+    """The function that gives the packets of a micro-batch of
+    ``stream_states`` their verdicts, for ``run_to_table(per_batch=...)``."""
+    def judge(batch: DataFrame) -> DataFrame:
+        v = apply_rules(batch, rules, ip_match=ip_match)
+        hit = F.coalesce(F.col("blocked") & F.col("is_parsed"), F.lit(False))
+        return v.withColumns({"blocked": hit, "block_reason": F.when(hit, F.col("block_reason"))})
+    return judge
