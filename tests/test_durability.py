@@ -80,11 +80,27 @@ def test_app_rules_of_many_captures(spark):
     assert sorted(got, key=str) == sorted([("c7", youtube, True), ("c1499", youtube, True), ("c9999", youtube, False), ("c9999", netflix, True), ("c7", None, False)], key=str)
 
 
-def test_keyword_ties_and_null_priority_on_both_paths(spark):
+def test_keyword_ties_and_null_priority(spark):
     kw = spark.createDataFrame([(1, "abc", "B"), (1, "abc", "A"), (None, "zzz", "C"), (5, "zz", "D"), (2, "q", None)], "priority int, keyword string, app string")
-    df = spark.createDataFrame([("x.abc.zzz", 80), ("zzz", 80), ("q", 80)], "host string, svc_port int")
-    both = [{r.host: r.named for r in classify_hosts(df, kw, s).collect()} for s in ("auto", "join")]
-    assert both[0] == both[1] == {"x.abc.zzz": "A", "zzz": "D", "q": None}
+    df = spark.createDataFrame([("c", 1, "x.abc.zzz", 80), ("c", 2, "zzz", 80), ("c", 3, "q", 80), ("c", 4, None, 80)], "capture_id string, seq long, host string, svc_port int")
+    got = {r.host: r.named for r in classify_hosts(df, kw).collect()}
+    assert got == {"x.abc.zzz": "A", "zzz": "D", "q": None, None: None}
+
+
+def test_header_only_file_and_one_handle(spark, tmpdir_path):
+    """A capture without packets gets a file with a header alone; rows of
+    captures in turns end up in one file each."""
+    out = os.path.join(tmpdir_path, "out")
+    df = raw_df(spark, some(4), capture_id="a").unionByName(raw_df(spark, some(3), capture_id="b"))
+    write_pcap(df.filter("capture_id = 'a'"), out, captures=df.select("capture_id"))
+    (b,) = os.listdir(os.path.join(out, "b"))
+    assert os.path.getsize(os.path.join(out, "b", b)) == 24 and os.path.getsize(os.path.join(out, "a", os.listdir(os.path.join(out, "a"))[0])) > 24
+    assert read_pcap(spark, out).count() == 4
+    turns = os.path.join(tmpdir_path, "turns")
+    (df.select("capture_id", "seq", "ts_sec", "ts_usec", "data").coalesce(1).sortWithinPartitions("seq", "capture_id")
+     .write.format("pcap").mode("append").save(turns))
+    assert sorted((x, len(os.listdir(os.path.join(turns, x)))) for x in "ab") == [("a", 1), ("b", 1)]
+    assert read_pcap(spark, turns).groupBy("capture_id").count().orderBy("capture_id").collect() == [("a", 4), ("b", 3)]
 
 
 def test_report_lines_stay_in_order_at_large_parts(spark):

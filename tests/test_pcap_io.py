@@ -6,8 +6,9 @@ import struct
 import pytest
 from frames import frame, raw_df
 
-from wirelens.sources.inventory import capture_index, capture_inventory, read_pcap_split
-from wirelens.sources.pcap import read_pcap, write_pcap
+from wirelens.sources.inventory import capture_inventory
+from wirelens.sources.pcap import read_pcap, register, write_pcap
+from wirelens.sources.ranges import read_pcap_errors
 
 
 def write_file(path, records, big_endian=False, magic=None, link=1, snaplen=65535, tail=b""):
@@ -71,14 +72,55 @@ def test_failfast_and_permissive(spark, tmpdir_path, kind):
     assert all(r.error for r in inv if r.path.endswith(f"{kind}.pcap"))
 
 
-def test_inventory_and_split_reader(spark, tmpdir_path):
+def looks_like_records(k):
+    """A payload made of record headers of its own, of zeros, or of both."""
+    return [struct.pack("<IIII", 1, 2, 30, 30) * 20, b"\x00" * 700, struct.pack("<IIII", 9, 9, 0, 0) * 9 + b"\x00" * 30][k % 3]
+
+
+@pytest.mark.parametrize("big_endian", [False, True])
+def test_ranges_of_any_size_equal_one_pass(spark, tmpdir_path, big_endian):
     p = os.path.join(tmpdir_path, "big.pcap")
-    fs = frames3() * 400
-    write_file(p, [(i, i % 1000000, f) for i, f in enumerate(fs)])
+    recs = [(i, i % 1000000, frame("10.0.0.1", "10.0.0.2", 1, 80, payload=looks_like_records(i) if i % 4 else b"x" * (i % 90))) for i in range(120)]
+    write_file(p, recs, big_endian=big_endian, snaplen=2000, tail=b"\x01" * 5)
     inv = capture_inventory(spark, p).collect()[0]
-    assert (inv.byte_order, inv.n_packets, inv.link_type, inv.error) == ("little", 1200, 1, None)
-    idx = capture_index(spark, p, chunk_bytes=4096).collect()
-    assert len(idx) > 10 and sum(r.n_records for r in idx) == 1200
-    whole = {(r.seq, bytes(r.data)) for r in read_pcap(spark, p).collect()}
-    split = {(r.seq, bytes(r.data)) for r in read_pcap_split(spark, p, chunk_bytes=4096).collect()}
-    assert whole == split and len(split) == 1200
+    assert (inv.n_packets, inv.link_type, inv.error) == (120, 1, None)
+    register(spark)
+    whole = sorted(map(tuple, spark.read.format("pcap").load(p).collect()))
+    assert [(r[2], r[3], bytes(r[6])) for r in whole] == recs
+    for size in (600, 3000, 40_000, 1 << 20):  # below a record, a few records, many, the file
+        assert sorted(map(tuple, read_pcap(spark, p, range_bytes=size).collect())) == whole, size
+
+
+def test_damage_is_passed_over(spark, tmpdir_path):
+    """Packets behind a damaged record are read and counted, with an error row
+    for each stretch; FAILFAST fails, wherever the ranges lie."""
+    p = os.path.join(tmpdir_path, "hurt.pcap")
+    recs = [(i, i, frame("10.0.0.1", "10.0.0.2", 1, 80, payload=b"y" * (i % 50))) for i in range(300)]
+    write_file(p, recs)
+    at = [24]
+    for _, _, d in recs:
+        at.append(at[-1] + 16 + len(d))
+    with open(p, "r+b") as f:
+        for k in (50, 51, 200):
+            f.seek(at[k] + 8)
+            f.write(struct.pack("<i", -5))
+        f.truncate(at[300] - 4)
+    kept = [r for k, r in enumerate(recs) if k not in (50, 51, 200, 299)]
+    for size in (5000, 1 << 20):
+        with pytest.raises(Exception):
+            read_pcap(spark, p, range_bytes=size).collect()
+        rows = sorted(read_pcap(spark, p, mode="PERMISSIVE", range_bytes=size).collect(), key=lambda r: r.seq)
+        assert [r.seq for r in rows] == list(range(296))
+        assert [(r.ts_sec, r.ts_usec, bytes(r.data)) for r in rows] == kept
+        errors = sorted((r.offset, r.length) for r in read_pcap_errors(spark, p, range_bytes=size).collect())
+        lost = {b for o, n in errors for b in range(o, o + n)}
+        assert lost == {b for k in (50, 51, 200, 299) for b in range(at[k], min(at[k + 1], at[300] - 4))}
+
+
+def test_equal_names_in_folders_are_captures_of_their_own(spark, tmpdir_path):
+    for folder, n in (("a", 2), ("b", 3)):
+        os.mkdir(os.path.join(tmpdir_path, folder))
+        write_file(os.path.join(tmpdir_path, folder, "x.pcap"), [(1, 2, f) for f in frames3()[:n]])
+    register(spark)
+    for df in (read_pcap(spark, tmpdir_path), spark.read.format("pcap").load(tmpdir_path)):
+        assert sorted((r.capture_id, r.seq) for r in df.collect()) == [("a/x", 0), ("a/x", 1), ("b/x", 0), ("b/x", 1), ("b/x", 2)]

@@ -18,7 +18,8 @@ from .operators.report import (app_breakdown, detected_hosts, report_csv_lines,
 from .operators.rules import apply_rules, load_rules, validate_rules
 from .operators.verdicts import dropped_packets, forwarded_packets, packet_hosts, verdicts
 from .plans.analyze import Analysis, analyze
-from .sources.inventory import capture_index, capture_inventory, read_pcap_split
+from .sources.inventory import capture_inventory
+from .sources.ranges import read_pcap_errors
 from .sources.pcap import read_pcap, register, write_pcap
 
 __all__ = [
@@ -29,6 +30,6 @@ __all__ = [
     "detected_hosts", "report_csv_lines", "report_json_lines", "segments", "traffic_report",
     "traffic_totals", "write_report_csv", "write_report_json", "apply_rules", "load_rules",
     "validate_rules", "dropped_packets", "forwarded_packets", "packet_hosts", "verdicts",
-    "Analysis", "analyze", "capture_index", "capture_inventory", "read_pcap_split",
+    "Analysis", "analyze", "capture_inventory", "read_pcap_errors",
     "read_pcap", "register", "write_pcap",
 ]

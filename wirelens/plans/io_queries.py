@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rules import validate_rules
@@ -18,8 +18,9 @@ from ..plans.analyze import analyze
 from ..schemas import FLOW_KEY
 from ..session import scratch_path
 from ..sources.events import packets
-from ..sources.inventory import capture_inventory
+from ..sources.inventory import capture_files, capture_inventory
 from ..sources.pcap import read_pcap, write_pcap
+from ..sources.ranges import read_pcap_errors
 from ..streaming.aggregates import (KeyedTable, merge_flows, merge_totals, read_capture_stream,
                                     read_packet_table_stream, run_to_table, stream_flow_table)
 from ..streaming.state import stream_states, verdict_batch
@@ -29,6 +30,8 @@ _paths: dict = {}
 
 # Rows per file of the streaming drop folder (one file per micro-batch).
 STREAM_FILE_ROWS = 25_000
+# One second in so many has its records damaged in the copies for pcap_permissive.
+DAMAGED = 61
 
 
 def _once(spark: SparkSession, sf: str, name: str, build) -> str:
@@ -77,6 +80,56 @@ def q_pcap_scan(spark, sf):
         F.count_if(c("is_parsed") & (c("protocol") == 17)).cast("bigint").alias("udp_packets"))
 
 
+def q_pcap_scan_split(spark, sf):
+    """``pcap_scan`` by ranges so small that every file has many."""
+    raw = read_pcap(spark, capture_folder(spark, sf, "single"), range_bytes=1 << 16)
+    return raw.select("capture_id", c("ts_sec").cast("bigint").alias("ts_sec"), c("ts_usec").cast("bigint").alias("ts_usec"),
+                      F.length("data").cast("bigint").alias("packet_bytes"),
+                      (F.count(F.lit(1)).over(Window.partitionBy("capture_id", "seq"))).cast("bigint").alias("of_this_seq"))
+
+
+def _damaged(batches):
+    """Copies of capture files in which the records of some seconds say that
+    they have a negative length."""
+    import os
+    import struct
+
+    import pandas as pd
+
+    for b in batches:
+        for path, target in zip(b["path"], b["target"]):
+            data = bytearray(open(path.removeprefix("file:"), "rb").read())
+            pos = 24
+            while pos + 16 <= len(data):
+                sec, _usec, size, _whole = struct.unpack_from("<IIiI", data, pos)
+                if sec % DAMAGED == 7:
+                    struct.pack_into("<i", data, pos + 8, -1)
+                pos += 16 + size
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "wb") as f:
+                f.write(data)
+        yield pd.DataFrame({"n": [len(b)]})
+
+
+def damaged_folder(spark: SparkSession, sf: str) -> str:
+    def build():
+        path = scratch_path(spark, "captures-damaged")
+        files = capture_files(spark, capture_folder(spark, sf, "daily")).select("path", F.concat(
+            F.lit(path.removeprefix("file:") + "/"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).alias("target"))
+        files.mapInPandas(_damaged, "n long").agg(F.sum("n")).collect()
+        return path
+    return _once(spark, sf, "pcap-damaged", build)
+
+
+def q_pcap_permissive(spark, sf):
+    """What is left of captures with damaged records, and the bytes passed over."""
+    path = damaged_folder(spark, sf)
+    kept = read_pcap(spark, path, mode="PERMISSIVE", range_bytes=1 << 16).groupBy("capture_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("packets"), F.sum(F.length("data")).cast("bigint").alias("bytes"))
+    lost = read_pcap_errors(spark, path, range_bytes=1 << 16).groupBy("capture_id").agg(F.sum("length").cast("bigint").alias("lost_bytes"))
+    return kept.join(lost, "capture_id", "left").withColumn("lost_bytes", F.coalesce("lost_bytes", F.lit(0).cast("bigint")))
+
+
 def q_pcap_roundtrip(spark, sf):
     from .catalog import standard_rules
 
@@ -167,6 +220,8 @@ def q_capture_inventory(spark, sf):
 def queries():
     return {
         "pcap_scan": q_pcap_scan,
+        "pcap_scan_split": q_pcap_scan_split,
+        "pcap_permissive": q_pcap_permissive,
         "pcap_roundtrip": q_pcap_roundtrip,
         "stream_ingest": q_stream_ingest,
         "stream_verdicts": q_stream_verdicts,

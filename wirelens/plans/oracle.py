@@ -402,6 +402,14 @@ def oracle_sql() -> dict[str, str]:
             "CAST(count(*) FILTER (WHERE is_parsed AND protocol = 6) AS BIGINT) AS tcp_packets, "
             "CAST(count(*) FILTER (WHERE is_parsed AND protocol = 17) AS BIGINT) AS udp_packets "
             "FROM pb GROUP BY capture_id", "daily"),
+        "pcap_scan_split": _q(
+            "SELECT capture_id, CAST(ts_sec AS BIGINT) AS ts_sec, CAST(ts_usec AS BIGINT) AS ts_usec, "
+            "CAST(packet_bytes AS BIGINT) AS packet_bytes, CAST(1 AS BIGINT) AS of_this_seq FROM pb"),
+        "pcap_permissive": _q(
+            "SELECT capture_id, CAST(count(*) FILTER (WHERE ts_sec % 61 <> 7) AS BIGINT) AS packets, "
+            "CAST(sum(packet_bytes) FILTER (WHERE ts_sec % 61 <> 7) AS BIGINT) AS bytes, "
+            "CAST(coalesce(sum(16 + packet_bytes) FILTER (WHERE ts_sec % 61 = 7), 0) AS BIGINT) AS lost_bytes "
+            "FROM pb GROUP BY capture_id", "daily"),
         "pcap_roundtrip": _q(
             "SELECT CAST(ts_sec AS BIGINT) AS ts_sec, CAST(ts_usec AS BIGINT) AS ts_usec, "
             "CAST(packet_bytes AS BIGINT) AS incl_len, CAST(packet_bytes AS BIGINT) AS orig_len "

@@ -1,38 +1,14 @@
-"""Capture inventory (S2) and split reading of large capture files.
-
-Both run as Spark jobs over the file listing: Spark lists the files with
-the ``binaryFile`` source (content is never requested, so never read), and
-executors open the files. Capture records are not self-delimiting, so a
-large file cannot be split at arbitrary byte offsets; ``capture_index``
-hops the record headers once per file (16 bytes read per record, the
-bodies are skipped) and emits one chunk row per ``chunk_bytes`` of records
-with its byte range and first record number. ``read_pcap_split`` then
-reads every chunk as its own task, so one huge capture is decoded by many
-executors with exact record numbers.
+"""Capture inventory (S2) as a Spark job over the file listing: Spark lists
+the files with the ``binaryFile`` source (content is never requested, so never
+read), and executors open the files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-from ..schemas import CAPTURE_INVENTORY, RAW_PACKETS
-from .pcap import (GLOBAL_HEADER, RECORD_HEADER, CaptureError, _open, capture_name,
-                   capture_of, iter_records, read_global_header)
-
-DEFAULT_CHUNK_BYTES = 128 << 20
-
-CHUNKS = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("capture_id", T.StringType(), False),
-    T.StructField("byte_order", T.StringType(), False),
-    T.StructField("snaplen", T.LongType(), False),
-    T.StructField("start", T.LongType(), False),
-    T.StructField("end", T.LongType(), False),
-    T.StructField("first_seq", T.LongType(), False),
-    T.StructField("n_records", T.LongType(), False),
-])
 
+from ..schemas import CAPTURE_INVENTORY
+from .pcap import GLOBAL_HEADER, RECORD_HEADER, CaptureError, _open, read_global_header
 
 def capture_files(spark: SparkSession, path: str, glob: str = "*.pcap") -> DataFrame:
     """``(path, length)`` of every capture file, listed by Spark."""
@@ -65,10 +41,10 @@ def _inventory_rows(it):
                             break
                         incl = hdr.unpack(h)[2]
                         if incl < 0 or incl > snaplen:
-                            raise CaptureError(f"invalid packet length: {incl}")
+                            raise CaptureError(f"record of {incl} bytes, {snaplen} allowed")
                         body = f.read(incl)
                         if len(body) < incl:
-                            raise CaptureError("unexpected end of file in a record body")
+                            raise CaptureError("file ends within a record")
                         row["n_packets"] += 1
                         row["n_bytes"] += incl
             except (CaptureError, OSError, struct.error) as e:
@@ -82,91 +58,3 @@ def capture_inventory(spark: SparkSession, path: str, glob: str = "*.pcap") -> D
     packet and byte counts, and the validation error (NULL when valid)."""
     files = capture_files(spark, path, glob).select("path")
     return files.mapInPandas(_inventory_rows, CAPTURE_INVENTORY)
-
-
-def _index_rows(chunk_bytes: int):
-    def run(it):
-        import struct
-
-        import pandas as pd
-
-        for pdf in it:
-            out = []
-            for path in pdf["path"]:
-                with _open(path) as f:
-                    bo, _ma, _mi, snaplen, _l = read_global_header(f.read(GLOBAL_HEADER))
-                    hdr = struct.Struct(bo + "IIiI")
-                    seq = capture_of(path)[1]
-                    pos = GLOBAL_HEADER
-                    start, first = pos, seq
-                    while True:
-                        h = f.read(RECORD_HEADER)
-                        if len(h) < RECORD_HEADER:
-                            break
-                        incl = hdr.unpack(h)[2]
-                        if incl < 0 or incl > snaplen:
-                            raise CaptureError(f"invalid packet length: {incl}")
-                        f.seek(incl, 1)
-                        pos += RECORD_HEADER + incl
-                        seq += 1
-                        if pos - start >= chunk_bytes:
-                            out.append((path, capture_name(path), bo, snaplen, start, pos, first,
-                                        seq - first))
-                            start, first = pos, seq
-                    if seq > first:
-                        out.append((path, capture_name(path), bo, snaplen, start, pos, first,
-                                    seq - first))
-            yield pd.DataFrame(out, columns=[f.name for f in CHUNKS.fields])
-    return run
-
-
-def capture_index(spark: SparkSession, path: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-                  glob: str = "*.pcap") -> DataFrame:
-    """Record-aligned byte ranges of every capture file (pass 1)."""
-    files = capture_files(spark, path, glob).select("path")
-    n = max(1, spark.sparkContext.defaultParallelism)
-    return files.repartition(n, "path").mapInPandas(_index_rows(chunk_bytes), CHUNKS)
-
-
-def _chunk_records(it):
-    import pyarrow as pa
-
-    names = [f.name for f in RAW_PACKETS.fields]
-    schema = pa.schema([("capture_id", pa.string()), ("seq", pa.int64()), ("ts_sec", pa.int64()),
-                        ("ts_usec", pa.int64()), ("incl_len", pa.int32()),
-                        ("orig_len", pa.int32()), ("data", pa.binary())])
-    for batch in it:
-        d = batch.to_pydict()
-        for i in range(batch.num_rows):
-            with _open(d["path"][i]) as f:
-                f.seek(d["start"][i])
-                cols = {k: [] for k in names}
-                seq = d["first_seq"][i]
-                budget = d["n_records"][i]
-                for rec in iter_records(f, d["byte_order"][i], d["snaplen"][i], False):
-                    if budget == 0:
-                        break
-                    cols["capture_id"].append(d["capture_id"][i])
-                    cols["seq"].append(seq)
-                    cols["ts_sec"].append(rec[0])
-                    cols["ts_usec"].append(rec[1])
-                    cols["incl_len"].append(rec[2])
-                    cols["orig_len"].append(min(rec[3], 0x7FFFFFFF))
-                    cols["data"].append(rec[4])
-                    seq += 1
-                    budget -= 1
-                    if len(cols["seq"]) >= 8192:
-                        yield pa.RecordBatch.from_pydict(cols, schema=schema)
-                        cols = {k: [] for k in names}
-                if cols["seq"]:
-                    yield pa.RecordBatch.from_pydict(cols, schema=schema)
-
-
-def read_pcap_split(spark: SparkSession, path: str, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-                    glob: str = "*.pcap") -> DataFrame:
-    """``raw_packets`` of large captures, one task per record-aligned chunk
-    (pass 2). Equal to ``read.format("pcap")`` row for row."""
-    idx = capture_index(spark, path, chunk_bytes, glob)
-    n = max(1, spark.sparkContext.defaultParallelism)
-    return idx.repartition(n).mapInArrow(_chunk_records, RAW_PACKETS)
-

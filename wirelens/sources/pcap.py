@@ -95,19 +95,22 @@ def list_captures(path: str, glob_filter: str = "*.pcap") -> list[str]:
 PART_SHIFT = 40
 
 
-def capture_of(path: str) -> tuple[str, int]:
+def capture_of(path: str, root: str | None = None) -> tuple[str, int]:
     """(capture id, first seq) of a file. Files written by this library are
     ``<capture_id>/part-NNNNN-<job>.pcap`` (parts in seq order), so the id is the
     folder name and the part number is the high part of ``seq``; any other
-    file is its own capture named after the file."""
+    file is its own capture named after the file. Below ``root``, the folder
+    that is read, names keep their folders, so equal names don't meet."""
     import os
     import re
 
-    base = os.path.basename(path)
+    folder, base = os.path.split(path)
+    below = os.path.relpath(folder, root) if root else "."
+    below = "" if below == "." or below.startswith("..") else below
     m = re.fullmatch(r"part-(\d+)(?:-[0-9a-f]+)?\.pcap", base)
     if m:
-        return os.path.basename(os.path.dirname(path)), int(m.group(1)) << PART_SHIFT
-    return (base.rsplit(".", 1)[0] if "." in base else base), 0
+        return below or os.path.basename(folder), int(m.group(1)) << PART_SHIFT
+    return os.path.join(below, base.rsplit(".", 1)[0] if "." in base else base), 0
 
 
 def capture_name(path: str) -> str:
@@ -126,7 +129,7 @@ def read_global_header(head: bytes) -> tuple[str, int, int, int, int]:
     elif magic == MAGIC_LE:
         bo = "<"
     else:
-        raise CaptureError(f"invalid capture magic number: {magic:x}")
+        raise CaptureError(f"not a capture file: it begins with {magic:08x}")
     major, minor, _zone, _sig, snaplen, link = struct.unpack(bo + "HHiiII", head[4:24])
     if link != LINKTYPE_ETHERNET:
         raise CaptureError(f"unsupported link type: {link}")
@@ -148,24 +151,26 @@ def iter_records(f, bo: str, snaplen: int, permissive: bool):
         if incl < 0 or incl > snaplen:
             if permissive:
                 return
-            raise CaptureError(f"invalid packet length: {incl}")
+            raise CaptureError(f"record of {incl} bytes, {snaplen} allowed")
         data = f.read(incl)
         if len(data) < incl:
             if permissive:
                 return
-            raise CaptureError("unexpected end of file in a record body")
+            raise CaptureError("file ends within a record")
         yield ts_sec, ts_usec, incl, orig, data
 
 
-def _batches(path: str, capture_id: str | None, permissive: bool):
+def _batches(path: str, capture_id: str | None, permissive: bool, root: str):
     import pyarrow as pa
 
+    from .ranges import root_of
+
     schema = pa.schema([
         ("capture_id", pa.string()), ("seq", pa.int64()), ("ts_sec", pa.int64()),
         ("ts_usec", pa.int64()), ("incl_len", pa.int32()), ("orig_len", pa.int32()),
         ("data", pa.binary()),
     ])
-    cap, seq0 = capture_of(path)
+    cap, seq0 = capture_of(path, root_of(root))
     cap = capture_id if capture_id is not None else cap
     with _open(path) as f:
         try:
@@ -224,7 +229,7 @@ class PcapReader(DataSourceReader):
         return [CaptureFile(p) for p in list_captures(self.path, self.glob)]
 
     def read(self, partition):
-        yield from _batches(partition.path, self.capture_id, self.permissive)
+        yield from _batches(partition.path, self.capture_id, self.permissive, self.path)
 
 
 class PcapStreamReader(DataSourceStreamReader):
@@ -270,7 +275,7 @@ class PcapStreamReader(DataSourceStreamReader):
         self._start = max(self._start or self._key(end), self._key(end))
 
     def read(self, partition):
-        yield from _batches(partition.path, self.capture_id, self.permissive)
+        yield from _batches(partition.path, self.capture_id, self.permissive, self.path)
 
 
 @dataclass
@@ -318,24 +323,31 @@ class PcapWriter(DataSourceArrowWriter):
         head = struct.pack("<IHHiiII", MAGIC_BE, WRITE_VERSION[0], WRITE_VERSION[1], 0, 0,
                            WRITE_SNAPLEN, LINKTYPE_ETHERNET)
         rec = struct.Struct("<IIII")
-        files, moves = {}, []
+        # rows come by capture: one file is open at a time, and opened again if its capture comes back
+        files, moves, last, f = {}, [], None, None
         try:
             for batch in iterator:
                 d = batch.to_pydict()
                 caps = d.get("capture_id") or ["capture"] * batch.num_rows
                 for cap, sec, usec, data in zip(caps, d["ts_sec"], d["ts_usec"], d["data"]):
                     cap = cap if cap is not None else "capture"
-                    f = files.get(cap)
-                    if f is None:
-                        tmp = os.path.join(tmp_dir, f"{len(files)}.pcap")
-                        f = files[cap] = open(tmp, "wb")
-                        f.write(head)
-                        moves.append((tmp, os.path.join(self.path, cap, f"part-{self.first + pid:05d}-{self.job}.pcap")))
+                    if f is None or cap != last:
+                        if f is not None:
+                            f.close()
+                        new = cap not in files
+                        if new:
+                            files[cap] = os.path.join(tmp_dir, f"{len(files)}.pcap")
+                            moves.append((files[cap], os.path.join(self.path, cap, f"part-{self.first + pid:05d}-{self.job}.pcap")))
+                        last, f = cap, open(files[cap], "ab")
+                        if new:
+                            f.write(head)
+                    if data is None:  # the mark of a capture without packets
+                        continue
                     n = len(data)
                     f.write(rec.pack((sec or 0) & 0xFFFFFFFF, (usec or 0) & 0xFFFFFFFF, n, n))
                     f.write(data)
         finally:
-            for f in files.values():
+            if f is not None:
                 f.close()
         return WrittenFiles(moves)
 
@@ -385,18 +397,29 @@ def register(spark) -> None:
 
 
 def read_pcap(spark, path: str, **options):
+    """``raw_packets`` of the captures under ``path``, read by byte ranges
+    (``ranges.read_ranges``, which takes the same options)."""
+    from .ranges import read_ranges
+
     register(spark)
-    return spark.read.format("pcap").options(**options).load(path)
+    return read_ranges(spark, path, **options)
 
 
-def write_pcap(df, path: str, mode: str = "append", partitions: int | None = None) -> None:
+def write_pcap(df, path: str, mode: str = "append", partitions: int | None = None, captures=None) -> None:
     """Write ``raw_packets`` rows as capture files, in ``seq`` order per
     capture. Rows are range-partitioned on (capture_id, seq), so each task
     writes consecutive packets of a capture and a capture larger than one
-    task spans several ordered part files."""
+    task spans several ordered part files. ``captures`` (``capture_id``, any
+    number of rows) names captures that get a file even without a packet,
+    of a header alone."""
+    from pyspark.sql import functions as F
+
     register(df.sparkSession)
     cols = ["capture_id", "seq", "ts_sec", "ts_usec", "data"]
     out = df.select(*cols)
+    if captures is not None:
+        none = captures.select("capture_id").distinct().join(df.select("capture_id").distinct(), "capture_id", "left_anti")
+        out = out.union(none.select("capture_id", *[F.lit(None).cast(df.schema[x].dataType).alias(x) for x in cols[1:]]))
     out = (out.repartitionByRange(partitions, "capture_id", "seq") if partitions
            else out.repartitionByRange("capture_id", "seq"))
     out.sortWithinPartitions("capture_id", "seq").write.format("pcap").mode(mode).save(path)
