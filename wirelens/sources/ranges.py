@@ -40,8 +40,8 @@ BATCH_BYTES = 8 << 20
 BLOCK = 1 << 20
 #: Records that must follow each other behind damage, and the least Ethernet frame.
 CONFIRM, LEAST_FRAME = 3, 14
-#: Seconds that records behind damage may lie apart.
-NEAR = 86_400
+#: Seconds that records behind damage may lie apart, and from the file's first.
+NEAR, SPAN = 86_400, 366 * 86_400
 #: Entry of a range that the damage before it reaches into.
 LOST = -1
 
@@ -58,10 +58,12 @@ class Range:
         self.length, self.start, self.end = length, start, min(end, length)
         with _open(path) as f:
             self.bo, _major, _minor, self.snaplen, _link = read_global_header(f.read(GLOBAL_HEADER))
+            self.head = struct.Struct(self.bo + "IIiI")
+            first = f.read(RECORD_HEADER)
+            self.since = self.head.unpack(first)[0] if len(first) == RECORD_HEADER else 0
             f.seek(start)
             # the last record that begins here may end this far beyond
             self.bytes = f.read(self.end + RECORD_HEADER + self.snaplen - start)
-        self.head = struct.Struct(self.bo + "IIiI")
         self.sound: list[int] | None = None  # the positions that are sure, once damage is met
 
     def header(self, pos: int) -> tuple:
@@ -98,10 +100,12 @@ class Range:
                 return False
             if pos - self.start + RECORD_HEADER > len(self.bytes):
                 break  # beyond all that can begin here
-            if self.fault(pos):
-                return False
             sec, usec, size, whole = self.header(pos)
-            if usec >= 1_000_000 or size < LEAST_FRAME or whole < size or before is not None and abs(sec - before) > NEAR:
+            if usec >= 1_000_000 or abs(sec - self.since) > SPAN or before is not None and abs(sec - before) > NEAR:
+                return False
+            if self.fault(pos):  # the next damage, behind a record at least: its time is that of a record
+                return before is not None
+            if size < LEAST_FRAME or whole < size:
                 return False
             before = sec
             pos += RECORD_HEADER + size
