@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +77,26 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray):
     return mix(tokens), mix(_bigram(_before(tokens, sizes), tokens))
 
 
+def _packed_texts(texts) -> dict:
+    """A null text is the empty one."""
+    each = [(t or "").encode() for t in texts]
+    return {"sizes": [np.array([len(t) for t in each], "<i8").tobytes()], "texts": [zstandard.ZstdCompressor(level=1).compress(b"".join(each))]}
+
+
+def _unpacked(part) -> tuple[list, np.ndarray, list[str]]:
+    """doc_ids, held_out and texts of a part's rows."""
+    ids, held_out, texts = [], [], []
+    for i, h, sizes, packed in zip(part["doc_ids"], part["held_out"], part["sizes"], part["texts"]):
+        ids += list(i)
+        held_out += list(h)
+        raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.frombuffer(sizes, "<i8").cumsum().tolist()
+        texts += [raw[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
+    return ids, np.array(held_out, bool), texts
+
+
 def parts(docs: DataFrame, shards: int) -> DataFrame:
-    """The rows (kind -1: part, doc_id as text, held_out, text) and, for each
+    """The rows (kind -1: part, doc_ids as text, held_out, and the texts packed
+    by _packed_texts, since they are kept and moved once more) and, for each
     part, kind and shard, the distinct grams (keys, in order), their training
     counts (times) and the sum of these (tokens)."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
@@ -96,8 +115,8 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
             ends = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(ends)):
                 k, c = keys[ends[s]:ends[s + 1]], n[ends[s]:ends[s + 1]]
-                rows.append((kind, int(s), part, k.tobytes(), c.tobytes(), int(c.sum(dtype=np.int64)), None, False, None))
-        return pd.DataFrame(rows, columns=["kind", "shard", "part", "keys", "times", "tokens", "doc_id", "held_out", "text"])
+                rows.append((kind, int(s), part, k.tobytes(), c.tobytes(), int(c.sum(dtype=np.int64)), None, None, None, None))
+        return pd.DataFrame(rows, columns=["kind", "shard", "part", "keys", "times", "tokens", "doc_ids", "held_out", "sizes", "texts"])
 
     def deal(batches):
         part, size, texts, held_out = TaskContext.get().partitionId() << 32, 0, [], []
@@ -108,7 +127,9 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
             while at < len(pdf):
                 end = min(len(pdf), int(np.searchsorted(sizes, SLICE)) + 1)
                 rows = pdf.iloc[at:end]
-                yield rows.assign(kind=-1, shard=0, part=part, keys=b"", times=b"", tokens=0)
+                out = rows["held_out"].tolist()
+                yield pd.DataFrame({"kind": [-1], "shard": [0], "part": [part], "keys": [b""], "times": [b""], "tokens": [0],
+                                    "doc_ids": [rows["doc_id"].tolist()], "held_out": [out], **_packed_texts(rows["text"])})
                 texts += list(rows["text"])
                 held_out.append(rows["held_out"].to_numpy(bool))
                 size = int(sizes[end - 1])
@@ -119,7 +140,7 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
         if texts:
             yield packed(part, texts, np.concatenate(held_out))
 
-    schema = "kind int, shard long, part long, keys binary, times binary, tokens long, doc_id string, held_out boolean, text string"
+    schema = "kind int, shard long, part long, keys binary, times binary, tokens long, doc_ids array<string>, held_out array<boolean>, sizes binary, texts binary"
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), "text").mapInPandas(deal, schema)
 
 
@@ -196,7 +217,7 @@ def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     told = cut(answers(grams), "answers")
     total = dealt.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     kinds = told.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    ends = texts.filter("NOT held_out").count()
+    ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0))).first()[0]
     floor = 0.1 * (kinds + 1)
 
     def score(key, part, told):
@@ -205,7 +226,8 @@ def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
         def of(kind, column, dtype):
             return np.frombuffer(b"".join(told.loc[told["kind"] == kind, column]), dtype)
 
-        tokens, sizes = _tokens(part["text"])
+        ids, held_out, each = _unpacked(part)
+        tokens, sizes = _tokens(each)
         starts = np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)
         at, pair_of = (np.unique(g, return_inverse=True)[1] for g in _grams(tokens, sizes))
         c, seen = of(0, "counts", "<i8"), _middle(of(0, "levels", np.uint8))
@@ -217,12 +239,12 @@ def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
         joint = _middle(of(1, "levels", np.uint8))[pair_of]
         word = np.log10((joint + MU * np.minimum(p[at], 1.0)) / (np.maximum(context, joint) + MU))
         return pd.DataFrame({
-            "doc_id": part["doc_id"], "held_out": part["held_out"].to_numpy(bool), "n_tokens": sizes,
+            "doc_id": ids, "held_out": held_out, "n_tokens": sizes,
             "n_known": np.add.reduceat((c > 0)[at].astype(np.int64), starts), "train_tokens": total,
             "base_score": np.add.reduceat(base[at], starts), "score": np.add.reduceat(word, starts)})
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = (texts.select("part", "doc_id", "held_out", "text").groupBy("part")
+    out = (texts.select("part", "doc_ids", "held_out", "sizes", "texts").groupBy("part")
            .cogroup(told.select("part", "kind", "shard", "levels", "counts").groupBy("part")).applyInPandas(score, schema))
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
