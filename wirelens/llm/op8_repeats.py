@@ -48,7 +48,7 @@ LEVELS = (32, 80, 100)
 CROWD = 128
 #: Ids of a batch; segments of a shard and bytes of a bucket aimed at; bytes
 #: hashed at once.
-BATCH, SHARD, BUCKET, CHUNK = 2048, 500_000, 1 << 21, 1 << 17
+BATCH, SHARD, BUCKET, CHUNK = 1024, 500_000, 1 << 21, 1 << 17
 #: Batches of rows with a null id come after all others.
 LAST = 1 << 60
 #: A place is the document's number in its batch and the byte in it.
