@@ -46,6 +46,13 @@ def drop(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over: its cleaner
+    does so when the driver's JVM finds their plans unused, which in a loop of
+    many short jobs may be long after."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -70,7 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .filter("u <> v").distinct())
-    e = cut(e, "edges")
+    at = e = cut(e, "edges")
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
@@ -81,7 +88,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         e = (large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
              .union(small.select("u", F.col("m").alias("v"))).distinct())
-        e = cut(e, "stars")
+        before, e = at, cut(e, "stars")
+        drop(before)
+        at = e
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import components, cut
+from wirelens.llm.common import components, cut, drop, tidy
 from wirelens.llm.tokens import P1, P2, mix, shingles, word_hashes
 
 BINS, ROWS = 128, 4
@@ -197,13 +197,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
         return _mixed(now.select(*left.columns, F.coalesce("component", "rep").alias("component")))
 
     comp = cut(components(links), "components")
-    left = cut(told(met.select("bucket", "rep", "n")), "mixed")
+    mixed = left = cut(told(met.select("bucket", "rep", "n")), "mixed")
+    tidy(d.sparkSession)
     left = left.join(shared_counts(left, items), "rep").filter(F.col("s") * 100 >= F.col("n") * percent).drop("s")
     left = cut(_mixed(left), "mixed")
+    drop(mixed)
     counts, fresh = rare_pairs(left, items, percent)
     fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
     tested = tested.union(fresh)
-    links = cut(links.union(confirmed(fresh, items, percent)), "links")
+    before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
+    drop(before, comp)
+    tidy(d.sparkSession)
     # pairs of no rare shingle in common are left: only the others count
     left = cut(left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s"), "left")
     centres = 4
@@ -220,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
                   .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         fresh = cut(across.join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = tested.union(fresh)
-        links = cut(links.union(confirmed(fresh, items, percent)), "links")
+        before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
+        drop(before, comp)
+        tidy(d.sparkSession)
         # all pairs of the centres are tested; the others go on without them
         left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s")
         centres *= 4
