@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import cut
+from wirelens.llm.common import cut, tidy
 from wirelens.llm.tokens import P1, P2, P3, mix, word_hashes
 
 #: Least count of a bigram that the filter holds; most bytes of a segment.
@@ -215,6 +215,7 @@ def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     dealt = cut(parts(docs, 1 << need.bit_length()), "parts")
     grams, texts = dealt.filter("kind >= 0").select("kind", "shard", "part", "keys", "times"), dealt.filter("kind < 0")
     told = cut(answers(grams), "answers")
+    tidy(docs.sparkSession)
     total = dealt.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     kinds = told.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0))).first()[0]
