@@ -40,8 +40,8 @@ def classify_hosts(df: DataFrame, keywords: DataFrame | None = None) -> DataFram
                          F.lower("keyword").alias("keyword"),
                          F.col("app").cast("string").alias("app"))
     matches = substring_matches(hosts, "__h", kw, "keyword")
-    best = scratch_table(matches.groupBy("__h").agg(F.min_by(F.col("app"), F.struct("priority", "keyword", "app")).alias("named")),
-                         "keyword-classes").withColumn("__spread", F.lit(0).cast("bigint"))
+    best = matches.groupBy("__h").agg(F.min_by(F.col("app"), F.struct("priority", "keyword", "app")).alias("named"))
+    best = scratch_table(best.withColumn("__spread", F.lit(0).cast("bigint")), "keyword-classes")
     # packets without a host are spread by a number no class has
     at = F.when(F.length(df["host"]) > 0, F.lit(0)).otherwise(F.xxhash64(df["capture_id"], df["seq"]))
     return (df.join(best, (F.lower(df["host"]) == best["__h"]) & (at == best["__spread"]), "left")

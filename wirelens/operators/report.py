@@ -56,7 +56,9 @@ def packet_verdicts(st: DataFrame, seg: DataFrame) -> DataFrame:
     ``blocked``, ``block_reason``. Joined on flow and state; unparsed packets,
     never blocked, are spread over the join."""
     state = F.struct(*FLOW_KEY, "app_state", "host_state")
-    hit = seg.filter(F.col("n_blocked") > 0).select(state.alias("__state"), F.lit(0).cast("bigint").alias("__at"), "block_reason")
+    # 0 of every hit, but no literal: that would be folded into a condition beside the join key
+    none = F.least(F.col("n_blocked"), F.lit(0)).cast("bigint")
+    hit = seg.filter(F.col("n_blocked") > 0).select(state.alias("__state"), none.alias("__at"), "block_reason")
     spread = F.when(F.col("is_parsed"), F.lit(0)).otherwise(F.xxhash64("capture_id", "seq"))
     out = st.withColumns({"__state": state, "__at": spread}).join(hit, ["__state", "__at"], "left")
     return out.withColumn("blocked", F.col("block_reason").isNotNull()).drop("__state", "__at")

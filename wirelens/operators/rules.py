@@ -165,7 +165,8 @@ def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str, hosts: DataFram
         return df.withColumn("dom_hit", F.lit(False))
     if hosts is None:
         hosts = df.select("capture_id", F.col(host_col).alias("host"))
-    hit = scratch_table(domain_hits(hosts, rules, per), "domain-hits").withColumn("__spread", F.lit(0).cast("bigint"))
+    # the number is written with the hits: a literal would be folded into a condition beside the join key
+    hit = scratch_table(domain_hits(hosts, rules, per).withColumn("__spread", F.lit(0).cast("bigint")), "domain-hits")
     # what has no host hits nothing: it is spread by a number no hit has
     at = F.when(F.length(df[host_col]) > 0, F.lit(0)).otherwise(
         F.xxhash64(df["capture_id"], *[df[c] for c in ("seq", "first_seq") if c in df.columns]))
