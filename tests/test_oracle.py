@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 KEYS = ["traffic_totals", "decode_headers", "sni_extract", "http_host_extract", "classify_packet",
         "classify_keyword_table", "rules_validate", "rule_ip", "rule_domain", "verdicts",
         "flow_table", "app_breakdown_flow", "detected_hosts_packet", "report_json",
-        "report_csv_lines", "report_per_capture", "pcap_roundtrip", "stream_verdicts"]
+        "report_csv_lines", "report_per_capture", "pcap_roundtrip", "stream_verdicts",
+        "stream_verdicts_shuffled", "stream_flow_evictions"]
 
 
 @pytest.fixture(scope="module")

@@ -84,10 +84,10 @@ def test_replayed_epochs_and_untouched_buckets(spark, tmpdir_path):
     t.upsert(rows((1, 10), (3, 7)), 1)
     want = [(1, 13), (2, 5), (3, 7)]
     assert sorted(map(tuple, t.read().collect())) == want
-    before = t._manifest(1)
+    before = t.manifest(1)
     t.upsert(rows((1, 10), (3, 7)), 1)
-    assert t._manifest(1) == before and sorted(map(tuple, t.read().collect())) == want
-    assert len(set(before["buckets"].values()) - set(t._manifest(0)["buckets"].values())) <= 2
+    assert t.manifest(1) == before and sorted(map(tuple, t.read().collect())) == want
+    assert len(set(before["buckets"].values()) - set(t.manifest(0)["buckets"].values())) <= 2
     publish, t._publish = t._publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         t.upsert(rows((2, 100)), 2)

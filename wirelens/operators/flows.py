@@ -45,7 +45,8 @@ PIECE_SAMPLES = 1 << 10
 _UNB = Window.unboundedPreceding
 
 
-def _app_state(port_class: Column, first_named: Column, first_nonnull_named: Column) -> Column:
+def flow_app(port_class: Column, first_named: Column, first_nonnull_named: Column) -> Column:
+    """The class of a flow by its port class, its first packet's class and its first class."""
     return (F.when(port_class == "DNS", F.coalesce(first_named, F.lit("DNS")))
             .otherwise(F.coalesce(first_nonnull_named, port_class)))
 
@@ -137,7 +138,7 @@ def with_flow_state(df: DataFrame, piece_rows: int = DEFAULT_PIECE_ROWS,
     p = c("is_parsed")
     return local.select(
         *own,
-        F.when(p, _app_state(c("port_app"), first, fnn)).alias("app_state"),
+        F.when(p, flow_app(c("port_app"), first, fnn)).alias("app_state"),
         F.when(p, host).alias("host_state"),
         F.when(p, cnt).cast("bigint").alias("flow_packets"),
         F.when(p, byts).cast("bigint").alias("flow_bytes"),
@@ -175,7 +176,7 @@ def with_flow_state_window(df: DataFrame) -> DataFrame:
     p = c("is_parsed")
     return df.select(
         "*",
-        F.when(p, _app_state(c("port_app"), F.first("named").over(w),
+        F.when(p, flow_app(c("port_app"), F.first("named").over(w),
                              F.first("named", ignorenulls=True).over(w))).alias("app_state"),
         F.when(p, F.last("host", ignorenulls=True).over(w)).alias("host_state"),
         F.when(p, F.count(F.lit(1)).over(w)).cast("bigint").alias("flow_packets"),
@@ -203,7 +204,7 @@ def flow_table(df: DataFrame) -> DataFrame:
         aggs.append(F.bool_or(F.coalesce(c("blocked"), F.lit(False))).alias("blocked"))
     g = df.filter(c("is_parsed")).groupBy(*FLOW_KEY).agg(*aggs)
     cols = [*FLOW_KEY, "packet_count", "byte_count",
-            _app_state(c("__port_app"), c("__first"), c("__fnn")).alias("app"), "host"]
+            flow_app(c("__port_app"), c("__first"), c("__fnn")).alias("app"), "host"]
     if "blocked" in df.columns:
         cols.append("blocked")
     return g.select(*cols)

@@ -22,7 +22,8 @@ from ..sources.inventory import capture_files, capture_inventory
 from ..sources.pcap import read_pcap, write_pcap
 from ..sources.ranges import read_pcap_errors
 from ..streaming.aggregates import (KeyedTable, merge_flows, merge_totals, read_capture_stream,
-                                    read_packet_table_stream, run_to_table, stream_flow_table)
+                                    read_packet_table_stream, run_to_table, stream_flow_evictions, stream_flow_table)
+from ..streaming.reorder import run_in_order
 from ..streaming.state import stream_states, verdict_batch
 
 c = F.col
@@ -32,6 +33,8 @@ _paths: dict = {}
 STREAM_FILE_ROWS = 25_000
 # One second in so many has its records damaged in the copies for pcap_permissive.
 DAMAGED = 61
+# Event time without a packet after which stream_flow_evictions evicts a flow.
+EVICT_DAYS = 2
 
 
 def _once(spark: SparkSession, sf: str, name: str, build) -> str:
@@ -50,16 +53,19 @@ def capture_folder(spark: SparkSession, sf: str, layout: str = "daily") -> str:
     return _once(spark, sf, f"pcap-{layout}", build)
 
 
-def stream_folder(spark: SparkSession, sf: str) -> str:
+def stream_folder(spark: SparkSession, sf: str, shuffled: bool = False) -> str:
     """Derived packets (one capture) as a drop folder of Parquet files, one
     file per consecutive ``seq`` range, so the file stream replays the capture
     in arrival order. One job writes all of it; the files' times, by which the
-    stream orders them, follow their numbers."""
+    stream orders them, follow their numbers. ``shuffled``: each packet comes
+    later than its place by up to the length of two files."""
     def build():
         path = scratch_path(spark, "stream-drop")
         raw = packets(spark, sf, "single")
-        chunks = max(4, -(-raw.count() // STREAM_FILE_ROWS))
-        raw.repartitionByRange(chunks, "seq").sortWithinPartitions("seq").write.parquet(path)
+        n = raw.count()
+        chunks = max(4, -(-n // STREAM_FILE_ROWS))
+        place = c("seq") + F.pmod(F.xxhash64("seq"), F.lit(max(1, 2 * n // chunks))) if shuffled else c("seq")
+        raw.repartitionByRange(chunks, place).sortWithinPartitions(place).write.parquet(path)
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=str)
@@ -67,7 +73,7 @@ def stream_folder(spark: SparkSession, sf: str) -> str:
         for k, f in enumerate(parts):
             fs.setTimes(f, now + 1000 * (k - len(parts)), -1)
         return path
-    return _once(spark, sf, "stream-drop", build)
+    return _once(spark, sf, f"stream-drop-{shuffled}", build)
 
 
 def q_pcap_scan(spark, sf):
@@ -167,6 +173,27 @@ def q_stream_verdicts(spark, sf):
                                             "host_state", "blocked", "block_reason")
 
 
+def q_stream_verdicts_shuffled(spark, sf):
+    """``stream_verdicts`` of packets that come out of order over micro-batches."""
+    from .catalog import standard_rules
+
+    stream = packet_hosts(read_packet_table_stream(spark, stream_folder(spark, sf, shuffled=True), max_files=1))
+    out = run_in_order(stream, standard_rules(spark))
+    return spark.read.parquet(out).select(c("seq").cast("bigint").alias("seq"), "is_parsed", "app_state", "host_state",
+                                          c("flow_packets").cast("bigint").alias("flow_packets"),
+                                          c("flow_bytes").cast("bigint").alias("flow_bytes"), "blocked", "block_reason")
+
+
+def q_stream_flow_evictions(spark, sf):
+    """Flows evicted after ``EVICT_DAYS`` days without a packet."""
+    f = stream_flow_evictions(_packet_stream(spark, sf), f"{EVICT_DAYS} days")
+    table = run_to_table(f, mode="append", trigger="drain")
+    return spark.read.parquet(table).select(
+        "capture_id", *[c(x).cast("bigint").alias(x) for x in
+                        ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_count", "byte_count")], "app", "host",
+        F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
 def q_stream_rules_large(spark, sf):
     """Verdicts of a stream by as many domain rules as there are events."""
     from .catalog import large_patterns
@@ -225,6 +252,8 @@ def queries():
         "pcap_roundtrip": q_pcap_roundtrip,
         "stream_ingest": q_stream_ingest,
         "stream_verdicts": q_stream_verdicts,
+        "stream_verdicts_shuffled": q_stream_verdicts_shuffled,
+        "stream_flow_evictions": q_stream_flow_evictions,
         "stream_flow_table": q_stream_flow_table,
         "stream_flow_upsert": q_stream_flow_upsert,
         "stream_rules_large": q_stream_rules_large,

@@ -421,6 +421,21 @@ def oracle_sql() -> dict[str, str]:
             "daily"),
         "stream_verdicts": _q("SELECT CAST(seq AS BIGINT) AS seq, is_parsed, app_state, host_state, blocked, "
                               "block_reason FROM allv"),
+        "stream_verdicts_shuffled": _q(
+            "SELECT CAST(a.seq AS BIGINT) AS seq, a.is_parsed, a.app_state, a.host_state, CAST(v.flow_packets AS BIGINT) AS flow_packets, "
+            "CAST(v.flow_bytes AS BIGINT) AS flow_bytes, a.blocked, a.block_reason FROM allv a LEFT JOIN v ON a.seq = v.seq"),
+        "stream_flow_evictions": _q(
+            "SELECT capture_id, CAST(src_ip AS BIGINT) AS src_ip, CAST(dst_ip AS BIGINT) AS dst_ip, CAST(src_port AS BIGINT) AS src_port, "
+            "CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, CAST(count(*) AS BIGINT) AS packet_count, "
+            "CAST(sum(packet_bytes) AS BIGINT) AS byte_count, CASE WHEN any_value(port_app) = 'DNS' "
+            "THEN coalesce(first(named ORDER BY seq), 'DNS') ELSE coalesce(arg_min(named, seq), any_value(port_app)) END AS app, "
+            "arg_max(host, seq) AS host, CAST(min(us) AS BIGINT) AS first_us, CAST(max(us) AS BIGINT) AS last_us FROM life "
+            "GROUP BY capture_id, src_ip, dst_ip, src_port, dst_port, protocol, k "
+            "HAVING max(us) + 172800000000 <= (SELECT max(us) // 1000 * 1000 FROM life)",
+            ctes=", timed AS (SELECT *, ts_sec * 1000000 + ts_usec AS us FROM n), "
+                 "gaps AS (SELECT *, coalesce(us - lag(us) OVER f > 172800000000, false) AS fresh FROM timed "
+                 "WINDOW f AS (PARTITION BY capture_id, src_ip, dst_ip, src_port, dst_port, protocol ORDER BY us)), "
+                 "life AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY capture_id, src_ip, dst_ip, src_port, dst_port, protocol ORDER BY us) AS k FROM gaps)"),
         "stream_rules_large": _q(
             "SELECT CAST(a.seq AS BIGINT) AS seq, host_state, hits.h IS NOT NULL AS blocked FROM allv a LEFT JOIN hits ON a.host_state = hits.h",
             ctes=f", {_PATTERNS}, hits AS (SELECT DISTINCT h FROM (SELECT DISTINCT host_state AS h FROM v WHERE host_state <> '') JOIN "

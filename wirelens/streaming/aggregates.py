@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.flows import flow_table
+from ..operators.flows import flow_app, flow_table
 from ..schemas import FLOW_KEY, RAW_PACKETS
 from ..session import scratch_path, scratch_table
 from ..sources.pcap import register
@@ -59,6 +59,32 @@ def stream_flow_table(hosts: DataFrame) -> DataFrame:
     return flow_table(hosts)
 
 
+def stream_flow_evictions(hosts: DataFrame, idle: str, delay: str = "0 seconds") -> DataFrame:
+    """Flows that leave the table of live flows for being idle (T5), by the
+    time of their packets: one row each, with the flow's final record and the
+    times of its first and last packet.
+
+    A flow whose next packet is more than ``idle`` later begins anew. It is
+    evicted once the watermark, ``delay`` behind the latest packet, has passed
+    its last packet by ``idle``; what is not evicted yet has no row. Packets
+    may be out of order by ``delay``; later ones are not counted, so this is a
+    query of its own and the verdicts (``stream_states``) never evict by time.
+    Native session windows: the state is one record a live flow.
+    """
+    c = F.col
+    at = F.timestamp_micros(c("ts_sec") * 1_000_000 + c("ts_usec"))
+    live = (hosts.filter(c("is_parsed")).withColumn("at", at).withWatermark("at", delay)
+            .groupBy(*FLOW_KEY, F.session_window("at", idle).alias("live")))
+    ended = live.agg(
+        F.count(F.lit(1)).alias("packet_count"), F.sum("packet_bytes").cast("bigint").alias("byte_count"),
+        F.min_by("named", "seq").alias("__first"), F.expr("min_by(named, seq) FILTER (WHERE named IS NOT NULL)").alias("__fnn"),
+        F.expr("max_by(host, seq) FILTER (WHERE host IS NOT NULL)").alias("host"),
+        F.any_value("port_app").alias("__port_app"), F.max("at").alias("last_ts"))
+    return ended.select(*FLOW_KEY, "packet_count", "byte_count",
+                        flow_app(c("__port_app"), c("__first"), c("__fnn")).alias("app"), "host",
+                        c("live.start").alias("first_ts"), "last_ts")
+
+
 def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "complete",
                  checkpoint: str | None = None, trigger: str = "availableNow",
                  per_batch: Callable[[DataFrame], DataFrame] | None = None,
@@ -114,35 +140,27 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     return out_path
 
 
-class KeyedTable:
-    """A table of one row per key that micro-batches are merged into.
-
-    Rows lie in ``buckets`` folders by a hash of the key. An epoch merges its
-    rows with those of the buckets it touches, writes these buckets anew under
-    its own folder and then its manifest, which names the folder of every
-    bucket. Readers see the last manifest only, so an epoch is visible whole
-    or not at all, untouched buckets are never rewritten, and an epoch that is
-    run again after its manifest stands changes nothing.
-    """
+class EpochLog:
+    """A folder whose epochs become visible one by one, each by its manifest."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str],
-                 merge: Callable[[DataFrame], DataFrame], buckets: int = 64):
-        self.spark, self.path, self.keys, self.merge, self.buckets = spark, path.rstrip("/"), keys, merge, buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, name: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _epochs(self) -> list[int]:
+    def epochs(self) -> list[int]:
+        """Epochs whose manifests stand."""
         at, fs = self._fs("_manifests")
         if not fs.exists(at):
             return []
         return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
 
-    def _manifest(self, epoch: int) -> dict:
+    def manifest(self, epoch: int) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/_manifests/{epoch}.json", wholetext=True).first()[0])
 
-    def _publish(self, epoch: int, manifest: dict) -> None:
+    def publish(self, epoch: int, manifest: dict) -> None:
         jvm = self.spark.sparkContext._jvm
         part, fs = self._fs(f"_manifests/{epoch}.part")
         out = fs.create(part, True)
@@ -151,14 +169,42 @@ class KeyedTable:
         if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests/{epoch}.json")):
             raise OSError(f"manifest of epoch {epoch} cannot be published")
 
+    def forget(self, name: str) -> None:
+        """Delete a folder that no later epoch reads."""
+        at, fs = self._fs(name)
+        fs.delete(at, True)
+
+    @staticmethod
+    def columns_of(df: DataFrame) -> str:
+        return df.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+
+
+class KeyedTable(EpochLog):
+    """A table of one row per key that micro-batches are merged into.
+
+    Rows lie in ``buckets`` folders by a hash of the key. An epoch merges its
+    rows with those of the buckets it touches, writes these buckets anew under
+    its own folder and then its manifest, which names the folder of every
+    bucket. Readers see the last manifest only, so an epoch is visible whole
+    or not at all, untouched buckets are never rewritten, and an epoch that is
+    run again after its manifest stands changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str],
+                 merge: Callable[[DataFrame], DataFrame], buckets: int = 64):
+        super().__init__(spark, path)
+        self.keys, self.merge, self.buckets = keys, merge, buckets
+
     def _rows(self, manifest: dict) -> DataFrame:
+        if not manifest["buckets"]:
+            return self.spark.createDataFrame([], manifest["schema"])
         return self.spark.read.schema(manifest["schema"]).parquet(*sorted(manifest["buckets"].values()))
 
     def upsert(self, rows: DataFrame, epoch: int) -> None:
-        done = self._epochs()
+        done = self.epochs()
         if epoch in done:
             return
-        before = self._manifest(done[-1]) if done else {"buckets": {}}
+        before = self.manifest(done[-1]) if done else {"buckets": {}}
         new = scratch_table(self.merge(rows).withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))), "upsert")
         touched = {str(r[0]) for r in new.select("__bucket").distinct().collect()}  # at most ``buckets``
         old = {b: p for b, p in before["buckets"].items() if b in touched}
@@ -169,13 +215,13 @@ class KeyedTable:
         out = f"{self.path}/epoch-{epoch}"
         (merged.withColumn("__bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)))
          .repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(out))
-        self._publish(epoch, {"schema": merged.schema.simpleString()[len("struct<"):-1].replace(":", " "),
-                              "buckets": {**before["buckets"], **{b: f"{out}/__bucket={b}" for b in touched}}})
+        self.publish(epoch, {"schema": self.columns_of(merged),
+                             "buckets": {**before["buckets"], **{b: f"{out}/__bucket={b}" for b in touched}}})
 
-    def read(self) -> DataFrame | None:
-        """The table as of the last epoch; None before the first."""
-        done = self._epochs()
-        return self._rows(self._manifest(done[-1])) if done else None
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The table as of the last epoch (of those below ``before``); None before the first."""
+        done = [e for e in self.epochs() if before is None or e < before]
+        return self._rows(self.manifest(done[-1])) if done else None
 
 
 def merge_flows(rows: DataFrame) -> DataFrame:
