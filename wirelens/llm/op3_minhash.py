@@ -19,7 +19,8 @@ the full sets. Where a bucket still holds several components afterwards:
 - The rest have only frequent shingles in common; the next 4, 16, 64, ...
   classes of a bucket become centres for the pairs across components whose
   numbers of frequent shingles allow a link, each centre leaving the bucket,
-  until what is left of every bucket is one component.
+  until what is left of every bucket is one component. A pair of several
+  buckets is made in the first of them.
 
 The bounds are exact, so no link inside a bucket is lost.
 
@@ -209,7 +210,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     drop(before, comp)
     tidy(d.sparkSession)
     # pairs of no rare shingle in common are left: only the others count
-    left = cut(left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s"), "left")
+    left = left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s")
+    # a pair is made in the first bucket that both are in, and only there
+    left = cut(left.join(left.groupBy("rep").agg(F.collect_set("bucket").alias("all")), "rep"), "left")
     centres = 4
     while True:
         comp = cut(components(links), "components")
@@ -218,17 +221,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
         if ranked.isEmpty():
             break
         a = ranked.filter(F.col("rank") <= centres).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"), F.col("rank").alias("at"))
+            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"), F.col("rank").alias("at"),
+            F.col("all").alias("others"))
         near = F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-        across = (ranked.join(a, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("other")) & fits & near)
+        here = F.array_min(F.array_intersect("all", "others")) == F.col("bucket")
+        across = (ranked.join(a, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("other")) & fits & near & here)
                   .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         fresh = cut(across.join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = tested.union(fresh)
         before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
         drop(before, comp)
         tidy(d.sparkSession)
-        # all pairs of the centres are tested; the others go on without them
-        left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s")
+        # all pairs of the centres are tested, or made in another bucket; the others go on without them
+        left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s", "all")
         centres *= 4
 
     owner = cut(sig.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "owners")
