@@ -19,8 +19,8 @@ the full sets. Where a bucket still holds several components afterwards:
 - The rest have only frequent shingles in common; the next 4, 16, 64, ...
   classes of a bucket become centres for the pairs across components whose
   numbers of frequent shingles allow a link, each centre leaving the bucket,
-  until what is left of every bucket is one component. A pair of several
-  buckets is made in the first of them.
+  until what is left of every bucket is one component. Rows that meet the
+  same centres in several buckets make their pairs once.
 
 The bounds are exact, so no link inside a bucket is lost.
 
@@ -50,6 +50,8 @@ EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 PERCENT = 80
 #: A shingle in no more sets than this is rare: its pairs are made directly.
 RARE = 8
+#: Centres of a bucket that a row meets at once.
+CHUNK = 64
 
 
 def _walks(steps: int) -> np.ndarray:
@@ -210,9 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     drop(before, comp)
     tidy(d.sparkSession)
     # pairs of no rare shingle in common are left: only the others count
-    left = left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s")
-    # a pair is made in the first bucket that both are in, and only there
-    left = cut(left.join(left.groupBy("rep").agg(F.collect_set("bucket").alias("all")), "rep"), "left")
+    left = cut(left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s"), "left")
     centres = 4
     while True:
         comp = cut(components(links), "components")
@@ -220,20 +220,28 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
         ranked = cut(told(left).withColumn("rank", F.row_number().over(order)), "ranked")
         if ranked.isEmpty():
             break
-        a = ranked.filter(F.col("rank") <= centres).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"), F.col("rank").alias("at"),
-            F.col("all").alias("others"))
-        near = F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-        here = F.array_min(F.array_intersect("all", "others")) == F.col("bucket")
-        across = (ranked.join(a, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("component") != F.col("other")) & fits & near & here)
+        # the centres of a bucket in arrays: a row meets CHUNK of them at once, and
+        # what it may link with is told apart before it becomes pairs, as the
+        # copies of a group meet the same centres in most of their buckets
+        a = (ranked.filter(F.col("rank") <= centres).groupBy("bucket", F.floor((F.col("rank") - 1) / CHUNK).alias("chunk"))
+             .agg(F.sort_array(F.collect_list(F.struct("rep", "n", "s", "component", "rank"))).alias("centres")))
+
+        def may(x):
+            lo, hi = F.least("n", x["n"]), F.greatest("n", x["n"])
+            near = F.least("s", x["s"]) * (100 + percent) >= (F.col("n") + x["n"]) * percent
+            return (F.col("rank") > x["rank"]) & (F.col("component") != x["component"]) & (lo * 100 >= hi * percent) & near
+
+        hits = F.transform(F.filter("centres", may), lambda x: x["rep"])
+        across = (ranked.join(a, "bucket").select("rep", hits.alias("hits")).filter(F.size("hits") > 0).distinct()
+                  .select("rep", F.explode("hits").alias("a"))
                   .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         fresh = cut(across.join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = tested.union(fresh)
         before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
         drop(before, comp)
         tidy(d.sparkSession)
-        # all pairs of the centres are tested, or made in another bucket; the others go on without them
-        left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s", "all")
+        # all pairs of the centres are tested; the others go on without them
+        left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s")
         centres *= 4
 
     owner = cut(sig.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "owners")
