@@ -151,6 +151,38 @@ def detected_hosts(seg: DataFrame, mode: str = "packet") -> DataFrame:
     raise ValueError(f"mode must be 'packet' or 'flow', not {mode!r}")
 
 
+def report_sections(seg: DataFrame) -> DataFrame:
+    """Totals (A1-A3), application counts (A5) and detected hosts (A7) of
+    every capture by one aggregate over grouping sets: one pass over the
+    segments and one exchange, where the separate aggregates take three.
+
+    ``section`` tells the rows apart: ``total`` (a row a capture), ``app``
+    (``app`` set; unparsed packets are in the totals only) and ``host``
+    (``app`` and ``host`` set, non-empty hosts only). Columns: ``packets``,
+    ``bytes``, ``tcp_packets``, ``udp_packets``, ``forwarded``, ``dropped``,
+    ``first_seq``. Packet mode.
+    """
+    c = F.col
+    parsed = c("is_parsed")
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+
+    cols = ["capture_id", "app_state", "host_state"]
+    sets = seg.groupingSets([cols[:1], cols[:2], cols], *cols).agg(
+        F.grouping_id(*cols).alias("__set"),
+        total(c("n")).alias("packets"), total(c("bytes")).alias("bytes"),
+        total(F.when(parsed & (c("protocol") == 6), c("n"))).alias("tcp_packets"),
+        total(F.when(parsed & (c("protocol") == 17), c("n"))).alias("udp_packets"),
+        total(c("n") - c("n_blocked")).alias("forwarded"), total(c("n_blocked")).alias("dropped"),
+        F.min("first_seq").alias("first_seq"))
+    section = F.when(c("__set") == 3, "total").when(c("__set") == 1, "app").otherwise("host")
+    out = sets.select(section.alias("section"), "capture_id", c("app_state").alias("app"), c("host_state").alias("host"),
+                      *[x for x in sets.columns if x not in (*cols, "__set")])
+    return out.filter((c("section") == "total") | ((c("section") == "app") & c("app").isNotNull())
+                      | ((c("section") == "host") & c("app").isNotNull() & (F.length("host") > 0)))
+
+
 def traffic_report(totals: DataFrame, apps: DataFrame, hosts: DataFrame,
                    processing_time_ms: int | Column = 0) -> DataFrame:
     """One row per capture (A9): totals, the breakdown as an array of

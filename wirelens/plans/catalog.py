@@ -351,6 +351,10 @@ def q_traffic_report(spark, sf):
     return _apps_text(_analysis(spark, sf).report)
 
 
+def q_report_one_pass(spark, sf):
+    return R.report_sections(_analysis(spark, sf, layout="daily").segments)
+
+
 def q_report_per_capture(spark, sf):
     return _apps_text(_analysis(spark, sf, layout="daily").report)
 
@@ -412,6 +416,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "app_breakdown_flow": q_app_breakdown_flow,
         "detected_hosts_packet": q_detected_hosts_packet,
         "detected_hosts_flow": q_detected_hosts_flow,
+        "report_one_pass": q_report_one_pass,
         "report_per_capture": q_report_per_capture,
         "report_csv_lines": q_report_csv_lines,
         "traffic_report": q_traffic_report,

@@ -23,6 +23,7 @@ from ..sources.pcap import read_pcap, write_pcap
 from ..sources.ranges import read_pcap_errors
 from ..streaming.aggregates import (KeyedTable, merge_flows, merge_totals, read_capture_stream,
                                     read_packet_table_stream, run_to_table, stream_flow_evictions, stream_flow_table)
+from ..streaming.forward import forward_stream
 from ..streaming.reorder import run_in_order
 from ..streaming.state import stream_states, verdict_batch
 
@@ -184,6 +185,22 @@ def q_stream_verdicts_shuffled(spark, sf):
                                           c("flow_bytes").cast("bigint").alias("flow_bytes"), "blocked", "block_reason")
 
 
+def q_stream_forward(spark, sf):
+    """Captures of the packets that a stream out of order forwards and drops,
+    read back with each packet's place in its capture."""
+    from .catalog import standard_rules
+
+    stream = read_packet_table_stream(spark, stream_folder(spark, sf, shuffled=True), max_files=1)
+    place = F.row_number().over(Window.partitionBy("dropped", "capture_id").orderBy("epoch", "seq"))
+    parts = [log.read() for log in forward_stream(stream, standard_rules(spark))]
+    both = [p.withColumn("dropped", F.lit(i == 1)) for i, p in enumerate(parts) if p is not None]
+    if not both:
+        both = [packets(spark, sf, "single").limit(0).selectExpr("0L AS epoch", "*", "false AS dropped")]
+    out = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    return out.select("dropped", *[c(x).cast("bigint").alias(x) for x in ("ts_sec", "ts_usec", "incl_len", "orig_len")],
+                      place.cast("bigint").alias("place"))
+
+
 def q_stream_flow_evictions(spark, sf):
     """Flows evicted after ``EVICT_DAYS`` days without a packet."""
     f = stream_flow_evictions(_packet_stream(spark, sf), f"{EVICT_DAYS} days")
@@ -253,6 +270,7 @@ def queries():
         "stream_ingest": q_stream_ingest,
         "stream_verdicts": q_stream_verdicts,
         "stream_verdicts_shuffled": q_stream_verdicts_shuffled,
+        "stream_forward": q_stream_forward,
         "stream_flow_evictions": q_stream_flow_evictions,
         "stream_flow_table": q_stream_flow_table,
         "stream_flow_upsert": q_stream_flow_upsert,

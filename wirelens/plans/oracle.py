@@ -116,6 +116,14 @@ _PATTERNS = f"""pat AS (SELECT event_id,
   FROM events)"""
 
 
+_SECTION = ", ".join(f"CAST({x} AS BIGINT) AS {k}" for k, x in [
+    ("packets", "count(*)"), ("bytes", "sum(packet_bytes)"),
+    ("tcp_packets", "count(*) FILTER (WHERE is_parsed AND protocol = 6)"),
+    ("udp_packets", "count(*) FILTER (WHERE is_parsed AND protocol = 17)"),
+    ("forwarded", "count(*) FILTER (WHERE NOT blocked)"), ("dropped", "count(*) FILTER (WHERE blocked)"),
+    ("first_seq", "min(seq)")])
+
+
 def _ipfmt(c: str) -> str:
     return (f"(({c} >> 24) & 255)::VARCHAR || '.' || (({c} >> 16) & 255)::VARCHAR || '.' || "
             f"(({c} >> 8) & 255)::VARCHAR || '.' || ({c} & 255)::VARCHAR")
@@ -392,6 +400,10 @@ def oracle_sql() -> dict[str, str]:
         "detected_hosts_flow": _q(", " + _flows() + " SELECT capture_id, host, app, "
                                   "CAST(min(first_seq) AS BIGINT) AS first_seq FROM fl "
                                   "WHERE host <> '' GROUP BY ALL"),
+        "report_one_pass": _q(
+            "SELECT 'total' AS section, capture_id, NULL::VARCHAR AS app, NULL::VARCHAR AS host, " + _SECTION + " FROM allv GROUP BY ALL UNION ALL "
+            "SELECT 'app', capture_id, app_state, NULL, " + _SECTION + " FROM allv WHERE is_parsed GROUP BY ALL UNION ALL "
+            "SELECT 'host', capture_id, app_state, host_state, " + _SECTION + " FROM allv WHERE is_parsed AND host_state <> '' GROUP BY ALL", "daily"),
         "report_per_capture": _report("daily"),
         "traffic_report": _report("single"),
         "report_csv_lines": _csv_lines(),
@@ -424,6 +436,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_verdicts_shuffled": _q(
             "SELECT CAST(a.seq AS BIGINT) AS seq, a.is_parsed, a.app_state, a.host_state, CAST(v.flow_packets AS BIGINT) AS flow_packets, "
             "CAST(v.flow_bytes AS BIGINT) AS flow_bytes, a.blocked, a.block_reason FROM allv a LEFT JOIN v ON a.seq = v.seq"),
+        "stream_forward": _q(
+            "SELECT blocked AS dropped, CAST(ts_sec AS BIGINT) AS ts_sec, CAST(ts_usec AS BIGINT) AS ts_usec, "
+            "CAST(packet_bytes AS BIGINT) AS incl_len, CAST(packet_bytes AS BIGINT) AS orig_len, "
+            "CAST(row_number() OVER (PARTITION BY blocked ORDER BY seq) AS BIGINT) AS place FROM allv"),
         "stream_flow_evictions": _q(
             "SELECT capture_id, CAST(src_ip AS BIGINT) AS src_ip, CAST(dst_ip AS BIGINT) AS dst_ip, CAST(src_port AS BIGINT) AS src_port, "
             "CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, CAST(count(*) AS BIGINT) AS packet_count, "
