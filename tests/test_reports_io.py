@@ -88,10 +88,10 @@ def test_replayed_epochs_and_untouched_buckets(spark, tmpdir_path):
     t.upsert(rows((1, 10), (3, 7)), 1)
     assert t.manifest(1) == before and sorted(map(tuple, t.read().collect())) == want
     assert len(set(before["buckets"].values()) - set(t.manifest(0)["buckets"].values())) <= 2
-    publish, t._publish = t._publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    publish, t.publish = t.publish, lambda *a: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         t.upsert(rows((2, 100)), 2)
     assert sorted(map(tuple, t.read().collect())) == want
-    t._publish = publish
+    t.publish = publish
     t.upsert(rows((2, 100)), 2)
     assert sorted(map(tuple, t.read().collect())) == [(1, 13), (2, 105), (3, 7)]
