@@ -7,11 +7,18 @@ parent, half of them to the grandparent, a third to the next ancestors; a
 container's points are discounted by the share of its text that lies in
 links. The best container is kept, widened to the article or main element
 around it, with those siblings that score a fifth of it; without such an
-element, with all sibling blocks whose text is mostly not links. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are taken out beforehand by element, role, class or id; a page that
-is left with nothing is scored again with only scripts, styles, forms and
-menus taken out.
+element, with all sibling blocks whose text is mostly not links.
+
+Scripts, styles, forms, menus, header, footer and aside elements give and
+keep nothing. Class, id and role speak by degrees. A part named as a menu,
+header, footer, sidebar, notice, advert or reader comments by a whole token
+(``sidebar``, ``cookie-banner``) goes, unless an article, main or h1 element
+stands in it: then what it holds gives a tenth of its points, and it goes
+unless the best container is in it. A part with such a word in a longer token
+(``has-sidebar``, ``related-work``) gives half its points; it stays within
+the kept container unless half its text is links. No word takes out the best
+container or what is around it. Lists of links stay within an article or main
+element; elsewhere they are menus. A page of parts that go has the empty text.
 
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are joined in page order by a line feed.
@@ -46,7 +53,13 @@ comments commentlist consent contentinfo cookie cookies disqus footer gdpr heade
 navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related
 replies reply respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar
 complementary""".split())
-ROOTS = frozenset(("article", "main", "body", "html"))
+#: Words that say nothing of their own beside a mark in one token.
+FILLERS = frozenset("""area articles bar block body bottom box button buttons col column container content entry form global
+group head icons inner item items left link links list main module outer page panel posts primary right row secondary section
+signup site slot stories thread top unit user widget widgets wrap wrapper""".split())
+ROOTS = frozenset(("main", "body", "html"))
+#: Points of what stands in a part that a longer token, or a whole one, marks.
+PARTLY, WHOLLY = 0.5, 0.1
 #: An open element of the first kind ends at the start of one of the second.
 ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
@@ -55,10 +68,25 @@ WALLS = frozenset("table ul ol dl div section article main aside body html block
 
 
 class Node:
-    __slots__ = ("tag", "marks", "up", "kids")
+    """``weight``: 1, PARTLY or WHOLLY as its names mark it; ``holds``:
+    whether an article, main or h1 element that no name marks is in it."""
 
-    def __init__(self, tag, marks, up):
+    __slots__ = ("tag", "marks", "up", "kids", "weight", "holds")
+
+    def __init__(self, tag, marks, up, weight=1.0):
         self.tag, self.marks, self.up, self.kids = tag, marks, up, []
+        self.weight, self.holds = weight, False
+
+
+def named(found: str) -> tuple[frozenset, float]:
+    """The words of class, id and role, and the weight that they give."""
+    words, weight = set(), 1.0
+    for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", found).lower().split():
+        parts = re.findall(r"[a-z]+", token)
+        words.update(parts)
+        if not MARKS.isdisjoint(parts):
+            weight = min(weight, WHOLLY if all(w in MARKS or w in FILLERS for w in parts) else PARTLY)
+    return frozenset(words), weight
 
 
 class Tree(HTMLParser):
@@ -82,9 +110,13 @@ class Tree(HTMLParser):
                 break
             node = node.up
         found = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        marks = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else frozenset()
-        child = Node(tag, marks, self.at)
+        marks, weight = named(found) if found and tag not in ROOTS else (frozenset(), 1.0)
+        child = Node(tag, marks, self.at, weight)
         self.at.kids.append(child)
+        if tag in ("article", "main", "h1") and weight > WHOLLY:
+            up = self.at
+            while up is not None and not up.holds:
+                up.holds, up = True, up.up
         if tag not in VOID:
             self.at = child
 
@@ -108,10 +140,20 @@ class Tree(HTMLParser):
         self.at.kids.append(data)
 
 
-def silent(node: Node, strict: bool) -> bool:
-    if node.tag in SILENT:
+def silent(node: Node) -> bool:
+    """Whether nothing of the node is main text, whatever is around it."""
+    return node.tag in SILENT or node.tag in ASIDE or node.weight == WHOLLY and not node.holds and node.tag != "article"
+
+
+def gone(node: Node, spared: set, size: dict) -> bool:
+    """Whether the node goes from the kept containers; ``spared`` are the
+    best container and all around it."""
+    if silent(node):
         return True
-    return strict and (node.tag in ASIDE or node.tag not in ROOTS and not MARKS.isdisjoint(node.marks))
+    if node.weight == 1 or node in spared:
+        return False
+    s = size.get(node, (0, 0, 0))
+    return node.weight == WHOLLY or s[0] > 0 and 2 * s[1] >= s[0]
 
 
 def paragraph(node: Node) -> bool:
@@ -121,16 +163,17 @@ def paragraph(node: Node) -> bool:
         isinstance(k, str) and k.strip() for k in node.kids) and not any(isinstance(k, Node) and k.tag in BLOCK for k in node.kids)
 
 
-def measure(root: Node, strict: bool):
+def measure(root: Node):
     """Depth-first: per node its text length, link text length and commas,
     and the points passed to the containers."""
     size: dict[Node, list] = {}
     points: dict[Node, float] = {}
-    stack = [(root, False, 0)]
+    stack = [(root, False, 0, 1.0)]
     while stack:
-        node, done, inlink = stack.pop()
+        node, done, inlink, weight = stack.pop()
         if not done:
-            stack.append((node, True, inlink))
+            weight *= node.weight
+            stack.append((node, True, inlink, weight))
             size[node] = [0, 0, 0]
             for kid in node.kids:
                 if isinstance(kid, str):
@@ -140,15 +183,15 @@ def measure(root: Node, strict: bool):
                     s[2] += kid.count(",") + kid.count("，") + kid.count("、")
                     if inlink or node.tag == "a":
                         s[1] += n
-                elif not silent(kid, strict):
-                    stack.append((kid, False, inlink or node.tag == "a"))
+                elif not silent(kid):
+                    stack.append((kid, False, inlink or node.tag == "a", weight))
             continue
         s = size[node]
         if node.up is not None and node.up in size:
             for k in range(3):
                 size[node.up][k] += s[k]
         if s[0] > 0 and paragraph(node):
-            give = (1 + s[2] + min(s[0] / 100, 3)) * (1 - s[1] / s[0])
+            give = weight * (1 + s[2] + min(s[0] / 100, 3)) * (1 - s[1] / s[0])
             up, level = node.up, 0
             while up is not None and give > 0:
                 points[up] = points.get(up, 0.0) + give / (1, 2, 3, 6, 9)[min(level, 4)]
@@ -156,31 +199,33 @@ def measure(root: Node, strict: bool):
     return size, {c: p * (1 - size[c][1] / max(1, size[c][0])) for c, p in points.items() if c in size}
 
 
-def chosen(root: Node, strict: bool) -> tuple[list[Node], dict]:
-    """The kept containers in page order, and the sizes of nodes."""
-    size, points = measure(root, strict)
+def chosen(root: Node) -> tuple[list[Node], set, dict, bool]:
+    """The kept containers in page order, the best container with all around
+    it, the sizes of nodes, and whether an article or main element is kept."""
+    size, points = measure(root)
     if not points:
-        named = [n for n in size if n.tag in ("article", "main") and size[n][0]]
-        return named[:1] or [root], size
+        tops = [n for n in size if n.tag in ("article", "main") and size[n][0]]
+        return tops[:1] or [root], set(tops[:1]), size, bool(tops)
     best = max(points, key=lambda c: points[c])  # the first of equals
-    around, up = None, best
+    around, up, spared = None, best, set()
     while up is not None:
-        if up.tag == "article" or "article" in up.marks and up.tag not in ROOTS:
-            around = up
-            break
-        if up.tag == "main" or "main" in up.marks and up.tag == "div":
-            around = around or up
+        spared.add(up)
+        if around is None or around.tag != "article" and "article" not in around.marks:
+            if up.tag == "article" or "article" in up.marks and up.tag not in ROOTS:
+                around = up
+            elif up.tag == "main" or "main" in up.marks and up.tag == "div":
+                around = around or up
         up = up.up
     best_points = points[best]
     top = around or best
     if top.up is None:
-        return [top], size
+        return [top], spared, size, False
     kept = []
     for kid in top.up.kids:
-        if isinstance(kid, str) or kid not in size:
+        if isinstance(kid, str) or kid not in size or gone(kid, spared, size):
             continue
         own = points.get(kid, 0.0)
-        if around is None and kid.tag in BLOCK and 4 * size[kid][1] < size[kid][0]:
+        if around is None and kid.weight == 1 and kid.tag in BLOCK and 4 * size[kid][1] < size[kid][0]:
             kept.append(kid)  # nothing marks where the text ends: all but links stays
             continue
         if kid.tag in PARAGRAPH and top.tag != "article":
@@ -188,7 +233,7 @@ def chosen(root: Node, strict: bool) -> tuple[list[Node], dict]:
             own = best_points if n > 80 and linked < n / 4 or n and not linked and commas else own
         if kid is top or own >= max(3.0, best_points / 5) and (top.tag != "article" or kid.tag in ("article", "section", "div", "main")):
             kept.append(kid)
-    return kept, size
+    return kept, spared, size, around is not None
 
 
 def linked_list(node: Node, size: dict) -> bool:
@@ -198,7 +243,7 @@ def linked_list(node: Node, size: dict) -> bool:
         not isinstance(k, str) and k.tag == "li" for k in node.kids) > 1
 
 
-def blocks(nodes: list[Node], size: dict, strict: bool) -> list[str]:
+def blocks(nodes: list[Node], spared: set, size: dict, links: bool) -> list[str]:
     out, run = [], []
 
     def end():
@@ -216,7 +261,7 @@ def blocks(nodes: list[Node], size: dict, strict: bool) -> list[str]:
             run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif (node in nodes or not silent(node, strict)) and not linked_list(node, size):
+        elif not gone(node, spared, size) and (links or not linked_list(node, size)):
             inside = list(reversed(node.kids))
             if node.tag in BLOCK:
                 end()
@@ -230,13 +275,8 @@ def main_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    root = Tree(html).root
-    for strict in (True, False):
-        nodes, size = chosen(root, strict)
-        text = "\n".join(blocks(nodes, size, strict))
-        if text:
-            return text
-    return ""
+    nodes, spared, size, marked = chosen(Tree(html).root)
+    return "\n".join(blocks(nodes, spared, size, marked))
 
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
