@@ -18,9 +18,10 @@ repeated rows are separate documents that follow each other; an empty table
 gives an empty mix; further columns are ignored.
 
 Per-source figures are one row a source; they are ranked in one window over
-those rows (never over documents). Nothing else meets in one task: the word
-offsets of a source are summed over ``BUCKETS`` hash buckets of its
-documents first, then inside each bucket.
+those rows (never over documents). Nothing else meets in one task: equal rows
+are counted first, the word offsets of a source are summed over hash buckets
+(of id and text, about ``BUCKET_ROWS`` documents each), then inside each
+bucket. A source's slots are numbered by shard and made in many tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ from wirelens.llm.common import GAP, cut, word_count
 
 BLOCK = 64
 SHARD_SLOTS = 16384
+#: Least buckets of the documents' order, and documents of one on average.
 BUCKETS = 1024
+BUCKET_ROWS = 65536
+#: Equal rows, and slots, that one task makes at a time.
+REPEATS = 65536
+TASK_SLOTS = 1 << 20
 #: Rounds of the index permutation.
 ROUNDS = 12
 SEED = 20240521
@@ -64,13 +70,15 @@ def source_key(source: str = "source") -> Column:
 @dataclass
 class Mix:
     """``sources``: one row a source (sk, source, source_size, target, words,
-    blocks, slots, key). ``placed``: one row a document (sk, doc_id, text
-    hash th, size, start: its first word's place in the source). ``slots``:
+    blocks, slots, key). ``placed``: one row a document with words (sk, doc_id,
+    text hash th, size, start: its first word's place in the source).
+    ``empty``: one row a document without (sk, doc_id, size). ``slots``:
     one row a slot (shard, sk, rank, epoch, idx, take: words taken from the
     block's front)."""
 
     sources: DataFrame
     placed: DataFrame
+    empty: DataFrame
     slots: DataFrame
     block: int
 
@@ -78,8 +86,8 @@ class Mix:
         """One row a document and block it reaches: words [first, last) of
         the document lie at [at, at + last - first) of block idx."""
         b = self.block
-        return (self.placed.withColumn("idx", F.explode_outer(F.when(F.col("size") > 0, F.sequence(
-                    F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))))
+        return (self.placed.withColumn("idx", F.explode(F.sequence(
+                    F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
                 .withColumn("first", F.greatest(F.lit(0), F.col("idx") * b - F.col("start")))
                 .withColumn("last", F.least(F.col("size"), (F.col("idx") + 1) * b - F.col("start")))
                 .withColumn("at", F.col("start") + F.col("first") - F.col("idx") * b))
@@ -116,17 +124,36 @@ def targets(sized: DataFrame, block: int) -> DataFrame:
             .select("sk", "source", "source_size", "target", "words", "blocks", "slots"))
 
 
-def placed(sized: DataFrame) -> DataFrame:
-    """Adds start, the number of words of the source before the document, in
-    the order (hash bucket, doc_id, size, text hash)."""
-    d = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(BUCKETS)))
+def placed(sized: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """Documents with words, each with start, the number of words of the
+    source before it, in the order (hash bucket, doc_id, size, text hash).
+    Equal rows, however many, are one row until their places are known."""
+    with_words = sized.filter("size > 0")
+    n_buckets = max(BUCKETS, with_words.count() // BUCKET_ROWS)
+    d = (with_words.groupBy("sk", "doc_id", "th", "size").agg(F.count(F.lit(1)).alias("m"))
+         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th", F.lit(SEED)), F.lit(n_buckets))))
     before = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    b = (d.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
+    all_words = F.col("size") * F.col("m")
+    b = (d.groupBy("sk", "bucket").agg(F.sum(all_words).alias("n"))
          .select("sk", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     inside = Window.partitionBy("sk", "bucket").orderBy("doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(b, ["sk", "bucket"])
-            .withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .select("sk", "doc_id", "th", "size", "start"))
+    first = cut(d.join(b, ["sk", "bucket"])
+                .withColumn("start", F.col("base") + F.coalesce(F.sum(all_words).over(inside), F.lit(0)))
+                .select("sk", "doc_id", "th", "size", "start", "m"), "mix-places")
+
+    def each(rows, low, high):
+        return (rows.withColumn("k", F.explode(F.sequence(low, high)))
+                .select("sk", "doc_id", "th", "size", (F.col("start") + F.col("k") * F.col("size")).alias("start")))
+
+    # rows that repeat more often than one task should make are made in stretches
+    long = lambda x: F.lit(x).cast("long")
+    often = first.filter(F.col("m") > repeats)
+    n = often.agg(F.coalesce(F.sum(F.ceil(F.col("m") / repeats)), F.lit(0))).first()[0]
+    often = (often.withColumn("stretch", F.explode(F.sequence(long(0), F.floor((F.col("m") - 1) / repeats))))
+             .repartition(max(1, min(n, 100_000)), "sk", "doc_id", "th", "stretch"))
+    low = F.col("stretch") * repeats
+    return (each(first.filter(F.col("m") <= repeats), long(0), F.col("m") - 1)
+            .union(each(often, low, F.least(F.col("m"), low + repeats) - 1)))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mix:
@@ -150,7 +177,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     counts = cut(draws.join(spans, "cell").filter("v >= low and v < high")
                  .groupBy("sk", "shard").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     before = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_SLOTS + 1)
     ranks = (counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+             .repartition(tasks, "sk", "shard")  # a source's slots aren't made where its shards were summed
              .withColumn("rank", F.explode(F.sequence(F.col("off"), F.col("off") + F.col("n") - 1)))
              .select("sk", "shard", "rank"))
 
@@ -180,16 +209,15 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
              .withColumn("length", F.least(F.lit(block), size - F.col("idx") * block))
              .withColumn("take", F.greatest(F.lit(0), F.least(F.col("length"), F.col("words") - done)))
              .select("sk", "shard", "rank", "epoch", "idx", "take"))
-    return Mix(src, placed(sized), slots, block)
+    return Mix(src, placed(sized), sized.filter("size = 0").select("sk", "doc_id", "size"), slots, block)
 
 
 def mixed_sizes(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, and taken, the
     words the mix takes from it, repeats counted."""
     m = mix(docs, block, shard_slots, seed)
-    per = m.taken().groupBy("sk", "doc_id", "th", "size", "start").agg(F.sum("n").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    # rows without words share a place; they count as often as they occur
-    one = per.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.when(F.col("size") > 0, 1).otherwise(F.col("rows")).cast("int"))))
+    per = m.taken().groupBy("sk", "doc_id", "th", "size", "start").agg(F.sum("n").alias("taken"))
+    one = per.select("sk", "doc_id", "size", "taken").union(m.empty.withColumn("taken", F.lit(0).cast("long")))
     return (one.join(m.sources.select("sk", "source_size", "target"), "sk")
             .select("doc_id", "size", "source_size", "target", "taken"))
 
@@ -203,17 +231,21 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     m = mix(docs, block, shard_slots, seed)
     parts = (m.taken().filter("n > 0").groupBy("sk", "doc_id", "th", "size", "start", "epoch")
              .agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
-             .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("start").alias("__start"),
+             .select(F.col("sk").alias("__at"), F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("start").alias("__start"),
                      F.col("epoch").alias("__epoch"), (F.col("taken") == F.col("size")).alias("__whole"), F.col("parts").alias("__parts")))
-    # equal rows stand at several places; each place belongs to one of them
-    one = docs.dropDuplicates(["doc_id", "text"]) if {"doc_id", "text"} <= set(cols) else docs
-    joined = one.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")))
+    # rows of equal source, id and text stand at several places; one of them, the same in every run, stands for all
+    rest = [c for c in cols if c not in ("doc_id", "text")]
+    one = (docs.withColumn("__sk", source_key()).groupBy("__sk", "doc_id", "text")
+           .agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__row")))
+    joined = one.join(parts, (F.col("__sk") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+                      & (F.xxhash64("text") == F.col("__th")))
     cut_out = let(F.regexp_extract_all("text", F.lit(f"{GAP[:-1]}*[^\\x20\\x09-\\x0D]+"), F.lit(0)), lambda w: F.array_join(
         F.flatten(F.transform("__parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")))), ""))
     text = F.when(F.col("__whole"), F.col("text")).otherwise(cut_out)
     out = joined.withColumn("__text", text)
     return out.select(*[F.col("__text").alias("text") if c == "text" else
-                        F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in cols])
+                        F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else
+                        F.col(c) if c == "doc_id" else F.col("__row").getField(c).alias(c) for c in cols])
 
 
 def query(docs: DataFrame) -> DataFrame:
