@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.rules import validate_rules
 from ..operators.verdicts import packet_hosts
 from ..plans.analyze import analyze
-from ..schemas import FLOW_KEY
+from ..schemas import FLOW_KEY, RAW_PACKETS
 from ..session import scratch_path
 from ..sources.events import packets
 from ..sources.inventory import capture_files, capture_inventory
@@ -26,6 +26,7 @@ from ..streaming.aggregates import (KeyedTable, merge_flows, merge_totals, read_
 from ..streaming.forward import forward_stream
 from ..streaming.reorder import run_in_order
 from ..streaming.state import stream_states, verdict_batch
+from ..streaming.tail import CaptureTail
 
 c = F.col
 _paths: dict = {}
@@ -34,6 +35,8 @@ _paths: dict = {}
 STREAM_FILE_ROWS = 25_000
 # One second in so many has its records damaged in the copies for pcap_permissive.
 DAMAGED = 61
+# Times that the captures of stream_tail grow.
+TAIL_STEPS = 3
 # Event time without a packet after which stream_flow_evictions evicts a flow.
 EVICT_DAYS = 2
 
@@ -137,6 +140,45 @@ def q_pcap_permissive(spark, sf):
     return kept.join(lost, "capture_id", "left").withColumn("lost_bytes", F.coalesce("lost_bytes", F.lit(0).cast("bigint")))
 
 
+def _grown(share: float, whole: bool):
+    """Copies of capture files grow to a share of the files' lengths, most of
+    them up to the middle of a record."""
+    def run(batches):
+        import os
+
+        import pandas as pd
+
+        for b in batches:
+            for path, target, length in zip(b["path"], b["target"], b["length"]):
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                at = os.path.getsize(target) if os.path.exists(target) else 0
+                end = length if whole else max(at, int(length * share))
+                with open(path.removeprefix("file:"), "rb") as f, open(target, "ab") as out:
+                    f.seek(at)
+                    out.write(f.read(end - at))
+            yield pd.DataFrame({"n": [len(b)]})
+    return run
+
+
+def q_stream_tail(spark, sf):
+    """``pcap_scan_split`` of captures that grow while a stream reads them in
+    epochs of a bounded size; the reader starts anew each time they grow."""
+    captures, log = scratch_path(spark, "captures-growing"), scratch_path(spark, "tail")
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    files = capture_files(spark, capture_folder(spark, sf, "single")).withColumn("target", F.concat(
+        F.lit(captures.removeprefix("file:") + "/"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)))
+    size = files.agg(F.sum("length")).first()[0] or 0
+    for k in range(1, TAIL_STEPS + 1):
+        files.mapInPandas(_grown(k / TAIL_STEPS, k == TAIL_STEPS), "n long").agg(F.sum("n")).collect()
+        tail = CaptureTail(spark, captures, log, max_bytes=max(1, size // (2 * TAIL_STEPS)), range_bytes=1 << 16)
+        tail.drain()
+        run_to_table(tail.stream(), out, mode="append", checkpoint=ckpt)
+    raw = spark.read.schema(RAW_PACKETS).option("recursiveFileLookup", "true").parquet(out)
+    return raw.select("capture_id", c("ts_sec").cast("bigint").alias("ts_sec"), c("ts_usec").cast("bigint").alias("ts_usec"),
+                      F.length("data").cast("bigint").alias("packet_bytes"),
+                      (F.count(F.lit(1)).over(Window.partitionBy("capture_id", "seq"))).cast("bigint").alias("of_this_seq"))
+
+
 def q_pcap_roundtrip(spark, sf):
     from .catalog import standard_rules
 
@@ -268,6 +310,7 @@ def queries():
         "pcap_permissive": q_pcap_permissive,
         "pcap_roundtrip": q_pcap_roundtrip,
         "stream_ingest": q_stream_ingest,
+        "stream_tail": q_stream_tail,
         "stream_verdicts": q_stream_verdicts,
         "stream_verdicts_shuffled": q_stream_verdicts_shuffled,
         "stream_forward": q_stream_forward,

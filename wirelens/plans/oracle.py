@@ -417,6 +417,9 @@ def oracle_sql() -> dict[str, str]:
         "pcap_scan_split": _q(
             "SELECT capture_id, CAST(ts_sec AS BIGINT) AS ts_sec, CAST(ts_usec AS BIGINT) AS ts_usec, "
             "CAST(packet_bytes AS BIGINT) AS packet_bytes, CAST(1 AS BIGINT) AS of_this_seq FROM pb"),
+        "stream_tail": _q(
+            "SELECT capture_id, CAST(ts_sec AS BIGINT) AS ts_sec, CAST(ts_usec AS BIGINT) AS ts_usec, "
+            "CAST(packet_bytes AS BIGINT) AS packet_bytes, CAST(1 AS BIGINT) AS of_this_seq FROM pb"),
         "pcap_permissive": _q(
             "SELECT capture_id, CAST(count(*) FILTER (WHERE ts_sec % 61 <> 7) AS BIGINT) AS packets, "
             "CAST(sum(packet_bytes) FILTER (WHERE ts_sec % 61 <> 7) AS BIGINT) AS bytes, "

@@ -52,9 +52,12 @@ ERRORS = "path string, capture_id string, offset long, length long, error string
 
 
 class Range:
-    """The bytes of one range of a file and the records that begin in it."""
+    """The bytes of one range of a file and the records that begin in it.
+    ``growing``: the file is being written, so a record that its end cuts off
+    is not there yet."""
 
-    def __init__(self, path: str, length: int, start: int, end: int):
+    def __init__(self, path: str, length: int, start: int, end: int, growing: bool = False):
+        self.growing = growing
         self.length, self.start, self.end = length, start, min(end, length)
         with _open(path) as f:
             self.bo, _major, _minor, self.snaplen, _link = read_global_header(f.read(GLOBAL_HEADER))
@@ -76,11 +79,18 @@ class Range:
             return f"record of {size} bytes, {self.snaplen} allowed"
         return "file ends within a record" if pos + RECORD_HEADER + size > self.length else None
 
+    def to_come(self, pos: int) -> bool:
+        """Whether a growing file holds no whole record at ``pos`` yet."""
+        return self.growing and (pos + RECORD_HEADER > self.length or 0 <= (size := self.header(pos)[2]) <= self.snaplen
+                                 and pos + RECORD_HEADER + size > self.length)
+
     def chain(self, pos: int) -> tuple[list[int], int, str | None]:
         """Positions of the records from ``pos`` on that begin in the range,
         where the next one would begin, and what is wrong there."""
         found = []
         while pos < self.end:
+            if self.to_come(pos):
+                return found, pos, None
             if pos + RECORD_HEADER > self.length:  # less than a header is left: the end
                 return found, self.length, None
             fault = self.fault(pos)
@@ -131,7 +141,8 @@ class Range:
         each = [b[at + k:at + k + n].astype(np.int64) for k in (range(3, -1, -1) if self.bo == "<" else range(4))]
         size = (each[0] << 24) | (each[1] << 16) | (each[2] << 8) | each[3]
         pos = np.arange(low, high, dtype=np.int64)
-        return pos[(size <= self.snaplen) & (pos + RECORD_HEADER + size <= self.length)].tolist()
+        fits = self.growing | (pos + RECORD_HEADER + size <= self.length)
+        return pos[(size <= self.snaplen) & fits].tolist()
 
     def stretches(self, entry: int):
         """Records and faults of the range in turn: (positions, None) or
@@ -155,6 +166,9 @@ class Range:
         ends it. ``ended`` keeps what is known of every position passed."""
         way = []
         while True:
+            if pos not in ended and pos < self.end and self.to_come(pos):
+                rest = ended[pos] = (pos, 0)
+                break
             if pos in ended or pos >= self.end or pos + RECORD_HEADER > self.length:
                 rest = ended.get(pos, (pos if pos >= self.end else self.length, 0))
                 break
@@ -177,6 +191,8 @@ class Range:
         """(exit, records) of the chains that may enter the range."""
         ended: dict = {}
         first = [GLOBAL_HEADER] if self.start == 0 else self.possible(self.start, self.start + RECORD_HEADER + self.snaplen)
+        if self.growing:  # its first range begins with a record, which may be to come
+            first.append(self.start)
         found = {p: self.follow(p, permissive, ended) for p in first}
         if permissive:
             p = self.recovered(self.start)
@@ -184,7 +200,7 @@ class Range:
         return {p: x for p, x in found.items() if x is not None}
 
 
-def _chains(permissive: bool):
+def _chains(permissive: bool, growing: bool = False):
     def run(batches):
         import pandas as pd
 
@@ -192,7 +208,7 @@ def _chains(permissive: bool):
             out = []
             for r in b.itertuples(index=False):
                 try:
-                    found = Range(r.path, r.length, r.start, r.end).entries(permissive)
+                    found = Range(r.path, r.length, r.start, r.end, growing).entries(permissive)
                 except CaptureError:
                     if not permissive:
                         raise
@@ -225,7 +241,7 @@ def _joined(permissive: bool):
     return run
 
 
-def _records(permissive: bool):
+def _records(permissive: bool, growing: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -234,7 +250,7 @@ def _records(permissive: bool):
         for b in batches:
             for c in b.to_pylist():
                 try:
-                    r = Range(c["path"], c["length"], c["start"], c["end"])
+                    r = Range(c["path"], c["length"], c["start"], c["end"], growing)
                 except CaptureError:
                     if not permissive:
                         raise
@@ -287,7 +303,8 @@ def root_of(path: str) -> str:
     return p if not p.endswith(".pcap") else os.path.dirname(p)
 
 
-def _ranges(spark: SparkSession, path: str, glob: str, range_bytes: int, capture_id: str | None) -> DataFrame:
+def captures_below(spark: SparkSession, path: str, glob: str = "*.pcap", capture_id: str | None = None) -> DataFrame:
+    """(path, length, capture_id, base: its first ``seq``) of every capture file."""
     from .inventory import capture_files
 
     root = root_of(path)
@@ -297,9 +314,13 @@ def _ranges(spark: SparkSession, path: str, glob: str, range_bytes: int, capture
         cap, base = capture_of(_local(p), root)
         return capture_id or cap, base
 
-    files = capture_files(spark, path, glob).withColumn("id", named("path"))
+    return capture_files(spark, path, glob).withColumn("id", named("path")).select("path", "length", "id.capture_id", "id.base")
+
+
+def _ranges(spark: SparkSession, path: str, glob: str, range_bytes: int, capture_id: str | None) -> DataFrame:
+    files = captures_below(spark, path, glob, capture_id)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    each = files.select("path", "id.capture_id", "id.base", "length", F.explode(starts).alias("start"))
+    each = files.select("path", "capture_id", "base", "length", F.explode(starts).alias("start"))
     return each.withColumn("end", F.col("start") + range_bytes)
 
 
