@@ -102,6 +102,14 @@ def test_damage_and_shrinking_fail(spark, tmpdir_path):
         CaptureTail(spark, os.path.join(folder, "x"), os.path.join(tmpdir_path, "log2")).advance()
 
 
+def test_record_up_to_the_end_of_the_file(spark, tmpdir_path):
+    """The epoch's bytes end within the last record: nothing is left for another."""
+    folder = os.path.join(tmpdir_path, "in")
+    append(os.path.join(folder, "a.pcap"), capture(1, 6))
+    tail = CaptureTail(spark, folder, os.path.join(tmpdir_path, "log"), max_bytes=10)
+    assert tail.drain() == 1 and rows(tail.read()) == rows(read_pcap(spark, folder))
+
+
 def test_nothing_there(spark, tmpdir_path):
     folder = os.path.join(tmpdir_path, "in")
     append(os.path.join(folder, "a.pcap"), b"")

@@ -45,7 +45,7 @@ def _advanced(range_bytes: int):
                 out.append((a.path, a.capture_id, seq, int(a.length), start, end, pos, seq, False))
             seq += int(r.n)
             pos = int(r.exit)
-        seen = int(a.length) if pos == a.pos else int(a.end)
+        seen = int(a.length) if pos == a.pos else max(pos, int(a.end))
         out.append((a.path, a.capture_id, seq, int(a.length), seen, int(a.end), pos, seq, True))
         return pd.DataFrame(out, columns=columns)
     return run
