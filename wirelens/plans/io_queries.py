@@ -31,8 +31,11 @@ from ..streaming.tail import CaptureTail
 c = F.col
 _paths: dict = {}
 
-# Rows per file of the streaming drop folder (one file per micro-batch).
+# Rows per file of the streaming drop folder.
 STREAM_FILE_ROWS = 25_000
+# A micro-batch takes so many packets at most, and a quarter of the files at
+# most (``stream_batch_files``).
+STREAM_BATCH_ROWS = 1_000_000
 # One second in so many has its records damaged in the copies for pcap_permissive.
 DAMAGED = 61
 # Times that the captures of stream_tail grow.
@@ -80,6 +83,22 @@ def stream_folder(spark: SparkSession, sf: str, shuffled: bool = False) -> str:
     return _once(spark, sf, f"stream-drop-{shuffled}", build)
 
 
+def stream_batch_files(spark: SparkSession, path: str) -> int:
+    """Files of a drop folder that a micro-batch admits. An epoch has fixed
+    costs (commits of the state store, its jobs), so a stream of many small
+    files takes several at once, up to ``STREAM_BATCH_ROWS`` packets."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(at))
+    return max(1, min(n // 4, STREAM_BATCH_ROWS // STREAM_FILE_ROWS))
+
+
+def stream_packets(spark: SparkSession, sf: str, shuffled: bool = False) -> DataFrame:
+    """``stream_folder`` as a stream of raw packets."""
+    path = stream_folder(spark, sf, shuffled)
+    return read_packet_table_stream(spark, path, max_files=stream_batch_files(spark, path))
+
+
 def q_pcap_scan(spark, sf):
     raw = read_pcap(spark, capture_folder(spark, sf, "daily"))
     h = packet_hosts(raw)
@@ -204,7 +223,7 @@ def q_stream_ingest(spark, sf):
 
 
 def _packet_stream(spark, sf) -> DataFrame:
-    return packet_hosts(read_packet_table_stream(spark, stream_folder(spark, sf), max_files=1))
+    return packet_hosts(stream_packets(spark, sf))
 
 
 def q_stream_verdicts(spark, sf):
@@ -220,7 +239,7 @@ def q_stream_verdicts_shuffled(spark, sf):
     """``stream_verdicts`` of packets that come out of order over micro-batches."""
     from .catalog import standard_rules
 
-    stream = packet_hosts(read_packet_table_stream(spark, stream_folder(spark, sf, shuffled=True), max_files=1))
+    stream = packet_hosts(stream_packets(spark, sf, shuffled=True))
     out = run_in_order(stream, standard_rules(spark))
     return spark.read.parquet(out).select(c("seq").cast("bigint").alias("seq"), "is_parsed", "app_state", "host_state",
                                           c("flow_packets").cast("bigint").alias("flow_packets"),
@@ -232,7 +251,7 @@ def q_stream_forward(spark, sf):
     read back with each packet's place in its capture."""
     from .catalog import standard_rules
 
-    stream = read_packet_table_stream(spark, stream_folder(spark, sf, shuffled=True), max_files=1)
+    stream = stream_packets(spark, sf, shuffled=True)
     place = F.row_number().over(Window.partitionBy("dropped", "capture_id").orderBy("epoch", "seq"))
     parts = [log.read() for log in forward_stream(stream, standard_rules(spark))]
     both = [p.withColumn("dropped", F.lit(i == 1)) for i, p in enumerate(parts) if p is not None]

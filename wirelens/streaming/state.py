@@ -2,12 +2,11 @@
 
 The state of a flow (class, last host, packet and byte counts) lives in the
 streaming state store (RocksDB), keyed by the flow key, and is updated by
-``transformWithStateInPandas``. Inside one micro-batch the handler applies
-the same closed form as the batch path, vectorised over the flow's rows
-(sorted by ``seq``) with the stored state as carry-in, so there is no
-per-packet Python loop. Packets of a flow must reach the stream in ``seq``
-order across micro-batches (files dropped in time order); within a batch
-any order is fine.
+``transformWithState``. Inside one micro-batch the handler steps through the
+flow's rows (sorted by ``seq``) with the stored state as carry-in; the state is
+read and written once a flow. Packets of a flow must reach the stream in
+``seq`` order across micro-batches (files dropped in time order); within a
+batch any order is fine.
 
 Unparsed packets pass by the state and come out with it null, as in batch.
 Rules are applied after the stateful step to each micro-batch, written once,
@@ -17,7 +16,7 @@ kind serves a stream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -49,56 +48,45 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("packet_bytes", T.LongType(), True),
 ])
 
+OUTPUT_ROW = Row(*OUTPUT_SCHEMA.names)
 INPUT_COLUMNS = [*FLOW_KEY, "seq", "named", "host", "port_app", "packet_bytes"]
 
 
-def _is_str(x) -> bool:
-    return isinstance(x, str)
+def steps(rows, port_app, state):
+    """One flow's rows ``(seq, named, host, packet_bytes)`` in ascending
+    ``seq`` + stored state -> (app_state, host_state, flow_packets, flow_bytes)
+    of each; the last one is the state that is stored. ``state`` is such a
+    tuple or None for a new flow."""
+    app, host, n, size = state if state is not None else (None, None, 0, 0)
+    open_ = app is None or app in OVERWRITABLE
+    for _seq, named, own, packet_bytes in rows:
+        if open_:
+            if named is not None:
+                app, open_ = named, False
+            else:
+                app, open_ = port_app, port_app is None or port_app in OVERWRITABLE
+        host = host if own is None else own
+        n += 1
+        size += packet_bytes
+        yield app, host, n, size
 
 
 def advance(pdf, state):
-    """One flow's rows (sorted by seq) + stored state -> (states, new state).
-
-    ``state`` is ``(app, host, packets, bytes)`` or None for a new flow.
-    Returns the per-row (app_state, host_state, flow_packets, flow_bytes)
-    columns and the state after the last row.
-    """
-    import numpy as np
+    """``steps`` of a flow's rows (sorted by seq) as a table, and the state
+    after the last row."""
     import pandas as pd
 
-    n = len(pdf)
-    app0, host0, n0, b0 = state if state is not None else (None, None, 0, 0)
-    named = pdf["named"].map(lambda x: x if _is_str(x) else None)
-    port_app = pdf["port_app"].iloc[0]
-    if n0 > 0 and app0 is not None and app0 not in OVERWRITABLE:
-        apps = np.full(n, app0, dtype=object)               # decided earlier
-    elif port_app == "DNS":
-        first = named.iloc[0]                                 # first packet decides
-        apps = np.full(n, first if first is not None else "DNS", dtype=object)
-    else:
-        hit = named.notna().to_numpy()
-        if hit.any():
-            i = int(np.argmax(hit))
-            apps = np.where(np.arange(n) >= i, named.iloc[i], port_app).astype(object)
-        else:
-            apps = np.full(n, port_app, dtype=object)
-    hosts = pdf["host"].map(lambda x: x if _is_str(x) else None)
-    host_state = hosts.ffill()
-    if host0 is not None:
-        host_state = host_state.where(host_state.notna(), host0)
-    host_state = host_state.astype(object).where(host_state.notna(), None)
-    counts = n0 + np.arange(1, n + 1, dtype=np.int64)
-    byts = b0 + pdf["packet_bytes"].astype("int64").cumsum().to_numpy()
-    last_host = host_state.iloc[-1]
-    new_state = (str(apps[-1]), last_host if _is_str(last_host) else None,
-                 int(counts[-1]), int(byts[-1]))
-    out = pd.DataFrame({"app_state": apps, "host_state": host_state.to_numpy(),
-                        "flow_packets": counts, "flow_bytes": byts})
-    return out, new_state
+    text = [[x if isinstance(x, str) else None for x in pdf[c]] for c in ("named", "host")]
+    rows = zip(pdf["seq"].tolist(), *text, pdf["packet_bytes"].tolist())
+    out = list(steps(rows, pdf["port_app"].iloc[0], state))
+    columns = zip(["app_state", "host_state", "flow_packets", "flow_bytes"], zip(*out))
+    return pd.DataFrame({k: pd.Series(v, dtype="int64" if k.startswith("flow") else object) for k, v in columns}), out[-1]
 
 
 class FlowStateProcessor(StatefulProcessor):
-    """Per-flow state machine of the reference, batch-vectorised."""
+    """Per-flow state machine of the reference. Rows come and go as they are:
+    most flows have a few packets in a micro-batch, of which a table each
+    would cost far more than the steps themselves."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -107,20 +95,17 @@ class FlowStateProcessor(StatefulProcessor):
         self.state = handle.getValueState("flow", STATE_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        st = self.state.get() if self.state.exists() else None
+        port_app, mine = None, []
+        for r in rows:
+            port_app = r.port_app  # one for all rows of a flow
+            mine.append((r.seq, r.named, r.host, r.packet_bytes))
+        mine.sort(key=lambda r: (r[0] is None, r[0]))
+        st = self.state.get()
         if st is not None:
             st = (st[0], st[1], int(st[2] or 0), int(st[3] or 0))
-        out, new_state = advance(pdf, st)
-        self.state.update(new_state)
-        res = pdf[FLOW_KEY + ["seq"]].copy()
-        for col in out.columns:
-            res[col] = out[col].to_numpy()
-        res["packet_bytes"] = pdf["packet_bytes"].to_numpy()
-        yield res
+        for (seq, _named, _host, packet_bytes), now in zip(mine, steps(mine, port_app, st)):
+            yield OUTPUT_ROW(*key, seq, *now, packet_bytes)
+        self.state.update(now)
 
     def close(self):
         pass
@@ -129,7 +114,7 @@ class FlowStateProcessor(StatefulProcessor):
 def stream_flow_state(hosts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming ``app_state`` / ``host_state`` / counters for parsed packets."""
     src = hosts.filter(F.col("is_parsed")).select(*INPUT_COLUMNS)
-    return src.groupBy(*FLOW_KEY).transformWithStateInPandas(
+    return src.groupBy(*FLOW_KEY).transformWithState(
         statefulProcessor=FlowStateProcessor(ttl_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
