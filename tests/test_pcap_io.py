@@ -124,3 +124,24 @@ def test_equal_names_in_folders_are_captures_of_their_own(spark, tmpdir_path):
     register(spark)
     for df in (read_pcap(spark, tmpdir_path), spark.read.format("pcap").load(tmpdir_path)):
         assert sorted((r.capture_id, r.seq) for r in df.collect()) == [("a/x", 0), ("a/x", 1), ("b/x", 0), ("b/x", 1), ("b/x", 2)]
+
+
+def test_small_ranges_share_tasks_and_give_a_row_each(spark, tmpdir_path):
+    """Ranges far smaller than ``TASK_BYTES`` are read by few tasks, and the
+    chains of a range, however many, are one row."""
+    from wirelens.sources import ranges
+
+    p = os.path.join(tmpdir_path, "small", "a.pcap")
+    os.makedirs(os.path.dirname(p))
+    body = b"".join(struct.pack("<IIiI", 100 + i, 5, 60, 60) + bytes(60) for i in range(3000))
+    with open(p, "wb") as f:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + body)
+    found = ranges._ranges(spark, p, "*.pcap", 1 << 10, None)
+    n = found.count()
+    cores = spark.sparkContext.defaultParallelism
+    assert n > 200 and ranges.tasks_of(found) == cores
+    chains = found.repartition(cores).mapInPandas(ranges._chains(False), ranges.CHAINS).collect()
+    assert len(chains) == n and max(len(r.entries) for r in chains) > 10
+    df = read_pcap(spark, p, range_bytes=1 << 10)
+    assert df.rdd.getNumPartitions() == cores
+    assert [(r.seq, r.ts_sec) for r in df.orderBy("seq").collect()] == [(i, 100 + i) for i in range(3000)]

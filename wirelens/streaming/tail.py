@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..schemas import RAW_PACKETS
 from ..session import scratch_table
 from ..sources.pcap import GLOBAL_HEADER, RECORD_HEADER, CaptureError
-from ..sources.ranges import CHAINS, CHUNKS, RANGE_BYTES, _chains, _records, captures_below
+from ..sources.ranges import CHAINS, CHUNKS, RANGE_BYTES, _chains, _records, captures_below, chain_from, tasks_of
 from .aggregates import EpochLog
 
 POSITIONS = "path string, pos long, seq long, seen long, tried long"
@@ -32,19 +32,19 @@ def _advanced(range_bytes: int):
         if admitted.empty:
             return pd.DataFrame(columns=columns)
         a = admitted.iloc[0]
-        by = {(r.start, r.entry): r for r in chains.itertuples(index=False)}
+        by = {r.start: r for r in chains.itertuples(index=False)}
         out, pos, seq = [], int(a.pos), int(a.seq)
         for start in range(pos, int(a.end), range_bytes):
             end = min(start + range_bytes, int(a.end))
             if not start <= pos < end or pos + RECORD_HEADER > a.length:
                 continue  # a record spans the range, or the last complete one lies before it
-            r = by.get((start, pos))
-            if r is None:
+            found = chain_from(by[start], pos) if start in by else None
+            if found is None:
                 raise CaptureError(f"{a.path}: no record begins at byte {pos}")
-            if r.n:
+            if found[1]:
                 out.append((a.path, a.capture_id, seq, int(a.length), start, end, pos, seq, False))
-            seq += int(r.n)
-            pos = int(r.exit)
+            pos = found[0]
+            seq += found[1]
         seen = int(a.length) if pos == a.pos else max(pos, int(a.end))
         out.append((a.path, a.capture_id, seq, int(a.length), seen, int(a.end), pos, seq, True))
         return pd.DataFrame(out, columns=columns)
@@ -103,7 +103,7 @@ class CaptureTail(EpochLog):
         ranges = (admitted.select("path", "capture_id", F.col("seq").alias("base"), "length", F.explode(starts).alias("start"), F.col("end").alias("__end"))
                   .select("path", "capture_id", "base", "length", "start",
                           F.least("__end", F.col("start") + self.range_bytes).alias("end")))
-        chains = ranges.repartition(max(1, ranges.count())).mapInPandas(_chains(False, growing=True), CHAINS)
+        chains = ranges.repartition(tasks_of(ranges)).mapInPandas(_chains(False, growing=True), CHAINS)
         return admitted.groupBy("path").cogroup(chains.groupBy("path")).applyInPandas(_advanced(self.range_bytes), PLAN)
 
     def advance(self) -> bool:
@@ -134,7 +134,7 @@ class CaptureTail(EpochLog):
             return
         chunks = self.spark.read.schema(PLAN).parquet(self.manifest(epoch)["plan"]).filter("NOT last").drop("last")
         staged, _ = self._fs(f"_landing/epoch-{epoch}")
-        (chunks.repartition(max(1, chunks.count())).mapInArrow(_records(False, growing=True), RAW_PACKETS)
+        (chunks.repartition(tasks_of(chunks)).mapInArrow(_records(False, growing=True), RAW_PACKETS)
          .write.mode("overwrite").parquet(f"{self.path}/_landing/epoch-{epoch}"))
         fs.mkdirs(at.getParent())
         if not fs.rename(staged, at):
