@@ -85,10 +85,20 @@ def stream_flow_evictions(hosts: DataFrame, idle: str, delay: str = "0 seconds")
                         c("live.start").alias("first_ts"), "last_ts")
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a new query's state: one a core, and no more than the
+    session's shuffles have. An epoch commits every partition's store and
+    starts a worker for each, whatever it holds, so a partition more than the
+    cores can run at once costs time in all epochs and saves none."""
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(shuffles, max(1, spark.sparkContext.defaultParallelism))
+
+
 def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "complete",
                  checkpoint: str | None = None, trigger: str = "availableNow",
                  per_batch: Callable[[DataFrame], DataFrame] | None = None,
-                 into: Callable[[DataFrame, int], None] | None = None) -> str:
+                 into: Callable[[DataFrame, int], None] | None = None,
+                 partitions: int | None = None) -> str:
     """Run a streaming query until the available input is processed and
     keep its result as a Parquet table.
 
@@ -99,7 +109,12 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     ``complete`` mode overwrites the table with each batch's full result;
     ``append`` mode appends each batch's new rows. With ``per_batch`` a batch
     is written once and what the function makes of it is the result; with
-    ``into`` that goes to a sink of its own (``KeyedTable.upsert``).
+    ``into`` that goes to a sink of its own (``KeyedTable.upsert``). Both work
+    on the written batch in the session of ``df``, so adaptive execution, which
+    Spark turns off in a stream's own session, fits their jobs to its size.
+
+    ``partitions`` (``state_partitions`` by default) is the number of the
+    state's partitions; a checkpoint keeps the one it began with.
     """
     spark = df.sparkSession
     out_path = out_path or scratch_path(spark, "stream-out")
@@ -108,7 +123,7 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
     def sink(batch: DataFrame, epoch: int) -> None:
         # idempotent per epoch, so a retried batch never duplicates rows
         if per_batch is not None:  # what reads it twice must not run the stateful step twice
-            batch = per_batch(scratch_table(batch, "micro-batch"))
+            batch = per_batch(scratch_table(batch, "micro-batch", spark))
         if into is not None:
             into(batch, epoch)
         elif mode == "complete":
@@ -118,19 +133,26 @@ def run_to_table(df: DataFrame, out_path: str | None = None, mode: str = "comple
 
     w = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint))
+    # read when the query starts, from then on its own
+    settings = {"spark.sql.shuffle.partitions": str(partitions or state_partitions(spark))}
     if trigger == "availableNow":
         # a catch-up run ends when the input is consumed, however long that takes;
         # with state TTL the engine would otherwise keep running cleanup batches
-        key = "spark.sql.streaming.noDataMicroBatches.enabled"
-        before = spark.conf.get(key, "true")
-        spark.conf.set(key, "false")
-        try:
-            q = w.trigger(availableNow=True).start()
-        finally:
-            spark.conf.set(key, before)
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+        w = w.trigger(availableNow=True)
+    else:
+        w = w.trigger(processingTime="0 seconds")
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        q = w.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if trigger == "availableNow":
         q.awaitTermination()
     else:
-        q = w.trigger(processingTime="0 seconds").start()
         try:
             q.processAllAvailable()
         finally:
