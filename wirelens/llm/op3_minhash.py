@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import components, cut, drop, tidy
+from wirelens.llm.common import components, cut, drop, joined_components, tidy
 from wirelens.llm.tokens import P1, P2, mix, shingles, word_hashes
 
 BINS, ROWS = 128, 4
@@ -193,11 +193,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
              .select("a", "b").distinct())
     tested = cut(pairs, "stars")
     links = cut(confirmed(tested, items, percent), "links")
+
     def told(left):
         now = left.join(comp, F.col("rep") == F.col("id"), "left")
         return _mixed(now.select(*left.columns, F.coalesce("component", "rep").alias("component")))
 
+    def linked(comp, fresh):
+        """The components with what is confirmed of ``fresh`` pairs, which lie across them."""
+        if fresh.isEmpty():
+            return comp
+        links = cut(confirmed(fresh, items, percent), "links")
+        now = cut(joined_components(comp, links), "components")
+        drop(links, comp)
+        tidy(d.sparkSession)
+        return now
+
     comp = cut(components(links), "components")
+    drop(links)
     mixed = left = cut(told(met.select("bucket", "rep", "n")), "mixed")
     tidy(d.sparkSession)
     left = left.join(shared_counts(left, items), "rep").filter(F.col("s") * 100 >= F.col("n") * percent).drop("s")
@@ -206,16 +218,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     counts, fresh = rare_pairs(left, items, percent)
     fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
     tested = tested.union(fresh)
-    before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
-    drop(before, comp)
-    tidy(d.sparkSession)
+    comp = linked(comp, fresh)
     # pairs of no rare shingle in common are left: only the others count
     left = left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s")
     # a pair is made in the first bucket that both are in, and only there
     left = cut(left.join(left.groupBy("rep").agg(F.collect_set("bucket").alias("all")), "rep"), "left")
     centres = 4
     while True:
-        comp = cut(components(links), "components")
         order = Window.partitionBy("bucket").orderBy("rep", "n")
         ranked = cut(told(left).withColumn("rank", F.row_number().over(order)), "ranked")
         if ranked.isEmpty():
@@ -229,9 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
                   .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
         fresh = cut(across.join(tested, ["a", "b"], "left_anti"), "fresh")
         tested = tested.union(fresh)
-        before, links = links, cut(links.union(confirmed(fresh, items, percent)), "links")
-        drop(before, comp)
-        tidy(d.sparkSession)
+        comp = linked(comp, fresh)
         # all pairs of the centres are tested, or made in another bucket; the others go on without them
         left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s", "all")
         centres *= 4
@@ -241,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     again = (owner.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id")
              .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id"))
     if not again.isEmpty():
-        comp = components(links.union(owner.join(again, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+        comp = joined_components(comp, owner.filter("rep IS NOT NULL").join(again, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     out = (owner.join(comp, F.col("rep") == F.col("id"), "left")
            .select("doc_id", F.col("n").alias("n_shingles"),
                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
