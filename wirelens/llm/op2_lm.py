@@ -42,8 +42,9 @@ LEAST_BIGRAM = 1
 MOST_BYTES = 64 << 20
 #: Filter bits per inserted number, probes per number, smoothing weight.
 BITS, PROBES, MU = 10, 7, 4.0
-#: Tokens that a shard aims at; characters of a part.
-SHARD_TOKENS, SLICE = 1_000_000, 6_000_000
+#: Tokens that a shard aims at; characters of a part; documents that go to
+#: Python at once.
+SHARD_TOKENS, SLICE, ROWS = 1_000_000, 6_000_000, 1024
 #: Bytes of a gram in its shard's rows: words (kind 0) whole, bigrams (1) hashed.
 KEYS = ("<u8", "<u4")
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -94,11 +95,30 @@ def _unpacked(part) -> tuple[list, np.ndarray, list[str]]:
     return ids, np.array(held_out, bool), texts
 
 
+def _squeezed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """A row's keys, in order, and their training counts. The steps between
+    keys are far smaller than the keys, so their upper bytes, put together,
+    pack well; the lower ones are noise."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype(keys.dtype)
+    columns, half = steps.view(np.uint8).reshape(len(keys), -1).T, keys.itemsize // 2
+    upper, counts = (zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (columns[half:], times.view(np.uint8).reshape(len(keys), -1).T))
+    return np.array([len(keys), len(upper)], "<u4").tobytes() + columns[:half].tobytes() + upper + counts
+
+
+def _spread(data: bytes, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of ``_squeezed``."""
+    n, size = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8 + n * (np.dtype(dtype).itemsize // 2)
+    upper, counts = (zstandard.ZstdDecompressor().decompress(x) for x in (data[at:at + size], data[at + size:]))
+    steps, times = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(-1, n).T) for x in (data[8:at] + upper, counts))
+    return steps.view(dtype)[:, 0].cumsum(dtype=dtype), times.view("<u4")[:, 0]
+
+
 def parts(docs: DataFrame, shards: int) -> DataFrame:
     """The rows (kind -1: part, doc_ids as text, held_out, and the texts packed
     by _packed_texts, since they are kept and moved once more) and, for each
-    part, kind and shard, the distinct grams (keys, in order), their training
-    counts (times) and the sum of these (tokens)."""
+    part, kind and shard, the distinct grams in order with their training
+    counts (grams, by _squeezed) and the sum of these (tokens)."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     bits = np.uint64(shards.bit_length() - 1)
 
@@ -115,8 +135,8 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
             ends = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(ends)):
                 k, c = keys[ends[s]:ends[s + 1]], n[ends[s]:ends[s + 1]]
-                rows.append((kind, int(s), part, k.tobytes(), c.tobytes(), int(c.sum(dtype=np.int64)), None, None, None, None))
-        return pd.DataFrame(rows, columns=["kind", "shard", "part", "keys", "times", "tokens", "doc_ids", "held_out", "sizes", "texts"])
+                rows.append((kind, int(s), part, _squeezed(k, c), int(c.sum(dtype=np.int64)), None, None, None, None))
+        return pd.DataFrame(rows, columns=["kind", "shard", "part", "grams", "tokens", "doc_ids", "held_out", "sizes", "texts"])
 
     def deal(batches):
         part, size, texts, held_out = TaskContext.get().partitionId() << 32, 0, [], []
@@ -128,7 +148,7 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
                 end = min(len(pdf), int(np.searchsorted(sizes, SLICE)) + 1)
                 rows = pdf.iloc[at:end]
                 out = rows["held_out"].tolist()
-                yield pd.DataFrame({"kind": [-1], "shard": [0], "part": [part], "keys": [b""], "times": [b""], "tokens": [0],
+                yield pd.DataFrame({"kind": [-1], "shard": [0], "part": [part], "grams": [b""], "tokens": [0],
                                     "doc_ids": [rows["doc_id"].tolist()], "held_out": [out], **_packed_texts(rows["text"])})
                 texts += list(rows["text"])
                 held_out.append(rows["held_out"].to_numpy(bool))
@@ -140,7 +160,7 @@ def parts(docs: DataFrame, shards: int) -> DataFrame:
         if texts:
             yield packed(part, texts, np.concatenate(held_out))
 
-    schema = "kind int, shard long, part long, keys binary, times binary, tokens long, doc_ids array<string>, held_out array<boolean>, sizes binary, texts binary"
+    schema = "kind int, shard long, part long, grams binary, tokens long, doc_ids array<string>, held_out array<boolean>, sizes binary, texts binary"
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), "text").mapInPandas(deal, schema)
 
 
@@ -182,9 +202,10 @@ def answers(grams: DataFrame) -> DataFrame:
     the exact counts; kinds sums up to the number of words ever seen."""
     def answer(key, pdf):
         kind = int(key[0])
-        sizes = pdf["keys"].str.len().to_numpy() // np.dtype(KEYS[kind]).itemsize
-        u, at = np.unique(np.frombuffer(b"".join(pdf["keys"]), KEYS[kind]), return_inverse=True)
-        c = np.bincount(at, np.frombuffer(b"".join(pdf["times"]), "<u4"), len(u)).astype(np.int64)
+        keys, times = zip(*(_spread(x, KEYS[kind]) for x in pdf["grams"]))
+        sizes = np.array([len(k) for k in keys], np.int64)
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        c = np.bincount(at, np.concatenate(times), len(u)).astype(np.int64)
         level = np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.uint8)
         kept = c >= (LEAST_BIGRAM if kind else 1)
         found = probed(u, *segment(u[kept], level[kept]))[at]
@@ -212,9 +233,9 @@ def scores(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     chars, rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
     # a token has five characters or so, and two at least; a gram of count c adds at most c numbers
     need = max(chars // 5 // SHARD_TOKENS, (chars // 2 + rows) * BITS // 8 // most_bytes)
-    dealt = cut(parts(docs, 1 << need.bit_length()), "parts")
-    grams, texts = dealt.filter("kind >= 0").select("kind", "shard", "part", "keys", "times"), dealt.filter("kind < 0")
-    told = cut(answers(grams), "answers")
+    dealt = cut(parts(docs, 1 << need.bit_length()), "parts", ROWS)
+    grams, texts = dealt.filter("kind >= 0").select("kind", "shard", "part", "grams"), dealt.filter("kind < 0")
+    told = cut(answers(grams), "answers", ROWS)
     tidy(docs.sparkSession)
     total = dealt.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     kinds = told.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
