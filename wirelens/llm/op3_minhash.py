@@ -50,6 +50,8 @@ EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 PERCENT = 80
 #: A shingle in no more sets than this is rare: its pairs are made directly.
 RARE = 8
+#: Bits of an id in the marks of ``marked``, and most bits in all, by their logarithm.
+MARK_BITS, MOST_MARKS = 16, 26
 
 
 def _walks(steps: int) -> np.ndarray:
@@ -119,6 +121,20 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("rep", "again", "text").mapInPandas(make, "rep long, again boolean, items array<long>")
 
 
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is one of ``wanted`` (a table that is
+    read twice), and few others: by one hash in a broadcast bitmap of bounded
+    size, so that the texts of the others aren't moved to an exact join. The
+    more ids there are beyond that size, the fewer rows it spares."""
+    bits = 1 << min(MOST_MARKS, max(10, (MARK_BITS * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    marks = (wanted.select(at.alias("__at")).groupBy(F.expr("shiftright(__at, 6)").alias("__word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(__at & 63 AS int)))").alias("__bits")))
+    own = docs.withColumn("__at", at).withColumn("__word", F.expr("shiftright(__at, 6)"))
+    return (own.join(F.broadcast(marks), "__word").filter("shiftright(__bits, cast(__at & 63 AS int)) & 1 = 1")
+            .select(*docs.columns))
+
+
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a = items.select(F.col("rep").alias("a"), F.col("items").alias("x"))
@@ -128,11 +144,11 @@ def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
 
 
-def shared_counts(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """rep, s: how many of the set of each ``rep`` of ``rows`` also lie in
-    another set. Its intersection with any of them is no larger. (A rep of
-    several sets has the largest such number.)"""
-    own = items.join(rows.select("rep").distinct(), "rep").select("rep", "items", F.xxhash64("items").alias("set"))
+def shared_counts(items: DataFrame) -> DataFrame:
+    """rep, s: how many of the set of each ``rep`` also lie in another set.
+    Its intersection with any of them is no larger. (A rep of several sets has
+    the largest such number.)"""
+    own = items.select("rep", "items", F.xxhash64("items").alias("set"))
     alone = (own.select("rep", "set", F.explode("items").alias("h")).groupBy("h")
              .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rep", "set")).alias("of")).filter("k = 1"))
     alone = alone.groupBy("of.rep", "of.set").agg(F.count(F.lit(1)).alias("u"))
@@ -180,9 +196,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
                .select("rep", "n", F.explode("bands").alias("bucket")))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low")).filter("k > 1 AND low IS NOT NULL")
     met = cut(members.join(shared, "bucket").select("bucket", "rep", "n", "low"), "buckets")
+    # from here on without the bands, most of the table
+    slim = cut(sig.drop("bands"), "signatures")
+    drop(sig)
+    sig, some = slim, slim.filter("n > 0 AND doc_id IS NOT NULL")
     times = some.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again"))
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct().join(times, "doc_id").hint("shuffle_hash")
-    every = cut(sets(d.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "again", "text"), words), "sets")
+    wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct().join(times, "doc_id"), "wanted")
+    every = cut(sets(marked(d, wanted).join(wanted.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "again", "text"), words), "sets")
     # the bounds count sets: rows that repeat an id and its set are one
     twice = cut(every.filter("again").select("rep", "items").distinct(), "repeated-sets")
     items = every.filter("NOT again").select("rep", "items").union(twice)
@@ -211,10 +231,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     comp = cut(components(links), "components")
     drop(links)
     mixed = left = cut(told(met.select("bucket", "rep", "n")), "mixed")
+    # what follows reads the sets again and again: first those of the mixed buckets alone, then of what is left of these
+    some_items = cut(items.join(left.select("rep").distinct(), "rep").select("rep", "items"), "mixed-sets")
+    drop(every, twice)
     tidy(d.sparkSession)
-    left = left.join(shared_counts(left, items), "rep").filter(F.col("s") * 100 >= F.col("n") * percent).drop("s")
+    left = left.join(shared_counts(some_items), "rep").filter(F.col("s") * 100 >= F.col("n") * percent).drop("s")
     left = cut(_mixed(left), "mixed")
-    drop(mixed)
+    items = cut(some_items.join(left.select("rep").distinct(), "rep").select("rep", "items"), "left-sets")
+    drop(mixed, some_items)
     counts, fresh = rare_pairs(left, items, percent)
     fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
     tested = tested.union(fresh)
