@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.apps import APP_NAMES, label_of
 from ..functions.ip import ip_parse, ip_parse_error
 from ..schemas import RULES
-from ..session import scratch_table
+from ..session import scratch_path, scratch_table
 from .substrings import substring_matches
 
 
@@ -149,24 +149,77 @@ def domain_hits(hosts: DataFrame, rules: DataFrame, per_capture: bool = True) ->
     in each capture; ``__hcap`` is null if no rule is of a single capture.
 
     ``hosts`` has ``capture_id`` and ``host``, in any number of rows."""
-    dr = rules.filter(F.col("rule_type") == "domain").select(
-        F.col("capture_id").alias("__rcap"), F.col("domain").alias("__dom"))
+    return _hits_among(_distinct_hosts(hosts, per_capture), rules)
+
+
+def _distinct_hosts(hosts: DataFrame, per_capture: bool) -> DataFrame:
     cap = F.col("capture_id") if per_capture else F.lit(None).cast("string")
     # no filter here: pushed below the distinct it would compute every host twice
-    texts = hosts.select(cap.alias("__hcap"), F.lower("host").alias("__h")).distinct()
+    return hosts.select(cap.alias("__hcap"), F.lower("host").alias("__h")).distinct()
+
+
+def _hits_among(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    dr = rules.filter(F.col("rule_type") == "domain").select(
+        F.col("capture_id").alias("__rcap"), F.col("domain").alias("__dom"))
     m = substring_matches(texts, "__h", dr, "__dom")
     return (m.filter(F.col("__rcap").isNull() | (F.col("__rcap") == F.col("__hcap")))
             .select("__hcap", "__h").distinct())
 
 
-def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str, hosts: DataFrame | None, kinds: dict) -> DataFrame:
+class KnownHosts:
+    """What the micro-batches of a stream have found out about its rules, so
+    that the next ones need not: the kinds of rules, and of every host whether
+    a domain rule hits it. A host is tried on the rules once. What is known
+    lies in the shared folder and grows with the distinct hosts; each row holds
+    by itself, so a micro-batch that is run again does no harm."""
+
+    SCHEMA = "__hcap string, __h string, __spread bigint"
+
+    def __init__(self, rules: DataFrame):
+        self.rules, self.path, self._found = rules, None, None
+
+    def kinds(self) -> dict[tuple[str, bool], list[str]]:
+        if self._found is None:
+            self._found = _kinds(self.rules)
+        return self._found
+
+    def hits(self, hosts: DataFrame, per_capture: bool) -> DataFrame:
+        """``domain_hits`` of all hosts so far, those of ``hosts`` among them."""
+        spark = hosts.sparkSession
+        fresh = _distinct_hosts(hosts, per_capture)
+        if self.path is not None:
+            known = self._read(spark).select(F.col("__hcap").alias("__kcap"), F.col("__h").alias("__k"))
+            same = F.col("__hcap").eqNullSafe(F.col("__kcap")) & F.col("__h").eqNullSafe(F.col("__k"))
+            fresh = fresh.join(known, same, "left_anti")
+        fresh = scratch_table(fresh, "fresh-hosts")
+        if self.path is None or not fresh.isEmpty():
+            path = self.path or scratch_path(spark, "known-hosts")
+            hit = _hits_among(fresh, self.rules).select(
+                F.col("__hcap").alias("__kcap"), F.col("__h").alias("__k"), F.lit(0).cast("bigint").alias("__spread"))
+            same = F.col("__hcap").eqNullSafe(F.col("__kcap")) & (F.col("__h") == F.col("__k"))
+            fresh.join(hit, same, "left").select("__hcap", "__h", "__spread").write.mode("append").parquet(path)
+            if self.path is None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+            self.path = path
+        return self._read(spark).filter(F.col("__spread").isNotNull())
+
+    def _read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
+def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str, hosts: DataFrame | None, kinds: dict,
+                 known: KnownHosts | None = None) -> DataFrame:
     per = ("domain", True) in kinds
     if not per and ("domain", False) not in kinds:
         return df.withColumn("dom_hit", F.lit(False))
     if hosts is None:
         hosts = df.select("capture_id", F.col(host_col).alias("host"))
     # the number is written with the hits: a literal would be folded into a condition beside the join key
-    hit = scratch_table(domain_hits(hosts, rules, per).withColumn("__spread", F.lit(0).cast("bigint")), "domain-hits")
+    if known is not None:
+        hit = known.hits(hosts, per)
+    else:
+        hit = scratch_table(domain_hits(hosts, rules, per).withColumn("__spread", F.lit(0).cast("bigint")), "domain-hits")
     # what has no host hits nothing: it is spread by a number no hit has
     at = F.when(F.length(df[host_col]) > 0, F.lit(0)).otherwise(
         F.xxhash64(df["capture_id"], *[df[c] for c in ("seq", "first_seq") if c in df.columns]))
@@ -176,11 +229,12 @@ def _domain_flag(df: DataFrame, rules: DataFrame, host_col: str, hosts: DataFram
 
 def rule_flags(df: DataFrame, rules: DataFrame, ip_match: str = "low_endpoint",
                app_col: str = "app_state", host_col: str = "host_state",
-               hosts: DataFrame | None = None) -> DataFrame:
+               hosts: DataFrame | None = None, known: KnownHosts | None = None) -> DataFrame:
     """Adds ``ip_hit``, ``app_hit`` and ``dom_hit``.
 
     ``hosts`` (``capture_id``, ``host``) may name a table that holds every
-    host of ``df`` and is cheaper to read for the distinct ones.
+    host of ``df`` and is cheaper to read for the distinct ones. ``known`` has
+    what earlier calls with the same rules found out.
     """
     if ip_match == "low_endpoint":
         ip_cols = ["src_ip"]
@@ -188,15 +242,15 @@ def rule_flags(df: DataFrame, rules: DataFrame, ip_match: str = "low_endpoint",
         ip_cols = ["src_ip", "dst_ip"]
     else:
         raise ValueError(f"ip_match must be 'low_endpoint' or 'either', not {ip_match!r}")
-    kinds = _kinds(rules)
+    kinds = known.kinds() if known is not None else _kinds(rules)
     df = _ip_flags(df, rules, ip_cols, kinds)
     df = _app_flag(df, rules, app_col, "app_hit", kinds)
-    return _domain_flag(df, rules, host_col, hosts, kinds)
+    return _domain_flag(df, rules, host_col, hosts, kinds, known)
 
 
 def apply_rules(df: DataFrame, rules: DataFrame | None, ip_match: str = "low_endpoint",
                 app_col: str = "app_state", host_col: str = "host_state",
-                hosts: DataFrame | None = None) -> DataFrame:
+                hosts: DataFrame | None = None, known: KnownHosts | None = None) -> DataFrame:
     """Adds ``blocked`` and ``block_reason`` (``ip``/``app``/``domain``).
 
     ``rules`` must come from ``validate_rules``/``load_rules``.
@@ -206,7 +260,7 @@ def apply_rules(df: DataFrame, rules: DataFrame | None, ip_match: str = "low_end
     if rules is None:
         return df.withColumn("blocked", F.lit(False)).withColumn(
             "block_reason", F.lit(None).cast("string"))
-    df = rule_flags(df, rules, ip_match, app_col, host_col, hosts)
+    df = rule_flags(df, rules, ip_match, app_col, host_col, hosts, known)
     ip_hit, app_hit, dom_hit = F.col("ip_hit"), F.col("app_hit"), F.col("dom_hit")
     return (df.withColumn("blocked", ip_hit | app_hit | dom_hit)
             .withColumn("block_reason", F.when(ip_hit, F.lit("ip")).when(app_hit, F.lit("app"))

@@ -180,10 +180,11 @@ def packets(spark, sf_dir: str, layout: str = "single") -> DataFrame:
     path = _materialized.get(key)
     if path is None or not _exists(spark, path):
         path = scratch_path(spark, f"derived-packets-{layout}")
-        df = packets_from_events(load_events(spark, sf_dir), CAPTURE_LAYOUTS[layout]())
         # many files in seq ranges, like a capture rotated into many files,
-        # so scans split across all cores
+        # so scans split across all cores; events are dealt, not frames, which
+        # the sampling of the ranges would build once more
         n = max(1, spark.sparkContext.defaultParallelism)
-        df.repartitionByRange(n, "capture_id", "seq").write.mode("overwrite").parquet(path)
+        events = load_events(spark, sf_dir).withColumn("__capture", CAPTURE_LAYOUTS[layout]()).repartitionByRange(n, "__capture", "event_id")
+        packets_from_events(events, F.col("__capture")).write.mode("overwrite").parquet(path)
         _materialized[key] = path
     return spark.read.parquet(path)
