@@ -16,8 +16,8 @@ the full sets. Where a bucket still holds several components afterwards:
 - Of the others, pairs with a shingle in common that at most ``RARE`` of them
   hold are made from that shingle, and tested where the rare ones in common
   and the smaller number of other shingles allow a link.
-- The rest have only frequent shingles in common; the next 4, 16, 64, ...
-  classes of a bucket become centres for the pairs across components whose
+- The rest have only frequent shingles in common; the next 16, 256, 4096,
+  ... classes of a bucket become centres for the pairs across components whose
   numbers of frequent shingles allow a link, each centre leaving the bucket,
   until what is left of every bucket is one component. A pair of several
   buckets is made in the first of them.
@@ -50,6 +50,8 @@ EDGES = np.arange(BINS, dtype=np.uint64) << SHIFT
 PERCENT = 80
 #: A shingle in no more sets than this is rare: its pairs are made directly.
 RARE = 8
+#: Centres that a bucket has in the first round, and times as many in each next.
+FIRST_CENTRES, MORE_CENTRES = 16, 16
 #: Bits of an id in the marks of ``marked``, and most bits in all, by their logarithm.
 MARK_BITS, MOST_MARKS = 16, 26
 
@@ -190,10 +192,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     d = docs.select("doc_id", "text")
     sig = cut(signatures(d, words), "signatures")
     some = sig.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    # classes may share an id when ids repeat: one row for each id and set
-    members = (some.join(classes, ["n", "s1", "s2"]).filter("doc_id = rep").dropDuplicates(["n", "s1", "s2"])
-               .select("rep", "n", F.explode("bands").alias("bucket")))
+    # equal sets have equal bands; classes may share an id when ids repeat
+    classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low")).filter("k > 1 AND low IS NOT NULL")
     met = cut(members.join(shared, "bucket").select("bucket", "rep", "n", "low"), "buckets")
     # from here on without the bands, most of the table
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
 
     def told(left):
         now = left.join(comp, F.col("rep") == F.col("id"), "left")
-        return _mixed(now.select(*left.columns, F.coalesce("component", "rep").alias("component")))
+        return now.select(*left.columns, F.coalesce("component", "rep").alias("component"))
 
     def linked(comp, fresh):
         """The components with what is confirmed of ``fresh`` pairs, which lie across them."""
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
 
     comp = cut(components(links), "components")
     drop(links)
-    mixed = left = cut(told(met.select("bucket", "rep", "n")), "mixed")
+    mixed = left = cut(_mixed(told(met.select("bucket", "rep", "n"))), "mixed")
     # what follows reads the sets again and again: first those of the mixed buckets alone, then of what is left of these
     some_items = cut(items.join(left.select("rep").distinct(), "rep").select("rep", "items"), "mixed-sets")
     drop(every, twice)
@@ -247,10 +248,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
     left = left.join(counts, "rep").filter(F.col("s") * 100 >= F.col("n") * percent).select("bucket", "rep", "n", "s")
     # a pair is made in the first bucket that both are in, and only there
     left = cut(left.join(left.groupBy("rep").agg(F.collect_set("bucket").alias("all")), "rep"), "left")
-    centres = 4
+    # a round has a dozen jobs, whatever it holds: few rounds of more centres
+    centres = FIRST_CENTRES
     while True:
-        order = Window.partitionBy("bucket").orderBy("rep", "n")
-        ranked = cut(told(left).withColumn("rank", F.row_number().over(order)), "ranked")
+        # told, mixed and ranked by one exchange: most of what is left of a round is the start of its tasks
+        bucket = Window.partitionBy("bucket")
+        ranked = told(left).withColumns({
+            "rank": F.row_number().over(bucket.orderBy("rep", "n")), "lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)})
+        ranked = cut(ranked.filter("lo < hi").drop("lo", "hi"), "ranked")
         if ranked.isEmpty():
             break
         a = ranked.filter(F.col("rank") <= centres).select(
@@ -265,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = PERCENT) ->
         comp = linked(comp, fresh)
         # all pairs of the centres are tested, or made in another bucket; the others go on without them
         left = ranked.filter(F.col("rank") > centres).select("bucket", "rep", "n", "s", "all")
-        centres *= 4
+        centres *= MORE_CENTRES
 
     owner = cut(sig.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "owners")
     # rows of one id in several classes join them
