@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from wirelens.llm import op1_secrets, op3_minhash, op4_bpe, op5_mix, op6_language
 from wirelens.llm.common import cut, table
 
+#: Most texts of a batch that goes to the tokeniser in Python.
+ROWS = 1024
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op6_language.kept_documents(docs)
@@ -42,8 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d = op4_bpe.with_text(op4_bpe.with_ids(docs.select("doc_id", "text")))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return d.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                    (F.col("decoded") == text).alias("round_trip"))
+    out = d.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                   (F.col("decoded") == text).alias("round_trip"))
+    return cut(out, "pipeline-tokens", ROWS)  # batches of few whole texts and their ids
 
 
 STAGES = [

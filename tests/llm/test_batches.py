@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame
-from wirelens.llm import op2_lm, op8_repeats
-from wirelens.llm.common import BATCH_ROWS, cut
+from wirelens.llm import op2_lm, op6_language, op8_repeats
+from wirelens.llm.common import BATCH_ROWS, batches, cut
 
 
 def test_a_cut_bounds_the_rows_of_its_jobs_batches(spark):
@@ -46,3 +46,27 @@ def test_grams_are_kept_in_order_and_small(dtype):
         back = op2_lm._spread(data, dtype)
         assert back[0].tolist() == keys.tolist() and back[1].tolist() == times.tolist()
     assert len(data) < 0.85 * keys.nbytes + times.nbytes / 4
+
+
+def test_language_and_tokens_take_texts_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    bounds, at_fit = {}, []
+
+    def noted(df, name, batch=None):
+        bounds[name] = batch
+        return cut(df, name, batch)
+
+    def noted_batches(spark, rows):
+        at_fit.append(rows)
+        return batches(spark, rows)
+
+    monkeypatch.setattr(op6_language, "cut", noted)
+    monkeypatch.setattr(op6_language, "batches", noted_batches)
+    monkeypatch.setattr(corpus_pipeline, "cut", noted)
+    docs = frame(spark, [(i, f"text {i} " * 30, "en", "src") for i in range(5)])
+    op6_language.query(docs).collect()
+    got = corpus_pipeline.tokenise(spark, docs, "").collect()
+    assert bounds["language-scores"] == op6_language.ROWS and at_fit == [op6_language.ROWS]
+    assert bounds["pipeline-tokens"] == corpus_pipeline.ROWS
+    assert len(got) == 5 and all(r.round_trip and 4 * r.n_tokens == len(r.ids) > 0 for r in got)

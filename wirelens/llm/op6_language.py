@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.functions.bytes import let
-from wirelens.llm.common import cut
+from wirelens.llm.common import batches, cut
 
 #: Labelled rows of the fitting sample, on average; hashed trigram buckets.
 SAMPLE, GRAMS = 20_000, 1 << 16
+#: Most texts of a batch that goes to Python.
+ROWS = 1024
 #: Most trigrams' worth of evidence of a text; least posterior of a kept row.
 EVIDENCE, LEAST = 60.0, 0.5
 #: Dirichlet weights of the level above, for domains and hosts, and the
@@ -63,8 +65,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[list[
     share = 1_000_000 if n <= sample else max(1, round(1_000_000 * sample / n))
     d = d.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share).select("lang", "text")
 
-    def count(batches):
-        for pdf in batches:
+    def count(parts):
+        for pdf in parts:
             for lang, texts in pdf.groupby("lang")["text"]:
                 total = np.zeros(GRAMS, np.int64)
                 for t in texts:
@@ -73,7 +75,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[list[
                 yield pd.DataFrame({"lang": lang, "gram": at, "n": total[at]})
 
     # at most GRAMS rows a language of the bounded sample
-    rows = d.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    with batches(d.sparkSession, ROWS):
+        rows = d.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((GRAMS, len(langs)), 0.05, np.float64)
     for k, lang in enumerate(langs):
@@ -190,7 +193,7 @@ def identify(df: DataFrame, key: str, text: Column, declared: Column, host: Colu
     if not langs:
         return rows.select(F.col("key").alias(key), "declared", F.lit(None).cast("string").alias("text_language"),
                            F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("kept"))
-    scored = cut(text_scores(rows, "text", "scores", langs, table).drop("text"), "language-scores")
+    scored = cut(text_scores(rows, "text", "scores", langs, table).drop("text"), "language-scores", ROWS)
     return fused(scored, langs).select(F.col("key").alias(key), "declared", "text_language", "language", "probability",
                                        F.coalesce(F.col("probability") >= LEAST, F.lit(False)).alias("kept"))
 
