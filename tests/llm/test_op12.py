@@ -94,3 +94,13 @@ def test_empty_and_types(spark):
     out = op12_spelling.query(frame(spark, []))
     assert out.collect() == []
     assert out.dtypes == [("word", "string"), ("form", "string"), ("root", "string"), ("n", "bigint"), ("n_near", "bigint"), ("form_n", "bigint")]
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    """Their size, 17 keys a letter, is not that of the words which Spark goes by."""
+    vocab = spark.createDataFrame([("abcdef", 9), ("abcdeg", 50), ("abcxef", 7)], "word string, n long")
+    for crowd in (1000, 0):
+        pairs = op12_spelling.near_pairs(vocab, crowd=crowd)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString(), pairs._jdf.queryExecution().executedPlan().toString()
+        assert plan[0].count("strategy=merge") == plan[1].count("SortMergeJoin [key") == (1 if crowd else 2)
+        assert sorted(map(tuple, pairs.collect())) == [("abcdef", "abcdeg", 50), ("abcdef", "abcxef", 7), ("abcdeg", "abcdef", 9), ("abcxef", "abcdef", 9)]

@@ -179,8 +179,10 @@ def _neighbours(symbols):
 
 
 def _met(words: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of rows (key, word) and (key, near) that differ by one edit."""
-    return (words.join(targets, "key").filter(F.col("word") != F.col("near"))
+    """Pairs of rows (key, word) and (key, near) that differ by one edit.
+    Spark takes a neighbourhood to be as small as the words it is made of and
+    would broadcast it: both sides are shuffled."""
+    return (words.join(targets.hint("merge"), "key").filter(F.col("word") != F.col("near"))
             .filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n"))
 
 
