@@ -1,10 +1,11 @@
 """Stateful per-flow verdicts on a stream (T2) with optional state TTL (T5).
 
 The state of a flow (class, last host, packet and byte counts) lives in the
-streaming state store (RocksDB), keyed by the flow key, and is updated by
-``transformWithState``. Inside one micro-batch the handler steps through the
-flow's rows (sorted by ``seq``) with the stored state as carry-in; the state is
-read and written once a flow. Packets of a flow must reach the stream in
+streaming state store (RocksDB), keyed by a bucket and the flow key, and is updated by
+``transformWithState``. The packets of a flow in one micro-batch are packed into
+one row (``packed.py``); the handler reads and writes the flow's state once, by
+that row, and the packets get theirs when they are unpacked, with the stored
+state as carry-in. Packets of a flow must reach the stream in
 ``seq`` order across micro-batches (files dropped in time order); within a
 batch any order is fine.
 
@@ -23,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.rules import KnownHosts, apply_rules
 from ..schemas import FLOW_KEY
+from .packed import BUCKETS, CARRIED_SCHEMA, KEY_FIELDS, PACKED_FIELDS, PACKED_SCHEMA, merged, pack, unpack
 
 OVERWRITABLE = ("UNKNOWN", "HTTP", "HTTPS")
 
@@ -34,12 +36,7 @@ STATE_SCHEMA = T.StructType([
 ])
 
 OUTPUT_SCHEMA = T.StructType([
-    T.StructField("capture_id", T.StringType(), True),
-    T.StructField("src_ip", T.LongType(), True),
-    T.StructField("dst_ip", T.LongType(), True),
-    T.StructField("src_port", T.IntegerType(), True),
-    T.StructField("dst_port", T.IntegerType(), True),
-    T.StructField("protocol", T.ShortType(), True),
+    *KEY_FIELDS,
     T.StructField("seq", T.LongType(), True),
     T.StructField("app_state", T.StringType(), True),
     T.StructField("host_state", T.StringType(), True),
@@ -48,7 +45,7 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("packet_bytes", T.LongType(), True),
 ])
 
-OUTPUT_ROW = Row(*OUTPUT_SCHEMA.names)
+OUTPUT_ROW, CARRIED_ROW = Row(*OUTPUT_SCHEMA.names), Row(*CARRIED_SCHEMA.names)
 INPUT_COLUMNS = [*FLOW_KEY, "seq", "named", "host", "port_app", "packet_bytes"]
 
 
@@ -83,10 +80,14 @@ def advance(pdf, state):
     return pd.DataFrame({k: pd.Series(v, dtype="int64" if k.startswith("flow") else object) for k, v in columns}), out[-1]
 
 
+def known(st):
+    """A stored state as ``steps`` takes it, None for a new flow."""
+    return None if st is None else (st[0], st[1], int(st[2] or 0), int(st[3] or 0))
+
+
 class FlowStateProcessor(StatefulProcessor):
-    """Per-flow state machine of the reference. Rows come and go as they are:
-    most flows have a few packets in a micro-batch, of which a table each
-    would cost far more than the steps themselves."""
+    """Per-flow state machine of the reference, packet by packet: the plain
+    form of ``PackedFlowProcessor``."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -100,10 +101,7 @@ class FlowStateProcessor(StatefulProcessor):
             port_app = r.port_app  # one for all rows of a flow
             mine.append((r.seq, r.named, r.host, r.packet_bytes))
         mine.sort(key=lambda r: (r[0] is None, r[0]))
-        st = self.state.get()
-        if st is not None:
-            st = (st[0], st[1], int(st[2] or 0), int(st[3] or 0))
-        for (seq, _named, _host, packet_bytes), now in zip(mine, steps(mine, port_app, st)):
+        for (seq, _named, _host, packet_bytes), now in zip(mine, steps(mine, port_app, known(self.state.get()))):
             yield OUTPUT_ROW(*key, seq, *now, packet_bytes)
         self.state.update(now)
 
@@ -111,15 +109,52 @@ class FlowStateProcessor(StatefulProcessor):
         pass
 
 
+def classes(app, port_app, named, named_at):
+    """(class before, class from a place on, that place) of a flow's packets by
+    its stored class (None: a new flow) and the first class among them."""
+    if app is not None and app not in OVERWRITABLE:
+        return app, app, 0
+    if named is None or named_at and port_app is not None and port_app not in OVERWRITABLE:
+        return port_app, port_app, 0
+    return port_app, named, named_at
+
+
+class PackedFlowProcessor(StatefulProcessor):
+    """Per-flow state machine of the reference, on a bucket's packed rows: a
+    flow's one row of a micro-batch (several, if a task packed its packets in
+    parts) goes out with the state its packets begin with. A flow's state is
+    read and written once; it expires by itself."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle):
+        self.flows = handle.getMapState("flows", T.StructType(KEY_FIELDS), STATE_SCHEMA, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found: dict = {}
+        for r in rows:
+            found.setdefault(tuple(r[1:1 + len(KEY_FIELDS)]), []).append(r)
+        for flow, parts in found.items():
+            r = parts[0] if len(parts) == 1 else merged(flow, parts)
+            app, host, n, size = known(self.flows.getValue(flow)) or (None, None, 0, 0)
+            now = classes(app, r.port_app, r.named, r.named_at)
+            yield CARRIED_ROW(*flow, *[getattr(r, f.name) for f in PACKED_FIELDS], *now, host, n, size)
+            self.flows.updateValue(flow, (now[1], host if r.last_host is None else r.last_host, n + r.n, size + r.size))
+
+    def close(self):
+        pass
+
+
 def stream_flow_state(hosts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming ``app_state`` / ``host_state`` / counters for parsed packets."""
-    src = hosts.filter(F.col("is_parsed")).select(*INPUT_COLUMNS)
-    return src.groupBy(*FLOW_KEY).transformWithState(
-        statefulProcessor=FlowStateProcessor(ttl_ms),
-        outputStructType=OUTPUT_SCHEMA,
+    src = hosts.filter(F.col("is_parsed")).select(F.pmod(F.xxhash64(*FLOW_KEY), F.lit(BUCKETS)).alias("bucket"), *INPUT_COLUMNS)
+    return src.repartition("bucket").mapInArrow(pack, PACKED_SCHEMA).groupBy("bucket").transformWithState(
+        statefulProcessor=PackedFlowProcessor(ttl_ms),
+        outputStructType=CARRIED_SCHEMA,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
-    )
+    ).mapInArrow(unpack, OUTPUT_SCHEMA)
 
 
 def stream_states(hosts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
