@@ -17,7 +17,7 @@ from ..operators.verdicts import packet_hosts
 from ..plans.analyze import analyze
 from ..schemas import FLOW_KEY, RAW_PACKETS
 from ..session import scratch_path
-from ..sources.events import packets
+from ..sources.events import load_events, packets, packets_from_events
 from ..sources.inventory import capture_files, capture_inventory
 from ..sources.pcap import read_pcap, write_pcap
 from ..sources.ranges import read_pcap_errors
@@ -65,14 +65,16 @@ def stream_folder(spark: SparkSession, sf: str, shuffled: bool = False) -> str:
     file per consecutive ``seq`` range, so the file stream replays the capture
     in arrival order. One job writes all of it; the files' times, by which the
     stream orders them, follow their numbers. ``shuffled``: each packet comes
-    later than its place by up to the length of two files."""
+    later than its place by up to the length of two files. As in ``packets``,
+    events are dealt and not frames, which are built once, where they are written."""
     def build():
         path = scratch_path(spark, "stream-drop")
-        raw = packets(spark, sf, "single")
-        n = raw.count()
+        events = load_events(spark, sf)
+        n = events.count()
         chunks = max(4, -(-n // STREAM_FILE_ROWS))
-        place = c("seq") + F.pmod(F.xxhash64("seq"), F.lit(max(1, 2 * n // chunks))) if shuffled else c("seq")
-        raw.repartitionByRange(chunks, place).sortWithinPartitions(place).write.parquet(path)
+        seq = c("event_id").cast("bigint")
+        place = seq + F.pmod(F.xxhash64(seq), F.lit(max(1, 2 * n // chunks))) if shuffled else seq
+        packets_from_events(events.repartitionByRange(chunks, place).sortWithinPartitions(place)).write.parquet(path)
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=str)

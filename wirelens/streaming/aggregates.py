@@ -180,7 +180,12 @@ class EpochLog:
         return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
 
     def manifest(self, epoch: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/_manifests/{epoch}.json", wholetext=True).first()[0])
+        at, fs = self._fs(f"_manifests/{epoch}.json")
+        part = fs.open(at)
+        try:
+            return json.loads(bytes(part.readAllBytes()))
+        finally:
+            part.close()
 
     def publish(self, epoch: int, manifest: dict) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -150,7 +150,8 @@ def unpack(batches):
         at = 0
         while at < len(ends):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS, "right")))
-            yield _unpacked(b.slice(at, to - at))
+            out = _unpacked(b.slice(at, to - at))
+            yield from (out.slice(k, ROWS) for k in range(0, out.num_rows, ROWS))  # one flow may have more
             at = to
 
 
