@@ -43,10 +43,14 @@ def gram_index(texts: DataFrame, text_col: str) -> DataFrame:
 def keyed_patterns(index: DataFrame, patterns: DataFrame, pat_col: str) -> DataFrame:
     """``patterns`` with the gram they are looked up by: the rarest of the
     index, ties by the gram itself. A pattern with a gram that no text holds
-    has a key that no text holds."""
+    occurs in none: most are known by their first or last gram and left out
+    before all of their grams are looked up, others get a key that no text holds."""
     p = F.col(pat_col)
     held = index.filter(F.length("__gram") == GRAM).groupBy("__gram").agg(F.count(F.lit(1)).alias("__held"))
-    long = patterns.filter(F.length(p) >= GRAM).select(p.alias("__pat")).distinct()
+    long = patterns.filter(F.length(p) >= GRAM).select(p.alias("__pat"))
+    for at in (-GRAM, 1):
+        long = long.withColumn("__gram", F.substring("__pat", at, GRAM)).join(held.select("__gram"), "__gram", "left_semi").select("__pat")
+    long = long.distinct()
     each = long.select("__pat", F.explode(F.array_distinct(_grams(F.col("__pat"), GRAM))).alias("__gram"))
     rarest = (each.join(held, "__gram", "left").groupBy("__pat")
               .agg(F.min(F.struct(F.coalesce("__held", F.lit(0)).alias("n"), "__gram"))["__gram"].alias("__key")))
